@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op5_toxicity": op5_toxicity,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
