@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op3_byte_bpe
 from .decontaminate import op10_decontaminate
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
