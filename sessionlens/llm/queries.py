@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .decontaminate import op10_decontaminate
+from .near_duplicates import op6_ngram_jaccard_join
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
