@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .decontaminate import op10_decontaminate
+from .fingerprints import op1_document_fingerprints
 from .near_duplicates import op6_ngram_jaccard_join
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
