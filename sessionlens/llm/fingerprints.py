@@ -32,7 +32,7 @@ PIECE = re.compile(r".{12,200}?[.,;:!?|]+(?:\s+|$)|.{1,200}")
 WORD = re.compile(r"\S+\s*")
 DIGITS = 6
 #: Paragraphs of at most so many characters are cut into words.
-SHORT = 160
+SHORT = 64
 
 
 def _hash(data: bytes, size: int) -> str:
