@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .chat import OP9_SQL, op9_preference_formatting
 from .decontaminate import op10_decontaminate
 from .fingerprints import op1_document_fingerprints
 from .near_duplicates import op6_ngram_jaccard_join
@@ -13,7 +14,8 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_preference_formatting": op9_preference_formatting,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_preference_formatting": OP9_SQL}
