@@ -8,14 +8,16 @@ from .decontaminate import op10_decontaminate
 from .fingerprints import op1_document_fingerprints
 from .near_duplicates import op6_ngram_jaccard_join
 from .toxicity import op5_toxicity
+from .url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {
+QUERIES: dict = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_url_filter": op8_url_filter,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_preference_formatting": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL}
