@@ -19,8 +19,9 @@ import gc
 import hashlib
 import heapq
 import uuid
-from collections import defaultdict
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, table, text_or_empty
 
 BLOCK_CHARS = 16_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,69 +40,79 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
-    """The ids of each word after all merges, in rank order, over all words at once."""
-    out: list[tuple[int, ...] | None] = []
-    token: list[bytes] = []  # by position; an emptied position holds b""
-    right: list[int] = []
-    left: list[int] = []
-    spans: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = defaultdict(list)
-    single = [bytes([b]) for b in range(256)]
+def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes] | None = None) -> list[tuple[int, ...]]:
+    """The ids of each word after all merges, in rank order, over all words at once. tokens: ranks the other way round."""
     get = ranks.get
-    for word in words:
-        rank = get(word)
-        if rank is not None:  # a word that is a token
-            out.append((rank,))
-            spans.append((0, 0))
-            continue
-        out.append(None)
-        base, n = len(token), len(word)
-        spans.append((base, n))
-        token += [single[b] for b in word]
-        left += [-1, *range(base, base + n - 1)]
-        right += [*range(base + 1, base + n), -1]
-        for k in range(n - 1):
-            r = get(word[k : k + 2])
-            if r is not None:
-                index[r].append(base + k)
+    out: list[tuple[int, ...] | None] = [None if (r := get(w)) is None else (r,) for w in words]  # a word may be a token
+    left_over = [i for i, x in enumerate(out) if x is None]
+    if not left_over:
+        return out  # type: ignore[return-value]
+    tokens = tokens or {r: t for t, r in ranks.items()}
+    corpus = np.frombuffer(b"".join([words[i] for i in left_over]), dtype=np.uint8)
+    ends = np.cumsum([len(words[i]) for i in left_over])
+    total = len(corpus)
+    token: list[bytes] = list(map(_BYTES.__getitem__, corpus.tolist()))  # by position; an emptied position holds b""
+    links = np.arange(-1, total + 1)
+    left, right = links[:-2].copy(), links[2:].copy()
+    left[np.concatenate([[0], ends[:-1]])] = -1
+    right[ends - 1] = -1
+    # the index: token -> positions of pairs that merge to it, in ascending order
+    pair_rank = np.full(1 << 16, -1, dtype=np.int64)
+    for t, r in ranks.items():
+        if len(t) == 2:
+            pair_rank[t[0] << 8 | t[1]] = r
+    first = np.flatnonzero(right >= 0)
+    rank_of = pair_rank[corpus[first].astype(np.int64) << 8 | corpus[first + 1]]
+    first, rank_of = first[rank_of >= 0], rank_of[rank_of >= 0]
+    order = np.argsort(rank_of, kind="stable")
+    first, rank_of = first[order], rank_of[order]
+    cuts = np.flatnonzero(np.diff(rank_of)) + 1
+    index: dict[int, list[int]] = {int(rank_of[a]): first[a:b].tolist() for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(first)]]), strict=True)} if len(first) else {}
+    left, right = left.tolist(), right.tolist()
     queue = list(index)
     heapq.heapify(queue)
-    merged = {r: t for t, r in ranks.items()} if queue else {}
+    push, pop = heapq.heappush, heapq.heappop
     while queue:
-        rank = heapq.heappop(queue)
-        positions = index.pop(rank, None)
-        if positions is None:
-            continue
-        whole = merged[rank]
+        rank = pop(queue)
+        whole = tokens[rank]
+        positions = index.pop(rank)
         positions.sort()
         for at in positions:
             nxt = right[at]
-            mine = token[at]
-            if nxt < 0 or not mine or mine + token[nxt] != whole:
+            if nxt < 0 or token[at] + token[nxt] != whole or not token[at]:
                 continue
-            token[at], token[nxt] = whole, b""
+            token[at] = whole
+            token[nxt] = b""
             after = right[at] = right[nxt]
+            right[nxt] = -1
             if after >= 0:
                 left[after] = at
                 r = get(whole + token[after])
                 if r is not None:
-                    if r not in index:
-                        heapq.heappush(queue, r)
-                    index[r].append(at)
+                    if r in index:
+                        index[r].append(at)
+                    else:
+                        index[r] = [at]
+                        push(queue, r)
             before = left[at]
             if before >= 0:
                 r = get(token[before] + whole)
                 if r is not None:
-                    if r not in index:
-                        heapq.heappush(queue, r)
-                    index[r].append(before)
-    for i, (base, n) in enumerate(spans):
-        if out[i] is None:
-            out[i] = tuple([ranks[t] for t in token[base : base + n] if t])
+                    if r in index:
+                        index[r].append(before)
+                    else:
+                        index[r] = [before]
+                        push(queue, r)
+    base = 0
+    for i, end in zip(left_over, ends.tolist(), strict=True):
+        out[i] = tuple([ranks[t] for t in token[base:end] if t])
+        base = end
     return out  # type: ignore[return-value]
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 class Encoder:
     """Encodes blocks of texts; holds the ranks and a bounded cache of words."""
 
@@ -109,22 +120,28 @@ class Encoder:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.vocabulary = {r: t for t, r in ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
         cut = [self.find(t) for t in texts]
-        cache = self.cache
-        fresh = list({w for ws in cut for w in ws if w not in cache})
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-            fresh = list({w for ws in cut for w in ws})
-        cache.update(zip(fresh, replay([w.encode() for w in fresh], self.ranks), strict=True))
-        ids = []
+        words = set()
         for ws in cut:
-            own: list[int] = []
-            for found in map(cache.__getitem__, ws):
-                own += found
-            ids.append(own)
-        return ids
+            words.update(ws)
+        young = self.cache
+        if len(young) > CACHE_WORDS:  # what the last blocks didn't use is forgotten
+            self.old, self.cache = young, {}
+            young = self.cache
+        old, fresh = self.old, []
+        for w in words:
+            if w not in young:
+                found = old.get(w)
+                if found is None:
+                    fresh.append(w)
+                else:
+                    young[w] = found
+        young.update(zip(fresh, replay([w.encode() for w in fresh], self.ranks, self.vocabulary), strict=True))
+        get = young.__getitem__
+        return [list(chain.from_iterable(map(get, ws))) for ws in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
