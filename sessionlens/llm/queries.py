@@ -6,6 +6,8 @@ from .bpe import op3_byte_bpe
 from .chat import OP9_SQL, op9_preference_formatting
 from .decontaminate import op10_decontaminate
 from .fingerprints import op1_document_fingerprints
+from .html_extract import op4_html_extraction
+from .language_model import op7_language_model
 from .near_duplicates import op6_ngram_jaccard_join
 from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
@@ -13,8 +15,10 @@ from .url_filter import OP8_SQL, op8_url_filter
 QUERIES: dict = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_language_model": op7_language_model,
     "op8_url_filter": op8_url_filter,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_decontaminate": op10_decontaminate,
