@@ -359,7 +359,7 @@ def extract_pages(pages: DataFrame, model: Crf, page_id: str = "page_id", url: s
     bounded_batches(pages.sparkSession, 256)
     shared = pages.sparkSession.sparkContext.broadcast((model.index, model.weights, model.transitions, model.start))
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("__html"))
-    schema = source.drop("__html").schema.add("text", "string").add("n_chars", "long").add("n_blocks", "int")
+    schema = source.drop("__html").schema.add("text", "string").add("n_chars", "long").add("n_blocks", "integer")
 
     def run(batches):
         crf = Crf(*shared.value)
