@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -48,7 +49,7 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0].split("/part=")[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/[^/=]+=[^/]*)?/[^/]*$", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
