@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,15 @@ from .common import bounded_batches, text_or_empty
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 400_000
+#: Features are hashed into so many numbers.
+MASK = (1 << 23) - 1
 
 
-def features(word: str) -> list[str]:
-    """The word and its affixes; the marks keep prefixes, suffixes and words apart."""
+def features(word: str) -> list[int]:
+    """The word, its prefixes and its suffixes as hashed numbers; the marks keep the three apart."""
     n = len(word)
-    return [word] + [f"{word[:k]}^" for k in (4, 5, 6) if n > k] + [f"${word[-k:]}" for k in (4, 5, 6) if n > k]
+    texts = [word] + [f"{word[:k]}^" for k in (4, 5, 6) if n > k] + [f"${word[-k:]}" for k in (4, 5, 6) if n > k]
+    return [crc32(t.encode("utf-8", "surrogatepass")) & MASK for t in texts]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -46,7 +51,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     constant: float | None = None  #: the score of every text with words if nothing could be learned
 
     def word_scorer(self) -> dict:
@@ -87,37 +92,39 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
     positives = y.sum()
     if not len(y) or positives in (0, len(y)):
         return Model(0.0, {}, float(prior if prior is not None else y.mean() if len(y) else 0.0))
-    df, df_pos = Counter(), Counter()
-    split: list[list[tuple[int, int, list[str]]]] = []
+    known: dict[str, list[int]] = {}
+
+    def ids(word: str) -> list[int]:
+        found = known.get(word)
+        if found is None:
+            if len(known) > CACHE_WORDS // 8:
+                known.clear()
+            found = known[word] = features(word)
+        return found
+
+    df, df_pos = np.zeros(MASK + 1, dtype=np.int32), np.zeros(MASK + 1, dtype=np.int32)
     for text, label in zip(texts, labels, strict=True):
-        split.append(sentences(text))
-        seen = {f for w in {w for _, _, ws in split[-1] for w in ws} for f in features(w)}
-        df.update(seen)
+        seen = np.unique(np.fromiter(chain.from_iterable(map(ids, {w for _, _, ws in sentences(text) for w in ws})), dtype=np.int64))
+        df[seen] += 1
         if label:
-            df_pos.update(seen)
+            df_pos[seen] += 1
     n_pos, n_neg = positives, len(y) - positives
-    index: dict[str, int] = {}
-    for f, n in df.items():
-        if n >= min_df:
-            a, b = df_pos[f] + 0.5, n - df_pos[f] + 0.5
-            c, d = n_pos - df_pos[f] + 0.5, n_neg - (n - df_pos[f]) + 0.5
-            if abs(math.log(a * d / (b * c))) > 2.5 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d):
-                index[f] = len(index)
-    rows, cols, sent_doc = [], [], []
-    cache: dict[str, list[int]] = {}
-    for doc, found in enumerate(split):
-        for _, _, words in found:
-            s = len(sent_doc)
+    frequent = np.flatnonzero(df >= min_df)
+    a, b = df_pos[frequent] + 0.5, df[frequent] - df_pos[frequent] + 0.5
+    c, d = n_pos - df_pos[frequent] + 0.5, n_neg - (df[frequent] - df_pos[frequent]) + 0.5
+    telling = frequent[np.abs(np.log(a * d / (b * c))) > 2.5 * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)]
+    position = np.full(MASK + 1, -1, dtype=np.int32)
+    position[telling] = np.arange(len(telling))
+    rows, cols, sent_doc = array("i"), array("i"), array("i")
+    for doc, text in enumerate(texts):
+        for _, _, words in sentences(text):
+            own = position[np.fromiter(chain.from_iterable(map(ids, words)), dtype=np.int64)]
+            own = own[own >= 0].tolist()
+            cols.extend(own)
+            rows.extend([len(sent_doc)] * len(own))
             sent_doc.append(doc)
-            for w in words:
-                ids = cache.get(w)
-                if ids is None:
-                    ids = cache[w] = [index[f] for f in features(w) if f in index]
-                if ids:
-                    cols += ids
-                    rows += [s] * len(ids)
-    rows_, cols_, docs_ = (np.asarray(x, dtype=np.int64) for x in (rows, cols, sent_doc))
-    n_sent, n_feat = len(docs_), len(index)
+    rows_, cols_, docs_ = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, dtype=np.int32) for x in (rows, cols, sent_doc))
+    n_sent, n_feat = len(docs_), len(telling)
     mean_sentences = max(1.0, n_sent / max(1, len(y)))
     theta = np.zeros(n_feat + 1)
     theta[-1] = math.log(0.05 / mean_sentences)
@@ -142,7 +149,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
         rate = 0.2 * (1 - step / (steps + 1))
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-9)
         theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - rate * l1, 0)
-    return Model(float(theta[-1] + shift), {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-4})
+    return Model(float(theta[-1] + shift), {int(f): float(theta[i]) for i, f in enumerate(telling) if abs(theta[i]) > 1e-4})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> tuple[list[str], list[int], float]:
@@ -173,7 +180,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     return [r.text for r in rows], [r.y for r in rows], shares.get(1, 0) / total
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 3000, max_chars: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 3000, max_chars: int = 16_000_000) -> Model:
     """Fit on a bounded sample of labelled documents (max_rows of each class, max_chars in all)."""
     texts, ys, prior = training_rows(docs, labels, label, max_rows, max_chars)
     return fit(texts, ys, prior if texts else None)
