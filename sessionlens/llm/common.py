@@ -6,6 +6,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
@@ -54,14 +57,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def grouped_batches(frames: Iterator, rows: int) -> Iterator[list]:
-    """Collect small Arrow batches into lists of at least so many rows."""
-    held, n = [], 0
-    for frame in frames:
-        held.append(frame)
-        n += frame.num_rows
-        if n >= rows:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def slices(batch: pa.RecordBatch, columns: list[str], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about so many bytes; a longer text is a part of its own."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
