@@ -18,7 +18,6 @@ import base64
 import gc
 import hashlib
 import heapq
-import uuid
 from itertools import chain
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, table, text_or_empty
 
-BLOCK_CHARS = 16_000_000
-CACHE_WORDS = 400_000
+BLOCK_CHARS = 6_000_000
+CACHE_WORDS = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -147,18 +146,6 @@ class Encoder:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(name: str, shared, pattern: str) -> Encoder:
-    """This Python worker's encoder: its cache of words serves the later tasks too."""
-    key = (name, pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value, pattern)
-    return _encoders[key]
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, and with ids: token_ids; with digests: ids_sha256 and, after decoding, decoded_sha256. ranks_path is read on the driver."""
     spark = docs.sparkSession
@@ -171,11 +158,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     source = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text).alias("__body"))
     schema = T.StructType([source.schema[c] for c in names] + new)
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # one tokenizer's vocabulary
-    name = uuid.uuid4().hex
 
     def run(batches):
         gc.disable()  # the many small tuples hold no cycles
-        encoder = _encoder(name, shared, pattern)
+        encoder = Encoder(shared.value, pattern)
         held, size = [], 0
 
         def finish():

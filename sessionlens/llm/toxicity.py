@@ -30,7 +30,7 @@ from .common import bounded_batches, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Features are hashed into so many numbers.
 MASK = (1 << 23) - 1
 
@@ -97,7 +97,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
     def ids(word: str) -> list[int]:
         found = known.get(word)
         if found is None:
-            if len(known) > CACHE_WORDS // 8:
+            if len(known) > CACHE_WORDS // 3:
                 known.clear()
             found = known[word] = features(word)
         return found
