@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, table, text_or_empty
 
-BLOCK_CHARS = 6_000_000
-CACHE_WORDS = 150_000
+BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 120_000
+#: New words whose merges are replayed at once.
+REPLAY_WORDS = 40_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -138,7 +140,9 @@ class Encoder:
                     fresh.append(w)
                 else:
                     young[w] = found
-        young.update(zip(fresh, replay([w.encode() for w in fresh], self.ranks, self.vocabulary), strict=True))
+        for k in range(0, len(fresh), REPLAY_WORDS):
+            part = fresh[k : k + REPLAY_WORDS]
+            young.update(zip(part, replay([w.encode() for w in part], self.ranks, self.vocabulary), strict=True))
         get = young.__getitem__
         return [list(chain.from_iterable(map(get, ws))) for ws in cut]
 

@@ -57,7 +57,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, columns: list[str], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, columns: list[str], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts have about so many bytes; a longer text is a part of its own."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
     for c in columns:

@@ -250,8 +250,10 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, sh
     spark = docs.sparkSession
     bounded_batches(spark)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in RESULT.names]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text).alias("__body"))
+    own = text in names and docs.schema[text].dataType == T.StringType()  # then the text goes to Python once
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if own else [text_or_empty(text).alias("__body")]))
     schema = T.StructType([source.schema[c] for c in names] + RESULT.fields)
+    column = text if own else "__body"
     shared = [spark.sparkContext.broadcast(phrases_of(b, window)) for b in benchmark_blocks(benchmark, max_items)]
 
     def run(batches):
@@ -283,10 +285,9 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, sh
 
         for batch in batches:
             held.append(batch)
-            for body in batch.column("__body"):
-                text = body.as_py()
-                texts.append(text)
-                found = words(text)
+            for body in batch.column(column):
+                texts.append(body.as_py() or "")
+                found = words(texts[-1])
                 n += len(found)
                 for block, own in zip(blocks, coded, strict=True):
                     own.append(np.fromiter(map(block.ids.get, found, repeat(0)), dtype=np.int32, count=len(found)))

@@ -198,7 +198,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text:
     bounded_batches(docs.sparkSession)
     new = {"score", "predicted", "n_sentences", "offending"}
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text).alias("__body"))
+    own = text in names and docs.schema[text].dataType == T.StringType()  # then the text goes to Python once
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if own else [text_or_empty(text).alias("__body")]))
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_sentences", T.IntegerType()), T.StructField("offending", SPAN)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_rows and max_chars bound it
 
@@ -207,8 +208,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text:
         cache = fitted.word_scorer()
         for batch in batches:
             scores, sizes, spans = [], [], []
-            for body in batch.column("__body"):
-                found = fitted.sentence_scores(body.as_py(), cache)
+            for body in batch.column(text if own else "__body"):
+                found = fitted.sentence_scores(body.as_py() or "", cache)
                 scores.append(fitted.document_score(found))
                 sizes.append(len(found))
                 spans.append([{"start": a, "end": b, "score": p} for a, b, p in found if p >= threshold])
