@@ -20,9 +20,9 @@ from sessionlens.llm.toxicity import score_documents, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from the labelled documents of this stage."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scored = score_documents(whole, train(docs, labels), keep=["row"])
-    return scored.where("predicted = 0").select("row.*")
+    model, back = train(docs, labels), {c: f"__{c}" for c in docs.columns if c != "text"}  # no name meets those of the scores
+    scored = score_documents(docs.withColumnsRenamed(back), model)
+    return scored.where("predicted = 0").select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
