@@ -18,9 +18,13 @@ BROADCAST_ROWS = 200_000
 RESTART_NS = 300 * 1_000_000_000
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has few rows; counted up to the limit only."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def fits(*tables: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether all have few rows; counted up to the limit only. A lookup has no more rows than the tables it comes from."""
+    return all(t.limit(limit + 1).count() <= limit for t in tables)
+
+
+def small(df: DataFrame, yes: bool) -> DataFrame:
+    return F.broadcast(df) if yes else df
 
 
 def pod_identities(pods: DataFrame, workloads: DataFrame) -> DataFrame:
@@ -51,7 +55,8 @@ def resolve_sources(sessions: DataFrame, pods: DataFrame, workloads: DataFrame,
     by_cgroup = dims.cgroup_pods(cgroups).withColumnRenamed("container_id", "cg_container")
     one = by_cgroup.join(pod_identities(live, workloads).withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
     two = pod_identities(by_ip, workloads).select(F.col("ip").alias("src_ip"), *[F.col(c).alias(f"i_{c}") for c in ("ident", "created_at", "deleted_at", "host_network")])
-    j = sessions.join(small(one), "cgroup_id", "left").join(small(two), "src_ip", "left")
+    yes = fits(pods, cgroups)
+    j = sessions.join(small(one, yes), "cgroup_id", "left").join(small(two, yes), "src_ip", "left")
     by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), F.col("i_ident").isNotNull()
     name = first_non_empty(dims.container_name(F.col("c_containers"), F.col("c_container_name"), F.col("cg_container")), F.col("c_container_name"))
     cident = F.col("c_ident").withField("container_name", name).withField("container_id", first_non_empty(F.col("cg_container"), F.col("c_ident.container_id")))
@@ -83,7 +88,8 @@ def resolve_destinations(sessions: DataFrame, pods: DataFrame, workloads: DataFr
     live = pod_identities(dims.pods_by_uid(pods), workloads).select(F.col("uid").alias("target_pod_uid"), F.col("ident").alias("e_ident"), F.col("created_at").alias("e_created"), F.col("deleted_at").alias("e_deleted"))
     backed = backed.select(F.col("backend_ip").alias("dst_ip"), F.col("backend_port").alias("dst_port"), "target_pod_uid", F.col("e").alias("e_service"), "alias_seq", "slice_uid").join(live, "target_pod_uid", "left")
     backed = backed.groupBy("dst_ip", "dst_port").agg(F.min_by(F.struct("e_service", "e_ident", "e_created", "e_deleted"), F.struct("alias_seq", "slice_uid")).alias("b")).select("dst_ip", "dst_port", "b.*")
-    j = sessions.join(small(pod), "dst_ip", "left").join(small(direct), ["dst_ip", "dst_port"], "left").join(small(backed), ["dst_ip", "dst_port"], "left")
+    yes = fits(pods, ports, slices.select(F.explode("endpoints")))
+    j = sessions.join(small(pod, yes), "dst_ip", "left").join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
     p, s, e = F.col("p_ident").isNotNull(), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
     external = ~p & ~s & ~e & net.is_external(F.col("dst_ip"))
     none = F.struct(*[F.lit("").alias(c) for c in ("name", "uid", "namespace", "port_name", "app_protocol")])
