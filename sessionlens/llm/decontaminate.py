@@ -318,3 +318,18 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_occurrences(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
     names = F.array_join(F.sort_array(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("spans").alias("n_spans"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+hit AS (SELECT doc_id, k, dk.n, item_id FROM dk JOIN bw ON bw.n = dk.n AND bw.win = array_to_string(w[k:k + dk.n - 1], ' ')),
+place AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hit),
+runs AS (SELECT doc_id, count(*) AS n_hit, count(*) FILTER (first) AS n_spans FROM (SELECT doc_id, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 1, true) AS first FROM place) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_spans, 0) AS INTEGER) AS n_spans
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .chat import OP9_SQL, op9_preference_formatting
-from .decontaminate import op10_decontaminate
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .fingerprints import op1_document_fingerprints
 from .html_extract import op4_html_extraction
 from .language_model import op7_language_model
@@ -24,4 +24,4 @@ QUERIES: dict = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL, "op10_decontaminate": OP10_SQL}
