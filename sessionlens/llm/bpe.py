@@ -166,6 +166,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     def run(batches):
         gc.disable()  # the many small tuples hold no cycles
         encoder = Encoder(shared.value, pattern)
+        decimal = {r: str(r) for r in encoder.vocabulary}.__getitem__
         held, size = [], 0
 
         def finish():
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 if ids:
                     columns.append(pa.array(own, pa.list_(pa.int32())))
                 if digests:
-                    columns.append(pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in own]))
+                    columns.append(pa.array([hashlib.sha256(" ".join(map(decimal, x)).encode()).hexdigest() for x in own]))
                     columns.append(pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in own]))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in new]])
 

@@ -8,12 +8,14 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .fingerprints import op1_document_fingerprints
 from .html_extract import op4_html_extraction
 from .language_model import op7_language_model
+from .licenses import op2_license_scan
 from .near_duplicates import op6_ngram_jaccard_join
 from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES: dict = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_license_scan": op2_license_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
