@@ -5,9 +5,10 @@ Copies need no pairs; different texts meet in the buckets of their band hashes.
 enumerating its pairs: in each round some members lead (1, then 4, 16 ... of each bucket) and are verified, on full shingle
 sets, against the members that don't belong to their class yet; then classes are merged, and leaders leave the bucket. A bucket
 is done when its members are of one class. Pairs whose sets can't overlap enough, by sketches of their differences from the
-bucket's first leader, aren't verified. So within a class no further pair is worked on, texts of different classes are
-verified against each other unless one of them was found to be of the other's class, and no class loses a member that any
-bucket shows. Classes are the connected components of the verified links.
+bucket's first leader, aren't verified. So texts of different classes are verified against each other unless one of them was
+found to be of the other's class, and no class loses a member that any bucket shows. Classes are the connected components of the
+verified links. Links are counted afterwards: a class is dealt into parts, each two parts meet in one task, and there the shared
+shingles of all their pairs are counted from postings, so every pair of a class is verified but no row is made for it.
 
 Defined results: null counts as empty; a text without words has no shingles, no links and its own class; repeated rows are
 copies of each other; doc_id ties get the same class when their texts do; extra columns are left out of the result.
@@ -30,6 +31,8 @@ from .shingles import distinct_by_row, mix, shingle_hashes
 
 #: Ids of at most so many texts are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Texts and characters that a part of a class has about, where its links are counted.
+PART_TEXTS, PART_CHARS = 256, 1_000_000
 
 
 def bands_for(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -149,8 +152,8 @@ def connected(links: DataFrame, a: str = "leader", b: str = "member") -> DataFra
             return labels
 
 
-def find_links(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links between texts (leader, member by text_key, jaccard), and the classes they make (node, root)."""
+def find_classes(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """The texts that share a bucket with others (text_key, body), and the classes of those with links (node, root)."""
     spark = signed.sparkSession
     unique = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
     rows = unique.select("text_key", F.explode("buckets").alias("bucket"))
@@ -161,7 +164,7 @@ def find_links(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_
     small = ids.count() <= BROADCAST_IDS
     bodies = docs.select(F.col(id_).alias("doc_id"), text_or_empty(text).alias("body")).join(F.broadcast(ids) if small else ids, "doc_id")
     texts = stored(bodies.dropDuplicates(["text_key"]) if not small else bodies, "texts")
-    links = labels = seen = None
+    labels = seen = None
     leaders_n = 1
     while True:
         root = F.coalesce("root", "member") if labels is not None else F.col("member")
@@ -170,7 +173,7 @@ def find_links(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_
         open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         members = stored(placed.join(open_, "bucket"), "members")
         if members.isEmpty():
-            return links, labels
+            return texts, labels
         if leaders_n == 1:
             leaders = members.groupBy("bucket").agg(F.min(F.struct("member", "root")).alias("l")).select("bucket", F.col("l.member").alias("leader"), F.col("l.root").alias("leads"))
         else:
@@ -188,8 +191,7 @@ def find_links(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_
         if seen is not None:
             met = met.join(seen, ["leader", "member"], "left_anti")
         pairs = stored(verified(met, texts, n, sketch=leaders_n == 1), "pairs")
-        good = pairs.where(F.col("jaccard") >= threshold).select("leader", "member", "jaccard")
-        links = good if links is None else links.unionByName(good)
+        good = pairs.where(F.col("jaccard") >= threshold).select("leader", "member")
         bad = pairs.where(F.col("jaccard") < threshold).select("leader", "member")
         seen = bad if seen is None else seen.unionByName(bad)
         labels = merged(labels, good)
@@ -222,22 +224,76 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(new), "labels")
 
 
+def similar_in(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set (sorted, distinct) the number of similar ones: in the other part, or in its own where there is one only."""
+    sizes, own = np.array([len(x) for x in sets]), parts == parts.min()
+    left, right = np.flatnonzero(own), np.arange(len(sets)) if own.all() else np.flatnonzero(~own)
+    values, owner = np.concatenate([sets[i] for i in left]), np.repeat(np.arange(len(left)), sizes[left])
+    order = np.argsort(values, kind="stable")
+    owner = owner[order]
+    values, begins, counts = np.unique(values[order], return_index=True, return_counts=True)
+    found = np.zeros(len(sets), dtype=np.int64)
+    for j in right:
+        at = np.minimum(np.searchsorted(values, sets[j]), len(values) - 1)
+        at = at[values[at] == sets[j]]
+        k = counts[at]
+        postings = np.repeat(begins[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        shared = np.bincount(owner[postings], minlength=len(left))
+        similar = shared / (sizes[left] + sizes[j] - shared) >= threshold
+        if own.all():
+            found[j] = similar.sum() - similar[j]
+        else:
+            found[j] = similar.sum()
+            found[left] += similar
+    return found
+
+
+def degrees(texts: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
+    """text_key, degree: the other texts of its class that a text is similar to, of all pairs of the class."""
+    own = texts.join(labels.withColumnRenamed("node", "text_key"), "text_key").select("text_key", "root", "body")
+    parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.length("body")) / PART_CHARS)).cast("int")
+    sizes = own.groupBy("root").agg(parts.alias("parts"))
+    dealt = own.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text_key", "body")
+
+    def run(batches):
+        held, keys, sets, parts = None, [], [], []
+
+        def finish():
+            # two parts of which one is empty: what the other has is counted where it meets itself
+            if keys and (held[1] == held[2] or len(set(parts)) == 2):
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(similar_in(sets, np.array(parts), threshold))], names=["text_key", "k"])
+
+        for batch in chain.from_iterable(slices(b, ["body"]) for b in batches):
+            values, starts = distinct_by_row(*shingle_hashes(batch.column("body"), n))
+            for i, (*group, part, key) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("root", "low", "high", "part", "text_key")], strict=True)):
+                if group != held:
+                    yield from finish()
+                    held, keys, sets, parts = group, [], [], []
+                keys.append(key)
+                parts.append(part)
+                sets.append(values[starts[i] : starts[i + 1]])
+        yield from finish()
+
+    counted = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, "text_key long, k long")
+    return counted.groupBy("text_key").agg(F.sum("k").alias("degree"))
+
+
 def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links, n_copies, class_texts.
 
-    n_links counts the other copies of the text and the different texts it is linked to by a verified link of find_links().
+    n_links counts the other copies of the text and the different texts of its class that it is similar to.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, n, bands, rows, id_, text), "signatures")
-    links, roots = find_links(signed, docs, n, threshold, id_, text)
-    if links is None:  # no bucket has two texts
-        links = spark.createDataFrame([], "leader long, member long, jaccard double")
+    bodies, roots = find_classes(signed, docs, n, threshold, id_, text)
+    if roots is None:  # no bucket has two texts
         roots = spark.createDataFrame([], "node long, root long")
-    ends = links.select(F.col("leader").alias("node"), F.lit(1).alias("k")).union(links.select("member", F.lit(1)))
-    degrees = ends.groupBy("node").agg(F.sum("k").alias("degree"))
+    similar = degrees(bodies, roots, n, threshold)
     copies = signed.where("text_key is not null").groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("low"))
-    texts = copies.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").join(degrees.withColumnRenamed("node", "text_key"), "text_key", "left")
+    texts = copies.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").join(similar, "text_key", "left")
     texts = texts.withColumn("root", F.coalesce("root", "text_key"))
     classes = texts.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("class_texts"))
     per_text = stored(texts.join(classes, "root").select("text_key", "class_id", "n_copies", "class_texts", (F.coalesce("degree", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "classes")

@@ -1,6 +1,8 @@
+import collections
 import random
 import re
 
+from sessionlens.llm import near_duplicates
 from sessionlens.llm.near_duplicates import bands_for, keep_one_of_each, op6_ngram_jaccard_join, similarity_join
 
 
@@ -51,6 +53,24 @@ def test_classes_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == classes(rows)
 
 
+def links(rows, threshold=0.8):
+    """For each document the other copies of its text and the different similar texts."""
+    sets = {d: frozenset(shingles(t)) for d, t in rows}
+    copies = collections.Counter(sets.values())
+    similar = {x: sum(1 for y in copies if y != x and x and len(x & y) / len(x | y) >= threshold) for x in copies}
+    return {d: copies[x] - 1 + similar[x] if x else 0 for d, x in sets.items()}
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = links(rows)
+    assert max(want.values()) > 20
+    assert {r.doc_id: r.n_links for r in similarity_join(docs, recall=0.99999).collect()} == want
+    monkeypatch.setattr(near_duplicates, "PART_TEXTS", 3)  # classes in many parts, some of them empty
+    assert {r.doc_id: r.n_links for r in similarity_join(docs, recall=0.99999).collect()} == want
+
+
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "!!", 0), (4, "one", 0), (5, "ONE", 0), (6, "x y z " * 30000, 0), (7, "one", 0), (7, "one", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
