@@ -45,11 +45,16 @@ def bands_for(threshold: float, recall: float, most: int = 64) -> tuple[int, int
     raise ValueError("no bands reach that recall")
 
 
+def body_key(text: str = "text") -> Column:
+    """Tells texts apart where doc_id doesn't: repeated and null ids."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the shingle set; null without words), n_shingles, buckets (a hash for each band)."""
+    """doc_id, body_key (hash of the text), text_key (hash of the shingle set; null without words), n_shingles, buckets (a hash for each band)."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_).alias("doc_id"), text_or_empty(text).alias("__body"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    source = docs.select(F.col(id_).alias("doc_id"), body_key(text).alias("body_key"), text_or_empty(text).alias("__body"))
+    schema = T.StructType([source.schema["doc_id"], source.schema["body_key"], T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
     seeds = np.random.default_rng(7).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
@@ -72,7 +77,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_: str = "doc_i
             rank = np.cumsum(sizes > 0)
             offsets = np.concatenate([[0], rank]) * bands
             buckets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashed.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys.view(np.int64), mask=sizes == 0), pa.array(sizes, pa.int32()), buckets], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body_key"), pa.array(keys.view(np.int64), mask=sizes == 0), pa.array(sizes, pa.int32()), buckets], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -155,15 +160,17 @@ def connected(links: DataFrame, a: str = "leader", b: str = "member") -> DataFra
 def find_classes(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """The texts that share a bucket with others (text_key, body), and the classes of those with links (node, root)."""
     spark = signed.sparkSession
-    unique = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
+    unique = signed.where("text_key is not null").groupBy("text_key").agg(F.first("buckets").alias("buckets"))
     rows = unique.select("text_key", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     active = stored(rows.join(shared, "bucket").select("bucket", F.col("text_key").alias("member")), "buckets")
     wanted = active.select(F.col("member").alias("text_key")).distinct()
-    ids = stored(signed.where("text_key is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    row = F.min(F.struct("doc_id", "body_key")).alias("row")
+    ids = stored(signed.where("text_key is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(row).select("text_key", F.col("row.doc_id").alias("own"), F.col("row.body_key").alias("own_key")), "wanted")
     small = ids.count() <= BROADCAST_IDS
-    bodies = docs.select(F.col(id_).alias("doc_id"), text_or_empty(text).alias("body")).join(F.broadcast(ids) if small else ids, "doc_id")
-    texts = stored(bodies.dropDuplicates(["text_key"]) if not small else bodies, "texts")
+    bodies = docs.select(F.col(id_).alias("doc_id"), body_key(text).alias("body_key"), text_or_empty(text).alias("body"))
+    bodies = bodies.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("body_key") == F.col("own_key")))
+    texts = stored(bodies.select("text_key", "body").dropDuplicates(["text_key"]), "texts")
     labels = seen = None
     leaders_n = 1
     while True:

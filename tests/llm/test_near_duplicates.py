@@ -71,6 +71,18 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in similarity_join(docs, recall=0.99999).collect()} == want
 
 
+def test_repeated_and_null_ids(spark, monkeypatch):
+    w = [f"w{k}" for k in range(200)]
+    near = " ".join(w), " ".join(w[:-1]), " ".join(w[:-2])
+    other = " ".join(f"o{k}" for k in range(50))
+    rows = [(1, near[0]), (1, near[0]), (1, other), (2, near[1]), (None, near[2]), (3, other + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, 1, 3, 2)] * 2 + [(1, 1, 1, 1), (2, 1, 2, 1), (-1, 1, 2, 1), (3, 1, 1, 1)])
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", most)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_links, r.n_copies) for r in similarity_join(docs).collect()) == want
+
+
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "!!", 0), (4, "one", 0), (5, "ONE", 0), (6, "x y z " * 30000, 0), (7, "one", 0), (7, "one", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
