@@ -309,11 +309,24 @@ def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents without all but the first (smallest doc_id) of each class; of repeated rows of one doc_id and class, one stays."""
-    joined = similarity_join(docs, n, threshold)
-    first = joined.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n_copies").alias("n_copies"))
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class: that of the smallest doc_id (null comes last), of its texts the one with the smallest hash.
+
+    Rows without words stay, as they are classes of their own; only repeated rows of one doc_id and text count once there.
+    """
+    bands, rows = bands_for(threshold, recall=0.9995)
+    signed = stored(signatures(docs, n, bands, rows), "signatures")
+    _, roots = find_classes(signed, docs, n, threshold)
+    place = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "body_key"))
+    first = signed.where("text_key is not null").groupBy("text_key").agg(place.alias("place"))
+    if roots is not None:
+        rooted = first.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
+        first = rooted.groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("place").alias("place"))
+    chosen = first.select(F.col("place.doc_id").alias("__doc_id"), F.col("place.body_key").alias("__text"), F.lit(False).alias("__alone"))
+    wordless = signed.where("text_key is null").select("doc_id", "body_key", F.isnull("doc_id")).distinct()
+    chosen = chosen.union(wordless)
+    kept = docs.withColumn("__body_key", body_key()).join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__body_key") == F.col("__text")))
+    kept = kept.withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "__body_key", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -83,6 +83,14 @@ def test_repeated_and_null_ids(spark, monkeypatch):
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_links, r.n_copies) for r in similarity_join(docs).collect()) == want
 
 
+def test_clean_rows_stay(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("c")), (1, text("d")), (1, text("d")), (2, text("c") + " more"), (None, text("c")), (None, ""), (None, None), (3, ""), (3, "")]
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (None, ""), (None, None), (3, "")]
+    assert sorted(map(repr, got)) == sorted(f"Row(doc_id={d!r}, text={t!r})" for d, t in want)
+
+
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "!!", 0), (4, "one", 0), (5, "ONE", 0), (6, "x y z " * 30000, 0), (7, "one", 0), (7, "one", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
