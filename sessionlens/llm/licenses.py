@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-A candidate block (a line, or a paragraph of wrapped lines, that mentions licensing; of long lines the surroundings of the mention)
+A candidate block (a line, or a paragraph of wrapped lines, that mentions licensing; of long ones the surroundings of each mention)
 is compressed by zstandard alone and with each license template as raw dictionary. The more a template says what the block says,
-the more its size shrinks; templates are ranked by that reduction. The best few are confirmed by exact wording: the template's
+the more its size shrinks; templates are ranked by that reduction. All that save anything are confirmed by exact wording: the template's
 words are aligned with the block's, and a license is reported with the words that are missing and added, if enough of its
 words are there and none of those that tell it from others (its name, its version) is missing.
 
 Defined results: null and empty texts have no blocks and no licenses; repeated rows are scanned each; a license that several
 blocks name is reported once, by its best block; ties go to the template listed first; extra columns stay unless a result column
-has their name; an empty table gives an empty result. Blocks are never cut short: a long paragraph is searched around all mentions.
+has their name; an empty table gives an empty result. Long paragraphs are searched around every mention, across their line breaks, as far as twice
+the longest template reaches.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def blocks_of(text: str) -> list[str]:
-    """Lines that mention licensing (of long ones the surroundings of each mention), and paragraphs of several lines that do."""
+def blocks_of(text: str, around: int = AROUND) -> list[str]:
+    """Lines and paragraphs of several lines that mention licensing; of long ones around characters on both sides of each mention."""
     if not MENTION.search(text):
         return []
     out: dict[str, None] = {}
@@ -74,6 +75,9 @@ def blocks_of(text: str) -> list[str]:
         lines = paragraph.split("\n")
         if len(lines) > 1 and len(paragraph) <= LONG * 4:
             out[paragraph] = None
+        elif len(lines) > 1:
+            for m in MENTION.finditer(paragraph):
+                out[paragraph[max(0, m.start() - around) : m.end() + around]] = None
         for line in lines:
             found = list(MENTION.finditer(line))
             if found and len(line) <= LONG:
@@ -81,11 +85,11 @@ def blocks_of(text: str) -> list[str]:
             elif found:
                 start, end = -1, -1
                 for m in found:
-                    if m.start() - AROUND > end:
+                    if m.start() - around > end:
                         if end >= 0:
                             out[line[start:end]] = None
-                        start = max(0, m.start() - AROUND)
-                    end = min(len(line), m.end() + AROUND)
+                        start = max(0, m.start() - around)
+                    end = min(len(line), m.end() + around)
                 out[line[start:end]] = None
     return list(out)
 
@@ -102,7 +106,7 @@ class Template:
 class Scanner:
     """Templates with compressors; kept per Python worker task."""
 
-    def __init__(self, templates=None, ranked: int = 12, coverage: float = 0.75, level: int = 3):
+    def __init__(self, templates=None, ranked: int | None = None, coverage: float = 0.75, level: int = 3):
         self.ranked, self.coverage = ranked, coverage
         options = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**options)
@@ -110,6 +114,7 @@ class Scanner:
         for name, text, needed in templates or TEMPLATES:
             raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append(Template(name, text, frozenset(needed.split()), words(text), zstandard.ZstdCompressor(dict_data=raw, **options)))
+        self.around = max(AROUND, 2 * max((len(t.text) for t in self.templates), default=0))
         self.known: dict[str, list[dict]] = {}
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
@@ -161,7 +166,7 @@ class Scanner:
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """The number of candidate blocks; the licenses, each by its best block, in the order of their names."""
         best: dict[str, dict] = {}
-        blocks = blocks_of(text)
+        blocks = blocks_of(text, self.around)
         for block in blocks:
             for x in self.scan_block(block):
                 old = best.get(x["license"])

@@ -30,6 +30,21 @@ def test_wording_differences():
     assert [x["license"] for x in Scanner().scan("This work is licensed under the GNU General Public License, version 2.")[1]] == ["GPL-2.0"]
 
 
+def test_wrapped_notices_in_long_paragraphs():
+    lines = [PROSE] * 60
+    wrapped = {
+        "Licensed under the Apache License,\nVersion 2.0.": "Apache-2.0",
+        "Redistribution and use in source and binary forms,\nwith or without modification,\nare permitted provided that the\nfollowing conditions are met": "BSD",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in\nthe Software without restriction": "MIT",
+        "This work is licensed under the GNU General Public License,\nversion 3.": "GPL-3.0",
+    }
+    for notice, name in wrapped.items():
+        for at in (0, 30, 60):
+            assert names("\n".join([*lines[:at], notice, *lines[at:]])) == [name], (notice, at)
+    both = "\n".join([*lines, *wrapped, *lines])
+    assert names(both) == sorted(wrapped.values())
+
+
 def test_ranking_against_all_templates():
     """Confirming only the best few by size gives what confirming all gives."""
     r, few, all_ = random.Random(3), Scanner(), Scanner(ranked=len(TEMPLATES))
