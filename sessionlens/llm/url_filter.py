@@ -3,7 +3,7 @@
 Pages give host edges (host of the page -> host of a link in it, with the number of links). Seeds come from the rules: a host's
 urls that a rule allows trust it, those that a rule blocks distrust it. Trust is personalised PageRank from the trusted seeds
 along the edges; distrust is the same from the blocked seeds along reversed edges (who links to blocked hosts is suspect). Both
-run a fixed number of rounds; a host's rank that has no outgoing edge returns to the seeds. A host is blocked where its share of
+run until ranks stand still and reach no new host; a host's rank that has no outgoing edge returns to the seeds. A host is blocked where its share of
 distrust exceeds its share of trust by the threshold. A url that a rule fits gets the rule's verdict, others their host's.
 
 Rules fit a host and its subdomains where the url's path begins with the rule's; the longest (host and path together) wins.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dropped, stored, table
 
 Rule = tuple[str, str, str]  #: verdict, host, path
 
@@ -68,35 +68,48 @@ def link_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return counted.groupBy("host", "to").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """host, rank: personalised PageRank; edges: host, to, share (1 in all per host); seeds: host, seed (1 in all).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """kind, host, rank: personalised PageRank of each kind; edges: kind, host, to, share (1 in all per kind and host); seeds: kind, host, seed (1 in all per kind).
 
-    Rank that hosts without edges hold returns to the seeds.
+    Rank that hosts without edges hold returns to the seeds. Rounds end when the ranks of all hosts change by less than the
+    tolerance in total and no host is new.
     """
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        flow = ranks.join(edges, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("flow"))
-        mass = flow.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("mass"))  # one row
-        back = seeds.crossJoin(F.broadcast(mass)).select("host", (F.col("seed") * (1 - F.col("mass"))).alias("flow"))
-        ranks = stored(flow.unionByName(back).groupBy("host").agg(F.sum("flow").alias("rank")), "ranks")
-    return ranks
-
-
-def judge_urls(pages: DataFrame, rules: list[Rule], rounds: int = 6, damping: float = 0.85, threshold: float = 0.0, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
+    spark = edges.sparkSession
+    ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    old = None
+    while True:
+        flow = ranks.join(edges, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("flow"))
+        mass = flow.groupBy("kind").agg(F.sum("flow").alias("mass"))  # a row for each kind
+        back = seeds.join(F.broadcast(mass), "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("mass", F.lit(0.0)))).alias("flow"))
+        fresh = flow.unionByName(back).groupBy("kind", "host").agg(F.sum("flow").alias("rank"))
+        was = ranks.withColumnRenamed("rank", "was")
+        kept = stored(fresh.join(was, ["kind", "host"], "left").select("kind", "host", "rank", "was"), "ranks")
+        moved = kept.agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("change"), F.count_if(F.isnull("was")).alias("new")).first()
+        if old is not None:
+            dropped(spark, old)
+        old, ranks = kept, kept.drop("was")
+        if not moved.new and (moved.change or 0.0) < tolerance:
+            return ranks
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = 0.85, threshold: float = 0.0, tolerance: float = 1e-6, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust (null where it took no part)."""
     u = F.col(url)
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     ruled = parts.withColumn("ruled", rule_for(F.col("host"), F.col("path"), rules))
     edges = stored(link_edges(pages.select(host_of(u).alias("host"), html), html), "host-edges")
     by_host = stored(ruled.groupBy("host").agg(F.count_if(F.col("ruled.verdict") == "allow").alias("good"), F.count_if(F.col("ruled.verdict") == "block").alias("bad")), "hosts")
-    scores = by_host.select("host")
+    shares = seeds = None
     for name, column, start, end in (("trust", "good", "host", "to"), ("distrust", "bad", "to", "host")):
+        kind = F.lit(name).alias("kind")
         whole = edges.groupBy(start).agg(F.sum("n").alias("all"))
-        shares = edges.join(whole, start).select(F.col(start).alias("host"), F.col(end).alias("to"), (F.col("n") / F.col("all")).alias("share"))
+        own = edges.join(whole, start).select(kind, F.col(start).alias("host"), F.col(end).alias("to"), (F.col("n") / F.col("all")).alias("share"))
         total = by_host.agg(F.sum(column).alias("total"))  # one row
-        seeds = stored(by_host.where(F.col(column) > 0).crossJoin(F.broadcast(total)).select("host", (F.col(column) / F.col("total")).alias("seed")), "seeds")
-        ranks = propagate(stored(shares, "shares"), seeds, rounds, damping).withColumnRenamed("rank", name)
-        scores = scores.join(ranks, "host", "left")
+        first = by_host.where(F.col(column) > 0).crossJoin(F.broadcast(total)).select(kind, "host", (F.col(column) / F.col("total")).alias("seed"))
+        shares, seeds = (own, first) if shares is None else (shares.unionByName(own), seeds.unionByName(first))
+    ranks = propagate(stored(shares, "shares"), stored(seeds, "seeds"), damping, tolerance)
+    of = lambda name: ranks.where(F.col("kind") == name).select("host", F.col("rank").alias(name))
+    scores = by_host.select("host").join(of("trust"), "host", "left").join(of("distrust"), "host", "left")
     found = F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold, "block").otherwise("allow")
     verdicts = stored(scores.select("host", "trust", "distrust", found.alias("found")), "verdicts")
     out = ruled.join(verdicts, "host", "left")

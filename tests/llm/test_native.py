@@ -43,6 +43,18 @@ def test_distrust_flows_backwards(spark):
     assert judged(spark, rows[4:])[5].verdict == "allow"  # no seeds
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    """h0 links to h1 and so on, h9 to a blocked host; ranks against the solution of their equations."""
+    rows = [(0, "http://bad.com/de/1", None, "")] + [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">', "") for k in range(1, 10)]
+    rows.append((10, "http://h10.net/", '<a href="http://bad.com/x">', ""))
+    got = judged(spark, rows)
+    assert {got[k].verdict for k in got} == {"block"}
+    rank = {0: 1.0}
+    for k in range(10, 0, -1):
+        rank[k] = 0.85 * rank[(k + 1) % 11]
+    assert all(abs(got[k].distrust - rank[k] / sum(rank.values())) < 1e-5 for k in got)
+
+
 def test_empty_pages(spark):
     assert judged(spark, []) == {}
 
