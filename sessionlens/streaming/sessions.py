@@ -1,8 +1,7 @@
 """Sessions of a stream: one keyed state per 5-tuple, event-time timeouts, the same records as batch.
 
-State is a compact JSON document: counters, bucket counts, the last TLS values and, up to max_samples, raw samples (beyond it
-they count in the buckets only, so percentiles become estimates). Rows of a key in one micro-batch are put in order before they
-are folded. A session ends by CLOSE or by the watermark passing its last update by the timeout.
+State is a compact JSON document: counters, bucket counts, the last TLS values and the count of each distinct raw sample, so
+percentiles are exact at any length. Rows of a key in one micro-batch are put in order before they are folded. A session ends by CLOSE or by the watermark passing its last update by the timeout.
 """
 
 from __future__ import annotations
@@ -36,13 +35,19 @@ def _bucket(value: int, bounds: list[tuple[int, int]]) -> int:
     return next((k for k, (_, high) in enumerate(bounds[:-1]) if value <= high), len(bounds) - 1)
 
 
-def _exact(values: list[int], p: float) -> float | None:
-    if not values:
+def _exact(counts: dict[str, int], p: float) -> float | None:
+    """counts: by value, as JSON has its keys."""
+    if not counts:
         return None
-    values = sorted(values)
-    at = p * (len(values) - 1)
-    low = int(at)
-    return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+    at = p * (sum(counts.values()) - 1)
+    low, seen, below = int(at), 0, None
+    for value in sorted(map(int, counts)):
+        seen += counts[str(value)]
+        if below is None and seen > low:
+            below = value
+        if below is not None and seen > low + 1:
+            return below + (at - low) * (value - below)
+    return below
 
 
 def _estimate(counts: list[int], bounds: list[tuple[int, int]], p: float) -> float | None:
@@ -57,12 +62,11 @@ def _estimate(counts: list[int], bounds: list[tuple[int, int]], p: float) -> flo
 class Folding:
     """What a session knows so far; every event is added once."""
 
-    def __init__(self, max_samples: int, state: dict | None = None):
-        self.max_samples = max_samples
+    def __init__(self, state: dict | None = None):
         self.s = state
 
     def open(self, ns: int) -> None:
-        self.s = {"start": ns, "last": ns, "gate": ns, "windows": 0, "count": 0, "state": "", "rtt": None, "low": None, "high": None, "sizes": [], "iats": [], "reported": [0] * 7, "reported_iat": [0] * 6, "raw": [0] * 7, "raw_iat": [0] * 6, "spilled": False, "seen": False, "server": False, "tls": {}}
+        self.s = {"start": ns, "last": ns, "gate": ns, "windows": 0, "count": 0, "state": "", "rtt": None, "low": None, "high": None, "sizes": {}, "iats": {}, "reported": [0] * 7, "reported_iat": [0] * 6, "raw": [0] * 7, "raw_iat": [0] * 6, "seen": False, "server": False, "tls": {}}
         self.s |= dict.fromkeys((*SUMMED, *MAXED), 0)
 
     def add(self, row: dict) -> None:
@@ -95,10 +99,8 @@ class Folding:
             self._keep("iats", v)
 
     def _keep(self, name: str, value: int) -> None:
-        if len(self.s[name]) < self.max_samples:
-            self.s[name].append(value)
-        else:
-            self.s["spilled"] = True
+        counts = self.s[name]
+        counts[str(value)] = counts.get(str(value), 0) + 1
 
     def hello(self, row: dict) -> None:
         s = self.s
@@ -114,8 +116,8 @@ class Folding:
         s = self.s
         sizes, iats = ([a + b for a, b in zip(s[x], s[y], strict=True)] for x, y in (("reported", "raw"), ("reported_iat", "raw_iat")))
         clamp = lambda v: None if v is None else min(max(v, s["low"]), s["high"]) if s["low"] is not None else v
-        sized = (lambda p: clamp(_estimate(sizes, PACKET_BOUNDS, p))) if any(s["reported"]) or s["spilled"] else (lambda p: _exact(s["sizes"], p))
-        timed = (lambda p: _estimate(iats, IAT_BOUNDS, p)) if any(s["reported_iat"]) or s["spilled"] else (lambda p: _exact(s["iats"], p))
+        sized = (lambda p: clamp(_estimate(sizes, PACKET_BOUNDS, p))) if any(s["reported"]) else (lambda p: _exact(s["sizes"], p))
+        timed = (lambda p: _estimate(iats, IAT_BOUNDS, p)) if any(s["reported_iat"]) else (lambda p: _exact(s["iats"], p))
         name = "|".join([key[4], key[0], str(key[1]), key[2], str(key[3]), str(s["start"])])
         return dict(zip(KEY, key, strict=True)) | {c: s[c] for c in (*SUMMED, *MAXED)} | {
             "record_type": kind, "window_id": window, "flow_id": hashlib.sha1(name.encode()).hexdigest(), "start_ns": s["start"], "end_ns": end, "event_count": s["count"], "close_reason": reason,
@@ -124,7 +126,7 @@ class Folding:
         }
 
 
-def streaming_sessions(events: DataFrame, session_timeout_ns: int = DEFAULTS["session_timeout_ns"], window_ns: int = DEFAULTS["window_ns"], long_lived_ns: int = DEFAULTS["long_lived_ns"], watermark: str = "1 minute", max_samples: int = 10_000) -> DataFrame:
+def streaming_sessions(events: DataFrame, session_timeout_ns: int = DEFAULTS["session_timeout_ns"], window_ns: int = DEFAULTS["window_ns"], long_lived_ns: int = DEFAULTS["long_lived_ns"], watermark: str = "1 minute") -> DataFrame:
     """events: a normalised stream. Session and window summaries as they come; append mode."""
     labels = [(f"size_{k}", "packet_size_histogram", b) for k, b in enumerate(PACKET_BUCKETS)] + [(f"iat_{k}", "iat_histogram", b) for k, b in enumerate(IAT_BUCKETS)]
     rows = events.where("event_type <> 'DROP'").withColumns({a: F.coalesce(F.try_element_at(m, F.lit(b)), F.lit(0)) for a, m, b in labels})
@@ -132,7 +134,7 @@ def streaming_sessions(events: DataFrame, session_timeout_ns: int = DEFAULTS["se
     whole = [f.strip().split()[0] for f in OUTPUT.split(",")]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Folding(max_samples, json.loads(state.get[0]) if state.exists else None)
+        held = Folding(json.loads(state.get[0]) if state.exists else None)
         out = []
         if state.hasTimedOut:
             out.append(held.record(key, "session_summary", 0, held.s["last"], "timeout", long_lived_ns))

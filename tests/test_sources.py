@@ -14,6 +14,19 @@ from sessionlens.streaming.sessions import streaming_sessions
 from .test_sessions import G, flow, replay
 
 
+def test_percentiles_of_long_sessions_are_exact(spark, tmp_path):
+    at, n = 1_700_000_000 * G, 12_001
+    key = {"src_ip": "10.0.0.1", "src_port": 1, "dst_ip": "10.0.0.2", "dst_port": 2, "protocol": "TCP"}
+    rows = [key | {"event_type": "CONNECT", "timestamp_ns": at, "packet_sizes": list(range(n)), "iat_us": [7 * k for k in range(n)]}, key | {"event_type": "CLOSE", "timestamp_ns": at + G, "packet_sizes": [], "iat_us": []}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    events = src.normalise(src.stream_jsonl(spark, str(tmp_path / "in"), max_files=1))
+    query = streaming_sessions(events).writeStream.format("memory").queryName("long_sessions").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    (got,) = spark.table("long_sessions").where("record_type = 'session_summary'").collect()
+    assert (got.pkt_size_p50, got.pkt_size_p95, got.iat_p50, got.iat_p95) == (6000.0, 11400.0, 42000.0, 79800.0)
+
+
 def test_stream_of_files(spark, tmp_path):
     """One batch per file: sessions of the replay, a hello in between, and a session that times out when time moves on."""
     (tmp_path / "in").mkdir()
