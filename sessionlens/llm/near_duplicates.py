@@ -1,14 +1,12 @@
 """N-gram Jaccard join by MinHash banding.
 
 Rows and bands are chosen for a recall at the threshold. Texts of equal shingle sets are copies and count once from there on.
-Copies need no pairs; different texts meet in the buckets of their band hashes. A bucket of any size is resolved without
-enumerating its pairs: in each round some members lead (1, then 4, 16 ... of each bucket) and are verified, on full shingle
-sets, against the members that don't belong to their class yet; then classes are merged, and leaders leave the bucket. A bucket
-is done when its members are of one class. Pairs whose sets can't overlap enough, by sketches of their differences from the
-bucket's first leader, aren't verified. So texts of different classes are verified against each other unless one of them was
-found to be of the other's class, and no class loses a member that any bucket shows. Classes are the connected components of the
-verified links. Links are counted afterwards: a class is dealt into parts, each two parts meet in one task, and there the shared
-shingles of all their pairs are counted from postings, so every pair of a class is verified but no row is made for it.
+Copies need no pairs; different texts meet in the buckets of their band hashes, in two steps. First every text is verified, on
+full shingle sets, against the first text of each of its buckets. Then the buckets whose members aren't all similar to the first one are dealt
+into parts; each two parts of a bucket meet in a task, which verifies all their pairs from postings of shingles and gives only
+links that join what wasn't joined there. So a bucket of any size is resolved without a
+row for a pair. Classes are the connected components of the links. Links are counted afterwards in the same way: a class is dealt
+into parts, each two parts meet in one task, and the similar pairs between them are counted, so every pair of a class is verified.
 
 Defined results: null counts as empty; a text without words has no shingles, no links and its own class; repeated rows are
 copies of each other; doc_id ties get the same class when their texts do; extra columns are left out of the result.
@@ -22,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,61 +80,22 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_: str = "doc_i
     return source.mapInArrow(run, schema)
 
 
-SKETCH = ("extra", "extra_0", "extra_1", "lacking", "lacking_0", "lacking_1")
-
-
-def _cells(values: np.ndarray) -> tuple[int, int]:
-    """Which of 128 cells the values fall into, as two signed 64-bit integers."""
-    bit = np.uint64(1) << (values & np.uint64(63))
-    low = (values & np.uint64(64)) == 0
-    return tuple(int(np.bitwise_or.reduce(bit[x]).view(np.int64)) if x.any() else 0 for x in (low, ~low))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, n: int, sketch: bool = False) -> DataFrame:
-    """pairs (leader, member) with the jaccard of their full shingle sets; texts: text_key, body.
-
-    With sketch also the leader's size, and for what the member has beyond the leader (extra) and what it lacks of it, the
-    number and the cells.
-    """
+def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """pairs (leader, member) with the jaccard of their full shingle sets; texts: text_key, body."""
     both = pairs.join(texts.select(F.col("text_key").alias("leader"), F.col("body").alias("a")), "leader").join(texts.select(F.col("text_key").alias("member"), F.col("body").alias("b")), "member")
-    names = ["leader", "member", "jaccard", *(["l_size", *SKETCH] if sketch else [])]
 
     def run(batches):
         for batch in chain.from_iterable(slices(b, ["a", "b"]) for b in batches):
             a_all, a_at = distinct_by_row(*shingle_hashes(batch.column("a"), n))
             b_all, b_at = distinct_by_row(*shingle_hashes(batch.column("b"), n))
-            rows = []
+            found = np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
                 a, b = a_all[a_at[i] : a_at[i + 1]], b_all[b_at[i] : b_at[i + 1]]
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                hit = a[at] == b
-                shared = int(hit.sum())
-                row = (shared / (len(a) + len(b) - shared),)
-                if sketch:
-                    lacking = np.ones(len(a), dtype=bool)
-                    lacking[at[hit]] = False
-                    row += (len(a), len(b) - shared, *_cells(b[~hit]), len(a) - shared, *_cells(a[lacking]))
-                rows.append(row)
-            columns = [pa.array(x, pa.float64() if k == 0 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))] or [pa.array([], pa.float64() if c == "jaccard" else pa.int64()) for c in names[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), *columns], names=names)
-
-    return both.select("leader", "member", "a", "b").mapInArrow(run, ", ".join(f"{c} {'double' if c == 'jaccard' else 'long'}" for c in names))
-
+                shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                found[i] = shared / (len(a) + len(b) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), pa.array(found)], names=["leader", "member", "jaccard"])
 
-def _most_shared() -> Column:
-    """The most that two members of a bucket, a and b, can have in common, from their differences to the bucket's first leader.
-
-    Of two sets x and y, every cell that only x has shows an element that y lacks.
-    """
-
-    def most(kind: str) -> Column:
-        def of(x: str, y: str) -> Column:
-            only = [F.bit_count(F.col(f"{x}.{kind}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{kind}_{k}")))) for k in (0, 1)]
-            return F.col(f"{x}.{kind}") - only[0] - only[1]
-
-        return F.least(of("a", "b"), of("b", "a"))
-
-    return F.col("a.l_size") - F.col("a.lacking") - F.col("b.lacking") + most("lacking") + most("extra")
+    return both.select("leader", "member", "a", "b").mapInArrow(run, "leader long, member long, jaccard double")
 
 
 def connected(links: DataFrame, a: str = "leader", b: str = "member") -> DataFrame:
@@ -157,154 +116,173 @@ def connected(links: DataFrame, a: str = "leader", b: str = "member") -> DataFra
             return labels
 
 
-def find_classes(signed: DataFrame, docs: DataFrame, n: int, threshold: float, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """The texts that share a bucket with others (text_key, body), and the classes of those with links (node, root)."""
-    spark = signed.sparkSession
-    unique = signed.where("text_key is not null").groupBy("text_key").agg(F.first("buckets").alias("buckets"))
-    rows = unique.select("text_key", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = stored(rows.join(shared, "bucket").select("bucket", F.col("text_key").alias("member")), "buckets")
-    wanted = active.select(F.col("member").alias("text_key")).distinct()
-    row = F.min(F.struct("doc_id", "body_key")).alias("row")
-    ids = stored(signed.where("text_key is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(row).select("text_key", F.col("row.doc_id").alias("own"), F.col("row.body_key").alias("own_key")), "wanted")
+def distinct_texts(signed: DataFrame) -> DataFrame:
+    """A row per text_key: its buckets, copies, smallest doc_id (low) and the smallest row (place) that has it."""
+    place = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "body_key"))
+    known = signed.where("text_key is not null").groupBy("text_key")
+    return stored(known.agg(F.first("buckets").alias("buckets"), F.count("*").alias("n_copies"), F.min("doc_id").alias("low"), place.alias("place")), "distinct")
+
+
+def bodies_of(unique: DataFrame, wanted: DataFrame, docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """text_key, body of the wanted texts, each from its smallest row."""
+    ids = stored(unique.join(wanted, "text_key").select("text_key", F.col("place.doc_id").alias("own"), F.col("place.body_key").alias("own_key")), "wanted")
     small = ids.count() <= BROADCAST_IDS
     bodies = docs.select(F.col(id_).alias("doc_id"), body_key(text).alias("body_key"), text_or_empty(text).alias("body"))
     bodies = bodies.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("body_key") == F.col("own_key")))
-    texts = stored(bodies.select("text_key", "body").dropDuplicates(["text_key"]), "texts")
-    labels = seen = None
-    leaders_n = 1
-    while True:
-        root = F.coalesce("root", "member") if labels is not None else F.col("member")
-        placed = active if labels is None else active.join(labels.withColumnRenamed("node", "member"), "member", "left")
-        placed = placed.select("bucket", "member", root.alias("root"), *(["l_size", *SKETCH] if labels is not None else []))
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        members = stored(placed.join(open_, "bucket"), "members")
-        if members.isEmpty():
-            return texts, labels
-        if leaders_n == 1:
-            leaders = members.groupBy("bucket").agg(F.min(F.struct("member", "root")).alias("l")).select("bucket", F.col("l.member").alias("leader"), F.col("l.root").alias("leads"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "member"), "member"))
-            leaders = members.withColumn("place", place).where(F.col("place") <= leaders_n).drop("place")
-        leaders = stored(leaders, "leaders")
-        if leaders_n == 1:
-            met = members.join(leaders, "bucket").where("root != leads").select("leader", "member")
-        else:
-            size = lambda x: F.col(f"{x}.l_size") - F.col(f"{x}.lacking") + F.col(f"{x}.extra")
-            enough = _most_shared() + 1e-6 >= (size("a") + size("b")) * (threshold / (1 + threshold))
-            met = members.alias("a").join(leaders.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & enough)
-            met = met.select(F.col("b.member").alias("leader"), F.col("a.member").alias("member"))
-        met = met.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
-        if seen is not None:
-            met = met.join(seen, ["leader", "member"], "left_anti")
-        pairs = stored(verified(met, texts, n, sketch=leaders_n == 1), "pairs")
-        good = pairs.where(F.col("jaccard") >= threshold).select("leader", "member")
-        bad = pairs.where(F.col("jaccard") < threshold).select("leader", "member")
-        seen = bad if seen is None else seen.unionByName(bad)
-        labels = merged(labels, good)
-        if leaders_n == 1:  # everything has met its bucket's first leader
-            rest = members.join(leaders, "bucket").join(pairs, ["leader", "member"])
-        else:
-            rest = members.join(leaders.select("bucket", "member"), ["bucket", "member"], "left_anti")
-        fresh = stored(rest.select("bucket", "member", "l_size", *SKETCH), "buckets")
-        for old in (active, members, leaders):
-            dropped(spark, old)
-        active = fresh
-        leaders_n *= 4
-
-
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """node, root after more links: only what they join among the roots so far is worked on."""
-    if labels is None:
-        return connected(links)
-
-    def root(side: str) -> DataFrame:
-        return labels.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-
-    ends = links.join(root("leader"), "leader", "left").join(root("member"), "member", "left")
-    joins = stored(ends.select(F.coalesce("leader_root", "leader").alias("leader"), F.coalesce("member_root", "member").alias("member")).where("leader != member").distinct(), "joins")
-    if joins.isEmpty():
-        return labels
-    moved = connected(joins).withColumnRenamed("root", "to")
-    old = labels.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    new = moved.join(labels, "node", "left_anti").select("node", F.col("to").alias("root"))
-    return stored(old.unionByName(new), "labels")
-
-
-def similar_in(sets: list[np.ndarray], parts: np.ndarray, threshold: float) -> np.ndarray:
-    """For each set (sorted, distinct) the number of similar ones: in the other part, or in its own where there is one only."""
+    return stored(bodies.select("text_key", "body").dropDuplicates(["text_key"]), "texts")
+
+
+def find_classes(unique: DataFrame, docs: DataFrame, n: int, threshold: float, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """The texts that share a bucket with others (text_key, body), and the classes of those with links (node, root)."""
+    spark = unique.sparkSession
+    rows = unique.select("text_key", F.explode("buckets").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_key").alias("leader")).where("n > 1").select("bucket", "leader")
+    members = stored(rows.join(shared, "bucket").select("bucket", "leader", F.col("text_key").alias("member")), "buckets")
+    if members.isEmpty():
+        return unique.limit(0).select("text_key", F.lit("").alias("body")), None
+    texts = bodies_of(unique, members.select(F.col("member").alias("text_key")).distinct(), docs, id_, text)
+    # everything meets the first text of its buckets; buckets where not all are similar to that one are looked at as a whole
+    pairs = stored(verified(members.where("leader != member").select("leader", "member").distinct(), texts, n), "pairs")
+    good = pairs.where(F.col("jaccard") >= threshold).select("leader", "member")
+    placed = members.join(good.withColumn("linked", F.lit(True)), ["leader", "member"], "left").select("bucket", "member", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("member")).alias("root"))
+    alike = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("member", "root").cast("decimal(38,0)")).alias("sum")]
+    # buckets of the same members (by number and hashes) are worked on once
+    apart = placed.groupBy("bucket").agg(*alike).where("low < high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    more = links_apart(placed.join(apart, "bucket"), texts, n, threshold)
+    labels = connected(good.unionByName(more))
+    for old in (members, pairs):
+        dropped(spark, old)
+    return texts, labels
+
+
+def in_parts(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, text_key, body, ...) dealt into parts of their groups, each part once for each part of the group: low, high, part.
+
+    So every two parts of a group meet in the rows of one (group, low, high), and a part meets itself.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.length("body")) / PART_CHARS)).cast("int")
+    sizes = rows.groupBy(group).agg(parts.alias("parts"))
+    dealt = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)))
+    met = met.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other", "parts")
+    return met.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
+def meetings(batches, n: int, columns: list[str]):
+    """The rows of each (group, low, high) after one another: (columns, part) as arrays and the shingle sets."""
+    held, rows, sets = None, [], []
+    for batch in chain.from_iterable(slices(b, ["body"]) for b in batches):
+        values, starts = distinct_by_row(*shingle_hashes(batch.column("body"), n))
+        for i, (*group, part, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in (columns[0], "low", "high", "part", *columns[1:])], strict=True)):
+            if group != held:
+                if _both_there(held, rows):
+                    yield rows, sets
+                held, rows, sets = group, [], []
+            rows.append((part, a, b))
+            sets.append(values[starts[i] : starts[i + 1]])
+    if _both_there(held, rows):
+        yield rows, sets
+
+
+def _both_there(group, rows) -> bool:
+    """Two parts of which one is empty are left out: what the other has meets itself elsewhere."""
+    return bool(rows) and (group[1] == group[2] or len({r[0] for r in rows}) == 2)
+
+
+def links_apart(still: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (leader, member) inside buckets. still: bucket, member, root (what it is linked to). Of a meeting only the links of a forest over its roots come out."""
+    rows = still.select("bucket", F.col("member").alias("text_key"), "root").join(texts, "text_key")
+
+    def run(batches):
+        for met, sets in meetings(batches, n, ["bucket", "text_key", "root"]):
+            parts, keys, up = np.array([r[0] for r in met]), [r[1] for r in met], {r[2]: r[2] for r in met}
+
+            def top(x: int, up=up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            roots, found = [r[2] for r in met], []
+            for j, near in similar_pairs(sets, parts, threshold):
+                for i in near.tolist():
+                    x, y = top(roots[i]), top(roots[j])
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        found.append((keys[i], keys[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["leader", "member"])
+
+    return in_parts(rows, "bucket").select("bucket", "low", "high", "part", "text_key", "root", "body").mapInArrow(run, "leader long, member long").distinct()
+
+
+def similar_pairs(sets: list[np.ndarray], parts: np.ndarray, threshold: float):
+    """(j, the similar ones of the first part) for each set of the other part, or of the only one (itself left out). Sets are sorted and distinct."""
     sizes, own = np.array([len(x) for x in sets]), parts == parts.min()
     left, right = np.flatnonzero(own), np.arange(len(sets)) if own.all() else np.flatnonzero(~own)
     values, owner = np.concatenate([sets[i] for i in left]), np.repeat(np.arange(len(left)), sizes[left])
     order = np.argsort(values, kind="stable")
     owner = owner[order]
     values, begins, counts = np.unique(values[order], return_index=True, return_counts=True)
-    found = np.zeros(len(sets), dtype=np.int64)
     for j in right:
         at = np.minimum(np.searchsorted(values, sets[j]), len(values) - 1)
         at = at[values[at] == sets[j]]
         k = counts[at]
         postings = np.repeat(begins[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
         shared = np.bincount(owner[postings], minlength=len(left))
-        similar = shared / (sizes[left] + sizes[j] - shared) >= threshold
-        if own.all():
-            found[j] = similar.sum() - similar[j]
-        else:
-            found[j] = similar.sum()
-            found[left] += similar
-    return found
+        near = left[shared / (sizes[left] + sizes[j] - shared) >= threshold]
+        yield j, near[near != j]
 
 
 def degrees(texts: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
     """text_key, degree: the other texts of its class that a text is similar to, of all pairs of the class."""
     own = texts.join(labels.withColumnRenamed("node", "text_key"), "text_key").select("text_key", "root", "body")
-    parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.length("body")) / PART_CHARS)).cast("int")
-    sizes = own.groupBy("root").agg(parts.alias("parts"))
-    dealt = own.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text_key", "body")
 
     def run(batches):
-        held, keys, sets, parts = None, [], [], []
-
-        def finish():
-            # two parts of which one is empty: what the other has is counted where it meets itself
-            if keys and (held[1] == held[2] or len(set(parts)) == 2):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(similar_in(sets, np.array(parts), threshold))], names=["text_key", "k"])
-
-        for batch in chain.from_iterable(slices(b, ["body"]) for b in batches):
-            values, starts = distinct_by_row(*shingle_hashes(batch.column("body"), n))
-            for i, (*group, part, key) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("root", "low", "high", "part", "text_key")], strict=True)):
-                if group != held:
-                    yield from finish()
-                    held, keys, sets, parts = group, [], [], []
-                keys.append(key)
-                parts.append(part)
-                sets.append(values[starts[i] : starts[i + 1]])
-        yield from finish()
-
-    counted = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, "text_key long, k long")
+        for met, sets in meetings(batches, n, ["root", "text_key", "text_key"]):
+            parts, found = np.array([r[0] for r in met]), np.zeros(len(met), dtype=np.int64)
+            alone = len(set(parts.tolist())) == 1
+            for j, near in similar_pairs(sets, parts, threshold):
+                found[j] += len(near)
+                if not alone:
+                    found[near] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in met], pa.int64()), pa.array(found)], names=["text_key", "k"])
+
+    counted = in_parts(own, "root").select("root", "low", "high", "part", "text_key", "body").mapInArrow(run, "text_key long, k long")
     return counted.groupBy("text_key").agg(F.sum("k").alias("degree"))
 
 
+#: A text is hot from this share of all rows on; so there are at most 1 / HOT_SHARE hot ones.
+HOT_SHARE = 1e-3
+
+
+def with_texts(signed: DataFrame, per_text: DataFrame) -> DataFrame:
+    """signed rows (doc_id, text_key) with the columns of per_text; copies of a hot text stay in the tasks they are in. Null keys get nulls."""
+    rows = signed.select("doc_id", "text_key")
+    most = max(1.0, HOT_SHARE * rows.count())
+    hot = per_text.where(F.col("n_copies") > most)  # at most 1 / HOT_SHARE rows
+    some = rows.where("text_key is not null")
+    many = some.join(F.broadcast(hot), "text_key")
+    few = some.join(F.broadcast(hot.select("text_key")), "text_key", "left_anti").join(per_text.where(F.col("n_copies") <= most), "text_key")
+    return many.unionByName(few).unionByName(rows.where("text_key is null"), allowMissingColumns=True)
+
+
 def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links, n_copies, class_texts.
 
     n_links counts the other copies of the text and the different texts of its class that it is similar to.
     """
-    spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, n, bands, rows, id_, text), "signatures")
-    bodies, roots = find_classes(signed, docs, n, threshold, id_, text)
+    unique = distinct_texts(signed)
+    bodies, roots = find_classes(unique, docs, n, threshold, id_, text)
+    texts = unique.select("text_key", "n_copies", "low")
     if roots is None:  # no bucket has two texts
-        roots = spark.createDataFrame([], "node long, root long")
-    similar = degrees(bodies, roots, n, threshold)
-    copies = signed.where("text_key is not null").groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("low"))
-    texts = copies.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").join(similar, "text_key", "left")
-    texts = texts.withColumn("root", F.coalesce("root", "text_key"))
+        texts = texts.withColumns({"root": F.col("text_key"), "degree": F.lit(0)})
+    else:
+        known = roots.withColumnRenamed("node", "text_key").join(degrees(bodies, roots, n, threshold), "text_key", "left")
+        texts = texts.join(known, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     classes = texts.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("class_texts"))
     per_text = stored(texts.join(classes, "root").select("text_key", "class_id", "n_copies", "class_texts", (F.coalesce("degree", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "classes")
-    out = signed.select("doc_id", "text_key").join(per_text, "text_key", "left")
+    out = with_texts(signed, per_text)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
 
 
@@ -315,9 +293,9 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Dat
     """
     bands, rows = bands_for(threshold, recall=0.9995)
     signed = stored(signatures(docs, n, bands, rows), "signatures")
-    _, roots = find_classes(signed, docs, n, threshold)
-    place = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "body_key"))
-    first = signed.where("text_key is not null").groupBy("text_key").agg(place.alias("place"))
+    unique = distinct_texts(signed)
+    _, roots = find_classes(unique, docs, n, threshold)
+    first = unique.select("text_key", "place")
     if roots is not None:
         rooted = first.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         first = rooted.groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("place").alias("place"))

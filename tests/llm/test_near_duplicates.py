@@ -103,5 +103,30 @@ def test_edges(spark):
 
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    got = {r.doc_id: r.class_id for r in op6_ngram_jaccard_join(spark, small).collect()}
-    assert got == classes(rows)
+    got = op6_ngram_jaccard_join(spark, small).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(rows)
+    assert {r.doc_id: r.n_links for r in got} == links(rows)  # at the query's own recall no link is lost here
+
+
+def test_a_bucket_of_unlike_texts(spark, monkeypatch):
+    """Texts that share most words, but not enough, meet in common buckets; only true links come out, in one part or in many."""
+    r = random.Random(5)
+    common = [f"c{k}" for k in range(150)]
+    rows = []
+    for k in range(30):
+        own = [f"o{k}_{i}" for i in range(24)]
+        text = " ".join(common + own)
+        rows += [(3 * k, text), (3 * k + 1, text + f" x{k} y{r.randrange(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (256, 7):
+        monkeypatch.setattr(near_duplicates, "PART_TEXTS", most)
+        got = similarity_join(docs, threshold=0.8, recall=0.99999).collect()
+        assert {x.doc_id: x.class_id for x in got} == classes(rows)
+        assert {x.doc_id: x.n_links for x in got} == links(rows)
+
+
+def test_hot_copies_stay_where_they_are(spark, monkeypatch):
+    rows = [(k, "one two three four five six") for k in range(50)] + [(99, "seven eight"), (100, None)]
+    monkeypatch.setattr(near_duplicates, "HOT_SHARE", 0.1)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (0, 49, 50) for k in range(50)} | {99: (99, 0, 1), 100: (100, 0, 1)}
