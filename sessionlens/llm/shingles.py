@@ -49,20 +49,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of a string column without nulls, and where each row's words begin (one more than rows)."""
+def word_spans(column: pa.Array, inside: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, ends, starts): where the words of a string column without nulls are, and where each row's words begin (one more than rows).
+
+    inside says which bytes words have.
+    """
     column = column.cast(pa.large_string())
     rows = len(column)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + rows + 1]
     if not rows or offsets[-1] == offsets[0]:
-        return np.empty(0, dtype=np.uint64), np.zeros(rows + 1, dtype=np.int64)
+        none = np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint8), none, none, np.zeros(rows + 1, dtype=np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = np.concatenate([[False], _INSIDE[data], [False]])
+    held = np.concatenate([[False], inside[data], [False]])
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True  # words end with their row
-    begins = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
-    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    begins = np.flatnonzero(held[1:-1] & (~held[:-2] | cut[:-1]))
+    ends = np.flatnonzero(held[1:-1] & (~held[2:] | cut[1:])) + 1
+    return data, begins, ends, np.searchsorted(begins, offsets)
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, A-Z lower-cased."""
     n = len(data)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     value = _BYTE[data]
@@ -73,8 +82,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, n // _STEP + 1):
             value[k * _STEP : (k + 1) * _STEP] *= high[k]
     np.cumsum(value, out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[begins]) * _power(_DOWN, _R_INVERSE, begins) + (ends - begins).astype(np.uint64))
-    return hashes, np.searchsorted(begins, offsets)
+    return mix((prefix[ends] - prefix[begins]) * _power(_DOWN, _R_INVERSE, begins) + (ends - begins).astype(np.uint64))
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a string column without nulls, and where each row's words begin (one more than rows)."""
+    data, begins, ends, starts = word_spans(column)
+    return span_hashes(data, begins, ends), starts
 
 
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
