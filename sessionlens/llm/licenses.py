@@ -8,8 +8,8 @@ words are there and none of those that tell it from others (its name, its versio
 
 Defined results: null and empty texts have no blocks and no licenses; repeated rows are scanned each; a license that several
 blocks name is reported once, by its best block; ties go to the template listed first; extra columns stay unless a result column
-has their name; an empty table gives an empty result. Long paragraphs are searched around every mention, across their line breaks, as far as twice
-the longest template reaches.
+has their name; an empty table gives an empty result. Long lines and paragraphs are searched around every mention, paragraphs across
+their line breaks, as far as the longest template reaches.
 """
 
 from __future__ import annotations
@@ -26,27 +26,38 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, table, text_or_empty
 
-MENTION = re.compile(r"licen[cs]e|copyright|©|rights reserved|public domain|creative commons|\bcc[ -]?by|\bcc0\b|spdx|hereby granted|redistribution and use|\bgnu\b|apache|unlicense", re.I)
+MENTION = re.compile(r"licen[cs]e|copyright|©|rights reserved|public domain|creative commons|\bcc[ -]?by|\bcc0\b|spdx|hereby granted|redistribution and use|\bgnu\b|apache|unlicense|permission (?:is|to)\b", re.I)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 LONG, AROUND = 600, 220
 GAP = 4
 
 # Usual license notices; words that a match must not miss.
-TEMPLATES = [
+NOTICES = [
     ("MIT", "Released under the MIT License.", "mit"),
     ("MIT", "Licensed under the MIT License.", "mit"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "permission granted"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "permission granted sublicense"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', "apache 2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general 2"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser 3"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "gnu lesser 2.1"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse 2.0"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary"),
     ("BSD", "Licensed under the BSD License.", "bsd"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistribution binary reproduce retain"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistribution binary reproduce retain endorse"),
     ("ISC", "Licensed under the ISC License.", "isc"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission granted fee"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "permission granted anyone alter"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
     ("CC0-1.0", "Licensed under CC0 1.0.", "cc0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0"),
@@ -58,14 +69,20 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative noncommercial 4.0"),
     ("all-rights-reserved", "All rights reserved.", "all rights reserved"),
 ]
+# Identifiers that SPDX lines name.
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0"]
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+#: Every name of SPDX has a line of its own as template, of which no word may be missing.
+TEMPLATES = NOTICES + [(name, f"SPDX-License-Identifier: {name}", " ".join(words(f"spdx license identifier {name}"))) for name in SPDX]
+
+
 def blocks_of(text: str, around: int = AROUND) -> list[str]:
-    """Lines and paragraphs of several lines that mention licensing; of long ones around characters on both sides of each mention."""
+    """Lines and paragraphs of several lines that mention licensing; of long ones the surroundings of each mention, so many characters on both sides."""
     if not MENTION.search(text):
         return []
     out: dict[str, None] = {}
@@ -73,24 +90,13 @@ def blocks_of(text: str, around: int = AROUND) -> list[str]:
         if not MENTION.search(paragraph):
             continue
         lines = paragraph.split("\n")
-        if len(lines) > 1 and len(paragraph) <= LONG * 4:
-            out[paragraph] = None
-        elif len(lines) > 1:
-            for m in MENTION.finditer(paragraph):
-                out[paragraph[max(0, m.start() - around) : m.end() + around]] = None
-        for line in lines:
-            found = list(MENTION.finditer(line))
-            if found and len(line) <= LONG:
-                out[line] = None
-            elif found:
-                start, end = -1, -1
-                for m in found:
-                    if m.start() - around > end:
-                        if end >= 0:
-                            out[line[start:end]] = None
-                        start = max(0, m.start() - around)
-                    end = min(len(line), m.end() + around)
-                out[line[start:end]] = None
+        whole = [(paragraph, LONG * 4)] if len(lines) > 1 else []
+        for piece, most in whole + [(line, LONG) for line in lines if MENTION.search(line)]:
+            if len(piece) <= most:
+                out[piece] = None
+            else:
+                for m in MENTION.finditer(piece):
+                    out[piece[max(0, m.start() - around) : m.end() + around]] = None
     return list(out)
 
 
@@ -106,15 +112,15 @@ class Template:
 class Scanner:
     """Templates with compressors; kept per Python worker task."""
 
-    def __init__(self, templates=None, ranked: int | None = None, coverage: float = 0.75, level: int = 3):
-        self.ranked, self.coverage = ranked, coverage
+    def __init__(self, templates=None, coverage: float = 0.75, level: int = 3):
+        self.coverage = coverage
         options = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**options)
         self.templates = []
         for name, text, needed in templates or TEMPLATES:
             raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append(Template(name, text, frozenset(needed.split()), words(text), zstandard.ZstdCompressor(dict_data=raw, **options)))
-        self.around = max(AROUND, 2 * max((len(t.text) for t in self.templates), default=0))
+        self.around = max([AROUND, *[len(t.text) * 5 // 4 for t in self.templates]])
         self.known: dict[str, list[dict]] = {}
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
@@ -124,11 +130,21 @@ class Scanner:
         return sorted(((1 - len(t.compressor.compress(data)) / alone, k) for k, t in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, template: Template, tokens: list[str]) -> dict | None:
-        """Wording differences if the template is in the block: coverage, missing and added words inside the aligned stretch."""
+        """The best wording of the template in the block, if it is there: every place of its rarest needed word is tried."""
         if not template.needed <= set(tokens):
             return None
+        anchor, reach, best = min(sorted(template.needed), key=tokens.count), 2 * len(template.tokens), None
+        for at in (k for k, w in enumerate(tokens) if w == anchor):
+            start = max(0, at - reach)
+            found = self.align(template, tokens[start : at + reach + 1])
+            if found and (best is None or (found["coverage"], -len(found["added"])) > (best["coverage"], -len(best["added"]))):
+                best = found | {"places": {p + start for p in found["places"]}}
+        return best
+
+    def align(self, template: Template, tokens: list[str]) -> dict | None:
+        """Wording differences if the template is in these words: coverage, missing and added words inside the aligned stretch."""
         matches = [m for m in SequenceMatcher(None, template.tokens, tokens, autojunk=False).get_matching_blocks() if m.size]
-        # around the longest run, with gaps of at most GAP words: the same words elsewhere in the block are no notice
+        # around the longest run, with gaps of at most GAP words: the same words elsewhere are no notice
         low = high = max(range(len(matches)), key=lambda k: matches[k].size, default=0)
         while low > 0 and matches[low].b - (matches[low - 1].b + matches[low - 1].size) <= GAP:
             low -= 1
@@ -152,7 +168,7 @@ class Scanner:
             if len(self.known) > 20_000:
                 self.known.clear()
             tokens, found = words(block), []
-            for reduction, k in self.reductions(block)[: self.ranked]:
+            for reduction, k in self.reductions(block):
                 t = self.templates[k]
                 if reduction > 0 and (c := self.confirm(t, tokens)):
                     found.append({"license": t.license, "reduction": reduction, **c, "block": block})

@@ -1,6 +1,4 @@
-import random
-
-from sessionlens.llm.licenses import TEMPLATES, Scanner, blocks_of, op2_license_scan, scan_documents, words
+from sessionlens.llm.licenses import NOTICES, TEMPLATES, Scanner, blocks_of, op2_license_scan, scan_documents, words
 
 LINES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "all-rights-reserved"}
 PROSE = "Thatou erin the work of nd, under which thion. Reing was it version of ha and to."
@@ -45,16 +43,56 @@ def test_wrapped_notices_in_long_paragraphs():
     assert names(both) == sorted(wrapped.values())
 
 
-def test_ranking_against_all_templates():
-    """Confirming only the best few by size gives what confirming all gives."""
-    r, few, all_ = random.Random(3), Scanner(), Scanner(ranked=len(TEMPLATES))
-    for _ in range(300):
-        tokens = r.choice(TEMPLATES)[1].split()
-        for _ in range(r.randrange(3)):
-            tokens.insert(r.randrange(len(tokens) + 1), r.choice(["thion", "eren", "copyright"]))
-        text = " ".join(tokens)
-        best = lambda s: max((x["coverage"] for x in s.scan(text)[1]), default=0)
-        assert best(few) == best(all_)
+def common(a, b):
+    """Pairs of places of a longest common subsequence, by the textbook."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif n[i + 1][j] >= n[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def by_hand(text):
+    """All templates against the whole text, without blocks, compression or ranking."""
+    tokens, found = words(text), []
+    for name, template, needed in TEMPLATES:
+        own, needed = words(template), set(needed.split())
+        if not needed <= set(tokens):
+            continue
+        anchor = sorted(needed, key=lambda w: (tokens.count(w), w))[0]
+        for at in [k for k, w in enumerate(tokens) if w == anchor]:
+            start = max(0, at - len(own) - 6)
+            pairs = common(own, tokens[start : at + len(own) + 6])
+            close = [p for k, p in enumerate(pairs) if (k and p[1] - pairs[k - 1][1] <= 5) or (k + 1 < len(pairs) and pairs[k + 1][1] - p[1] <= 5) or len(pairs) == 1]
+            if len(close) >= 0.75 * len(own) and needed <= {own[i] for i, _ in close}:
+                found.append((name, {start + j for _, j in close}))
+    return sorted({n for n, places in found if not any(places < other for m, other in found if m != n)})
+
+
+def test_whole_texts_equal_plain_alignment(spark, small):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: sorted(filter(None, r.licenses.split(","))) for r in op2_license_scan(spark, small).collect()}
+    assert got == {i: by_hand(t) for i, t in docs.items()}
+    ten = " ".join(t for n, t, _ in NOTICES if t.startswith("Licensed under"))
+    filler = " ".join(["thion eren of ha"] * 1200)
+    for notice in [t for _, t, _ in TEMPLATES] + [ten]:
+        for text in (f"{notice} {filler}", f"{filler}\n{notice} {filler}", f"{filler} {notice}", "\n".join([*["eren thion of ha " * 4] * 80, *notice.replace(", ", ",\n").split("\n"), *["ha of thion " * 5] * 80])):
+            assert names(text) == by_hand(text), (notice, text[:60])
+    assert len(names(ten + " " + filler)) == len({n for n, t, _ in NOTICES if t.startswith("Licensed under")})
+
+
+def test_spdx_lines():
+    assert names("// SPDX-License-Identifier: Apache-2.0\ncode") == ["Apache-2.0"] and names("# SPDX-License-Identifier: MIT") == ["MIT"]
+    assert names("SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0"] and names("SPDX-License-Identifier: Foo-1.0") == []
 
 
 def test_blocks():
