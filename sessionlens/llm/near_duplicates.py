@@ -33,6 +33,19 @@ BROADCAST_IDS = 1_000_000
 PART_TEXTS, PART_CHARS = 256, 1_000_000
 
 
+#: A key is hot from this share of all rows on; so there are at most 1 / HOT_SHARE hot ones.
+HOT_SHARE = 1e-3
+
+
+def joined(rows: DataFrame, sums: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with the columns of sums (a row per key; n is how many of the total rows have it). Rows of hot keys stay in the tasks they are in."""
+    most = max(1.0, HOT_SHARE * total)
+    hot = sums.where(F.col(n) > most)  # at most 1 / HOT_SHARE rows
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.where(F.col(n) <= most), key)
+    return many.unionByName(few)
+
+
 def bands_for(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
     """(bands, rows): the largest rows for which bands * rows <= most hashes find a pair at the threshold with that recall."""
     for rows in range(8, 0, -1):
@@ -136,8 +149,9 @@ def find_classes(unique: DataFrame, docs: DataFrame, n: int, threshold: float, i
     """The texts that share a bucket with others (text_key, body), and the classes of those with links (node, root)."""
     spark = unique.sparkSession
     rows = unique.select("text_key", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_key").alias("leader")).where("n > 1").select("bucket", "leader")
-    members = stored(rows.join(shared, "bucket").select("bucket", "leader", F.col("text_key").alias("member")), "buckets")
+    shared = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_key").alias("leader")).where("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    members = stored(joined(rows, shared, "bucket", "n", total).select("bucket", "leader", F.col("text_key").alias("member")), "buckets")
     if members.isEmpty():
         return unique.limit(0).select("text_key", F.lit("").alias("body")), None
     texts = bodies_of(unique, members.select(F.col("member").alias("text_key")).distinct(), docs, id_, text)
@@ -147,24 +161,24 @@ def find_classes(unique: DataFrame, docs: DataFrame, n: int, threshold: float, i
     placed = members.join(good.withColumn("linked", F.lit(True)), ["leader", "member"], "left").select("bucket", "member", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("member")).alias("root"))
     alike = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("member", "root").cast("decimal(38,0)")).alias("sum")]
     # buckets of the same members (by number and hashes) are worked on once
-    apart = placed.groupBy("bucket").agg(*alike).where("low < high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
-    more = links_apart(placed.join(apart, "bucket"), texts, n, threshold)
+    apart = placed.groupBy("bucket").agg(*alike).where("low < high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    more = links_apart(joined(placed, apart, "bucket", "n", total).drop("n"), texts, n, threshold, total)
     labels = connected(good.unionByName(more))
-    for old in (members, pairs):
+    for old in (shared, members, pairs):
         dropped(spark, old)
     return texts, labels
 
 
-def in_parts(rows: DataFrame, group: str) -> DataFrame:
+def in_parts(rows: DataFrame, group: str, total: int) -> DataFrame:
     """rows (group, text_key, body, ...) dealt into parts of their groups, each part once for each part of the group: low, high, part.
 
     So every two parts of a group meet in the rows of one (group, low, high), and a part meets itself.
     """
     parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.length("body")) / PART_CHARS)).cast("int")
-    sizes = rows.groupBy(group).agg(parts.alias("parts"))
-    dealt = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
+    sizes = rows.groupBy(group).agg(parts.alias("parts"), F.count("*").alias("members"))
+    dealt = joined(rows, sizes, group, "members", total).withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)))
-    met = met.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other", "parts")
+    met = met.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other", "parts", "members")
     return met.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
@@ -189,9 +203,9 @@ def _both_there(group, rows) -> bool:
     return bool(rows) and (group[1] == group[2] or len({r[0] for r in rows}) == 2)
 
 
-def links_apart(still: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+def links_apart(still: DataFrame, texts: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
     """Links (leader, member) inside buckets. still: bucket, member, root (what it is linked to). Of a meeting only the links of a forest over its roots come out."""
-    rows = still.select("bucket", F.col("member").alias("text_key"), "root").join(texts, "text_key")
+    rows = stored(still.select("bucket", F.col("member").alias("text_key"), "root"), "apart").join(texts, "text_key")
 
     def run(batches):
         for met, sets in meetings(batches, n, ["bucket", "text_key", "root"]):
@@ -211,7 +225,7 @@ def links_apart(still: DataFrame, texts: DataFrame, n: int, threshold: float) ->
                         found.append((keys[i], keys[j]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["leader", "member"])
 
-    return in_parts(rows, "bucket").select("bucket", "low", "high", "part", "text_key", "root", "body").mapInArrow(run, "leader long, member long").distinct()
+    return in_parts(rows, "bucket", total).select("bucket", "low", "high", "part", "text_key", "root", "body").mapInArrow(run, "leader long, member long").distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], parts: np.ndarray, threshold: float):
@@ -246,23 +260,15 @@ def degrees(texts: DataFrame, labels: DataFrame, n: int, threshold: float) -> Da
                     found[near] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in met], pa.int64()), pa.array(found)], names=["text_key", "k"])
 
-    counted = in_parts(own, "root").select("root", "low", "high", "part", "text_key", "body").mapInArrow(run, "text_key long, k long")
+    counted = in_parts(own, "root", own.count()).select("root", "low", "high", "part", "text_key", "body").mapInArrow(run, "text_key long, k long")
     return counted.groupBy("text_key").agg(F.sum("k").alias("degree"))
 
 
-#: A text is hot from this share of all rows on; so there are at most 1 / HOT_SHARE hot ones.
-HOT_SHARE = 1e-3
-
-
 def with_texts(signed: DataFrame, per_text: DataFrame) -> DataFrame:
-    """signed rows (doc_id, text_key) with the columns of per_text; copies of a hot text stay in the tasks they are in. Null keys get nulls."""
+    """signed rows (doc_id, text_key) with the columns of per_text. Null keys get nulls."""
     rows = signed.select("doc_id", "text_key")
-    most = max(1.0, HOT_SHARE * rows.count())
-    hot = per_text.where(F.col("n_copies") > most)  # at most 1 / HOT_SHARE rows
-    some = rows.where("text_key is not null")
-    many = some.join(F.broadcast(hot), "text_key")
-    few = some.join(F.broadcast(hot.select("text_key")), "text_key", "left_anti").join(per_text.where(F.col("n_copies") <= most), "text_key")
-    return many.unionByName(few).unionByName(rows.where("text_key is null"), allowMissingColumns=True)
+    found = joined(rows.where("text_key is not null"), per_text, "text_key", "n_copies", rows.count())
+    return found.unionByName(rows.where("text_key is null"), allowMissingColumns=True)
 
 
 def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_: str = "doc_id", text: str = "text") -> DataFrame:
