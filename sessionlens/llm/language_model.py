@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dropped, shared_dir, slices, stored, table, text_or_empty
 from .shingles import mix, span_hashes, word_spans
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 #: About so many n-grams of all blocks meet in one range.
-RANGE_ENTRIES = 3_000_000
+RANGE_ENTRIES = 2_000_000
 DISCOUNT = 0.75
 ORDERS = 3
 WHITE = np.array([c not in (0x20, *range(0x09, 0x0E)) for c in range(256)])
