@@ -38,28 +38,22 @@ def ip_family(src: Column, dst: Column) -> Column:
     return F.coalesce(one(src), one(dst), F.lit("unknown"))
 
 
-def _net(number: Column, first: str, bits: int) -> Column:
-    a, b, c, d = map(int, first.split("."))
-    low = ((a * 256 + b) * 256 + c) * 256 + d
-    return number.between(low, low + 2 ** (32 - bits) - 1)
+#: Loopback, private, link-local and multicast networks, and the two addresses of all zeros and all ones, of valid IPv4 texts.
+INSIDE4 = r"^(10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|2(2[4-9]|3[0-9])\.|0\.0\.0\.0$|255\.255\.255\.255$)"
+INSIDE6 = r"^(::|::1|0:0:0:0:0:0:0:[01]|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]?:.*|ff[0-9a-f]{0,2}:.*)(%.*)?$"
+MAPPED = r"^::ffff:([0-9.]+)$"
 
 
 def is_loopback(ip: Column) -> Column:
-    return F.coalesce(_net(ipv4_number(ip), "127.0.0.0", 8), F.lower(ip).isin("::1", "0:0:0:0:0:0:0:1"), F.lit(False)) | F.coalesce(F.lower(ip).isin("::1", "0:0:0:0:0:0:0:1"), F.lit(False))
+    return F.coalesce((is_ipv4(ip) & ip.startswith("127.")) | F.lower(ip).isin("::1", "0:0:0:0:0:0:0:1"), F.lit(False))
 
 
 def is_external(ip: Column) -> Column:
     """Global unicast and neither private, loopback nor link-local; what isn't an address is not external."""
-    n = ipv4_number(ip)
-    inside = (n == 0) | (n == 2**32 - 1)
-    for first, bits in (("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4)):
-        inside = inside | _net(n, first, bits)
     low = F.lower(ip)
-    six = low.rlike(r"^(::|::1|0:0:0:0:0:0:0:[01]|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]?:.*|ff[0-9a-f]{0,2}:.*)(%.*)?$")
-    mapped = F.regexp_extract(low, r"^::ffff:([0-9.]+)$", 1)
-    m = ipv4_number(mapped)
-    of_mapped = F.when(m.isNotNull(), ~(_net(m, "10.0.0.0", 8) | _net(m, "127.0.0.0", 8) | _net(m, "169.254.0.0", 16) | _net(m, "172.16.0.0", 12) | _net(m, "192.168.0.0", 16) | _net(m, "224.0.0.0", 4) | (m == 0) | (m == 2**32 - 1)))
-    return F.coalesce(F.when(n.isNotNull(), ~inside).when(is_ipv6(ip), F.coalesce(of_mapped, ~six)), F.lit(False))
+    mapped = F.regexp_extract(low, MAPPED, 1)
+    six = F.when(is_ipv4(mapped), ~mapped.rlike(INSIDE4)).otherwise(~low.rlike(INSIDE6))
+    return F.coalesce(F.when(is_ipv4(ip), ~ip.rlike(INSIDE4)).when(is_ipv6(ip), six), F.lit(False))
 
 
 def base_direction(src: Column, dst: Column) -> Column:

@@ -21,9 +21,15 @@ def latest(changes: DataFrame, *key: str, by: str = "version") -> DataFrame:
 
 def pods_by_ip(pods: DataFrame, at_ns: int | None = None) -> DataFrame:
     """One pod per address: a live one before a tombstone, then the latest version. at_ns: tombstones older than five minutes go."""
-    rows = latest(pods, "uid").where("ip <> ''")
+    rows = latest(pods, "uid")
     if at_ns is not None:
         rows = rows.where(F.col("deleted_at").isNull() | (F.col("deleted_at") + TOMBSTONE_NS > at_ns))
+    return one_by_ip(rows)
+
+
+def one_by_ip(pods: DataFrame) -> DataFrame:
+    """Of latest versions one per address: a live pod before a tombstone, then the latest version."""
+    rows = pods.where("ip <> ''")
     order = Window.partitionBy("ip").orderBy(F.col("deleted_at").isNotNull(), F.col("version").desc(), "uid")
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 

@@ -28,20 +28,25 @@ def small(df: DataFrame, yes: bool) -> DataFrame:
 
 
 def pod_identities(pods: DataFrame, workloads: DataFrame) -> DataFrame:
-    """pod row -> struct of FIELDS (container fields: the primary container) with created_at, deleted_at, host_network, containers."""
+    """pod row (latest versions) -> struct of FIELDS (container fields: the primary container) with what lookups need of the pod."""
     w = dims.workload_of(pods, workloads)
     j = pods.join(w, "uid")
     ident = F.struct(
         F.col("namespace"), F.col("name").alias("pod_name"), F.col("uid").alias("pod_uid"), F.col("node_name").alias("node"), F.col("container_name"), F.col("container_id"),
         "workload_kind", "workload_name", "workload_uid", "replicaset", "pod_template_hash", F.col("service_account"), "revision", first_non_empty(F.col("image_digest"), F.col("workload_image")).alias("image_digest"),
     )
-    return j.select("uid", "ip", ident.alias("ident"), "created_at", "deleted_at", "host_network", "containers", "container_name")
+    return j.select("uid", "ip", "version", ident.alias("ident"), "created_at", "deleted_at", "host_network", "containers", "container_name")
 
 
 def _empty() -> Column:
     return F.struct(*[F.lit("").alias(c) for c in FIELDS])
 
 
+def remembered(ident: Column, deleted: Column, start_ns: Column) -> Column:
+    """Whether a pod answers for its address when a flow starts: until five minutes after its deletion."""
+    return ident.isNotNull() & F.coalesce(start_ns < deleted + dims.TOMBSTONE_NS, F.lit(True))
+
+
 def confidence(found: Column, start_ns: Column, created: Column, deleted: Column) -> Column:
     """high; low where the flow began before the pod, or within five minutes of the pod's deletion."""
     early = F.coalesce(start_ns < created, F.lit(False))
@@ -51,13 +56,14 @@ def confidence(found: Column, start_ns: Column, created: Column, deleted: Column
 
 def resolve_sources(sessions: DataFrame, pods: DataFrame, workloads: DataFrame, cgroups: DataFrame, host_netns: int = 0) -> DataFrame:
     """Adds src (struct of FIELDS), src_confidence, src_method, src_external: cgroup, pod address, external, unknown."""
-    live, by_ip = dims.pods_by_uid(pods), dims.pods_by_ip(pods)
+    known = pod_identities(dims.latest(pods, "uid"), workloads)
+    live, by_ip = known.where("deleted_at IS NULL"), dims.one_by_ip(known)
     by_cgroup = dims.cgroup_pods(cgroups).withColumnRenamed("container_id", "cg_container")
-    one = by_cgroup.join(pod_identities(live, workloads).withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
-    two = pod_identities(by_ip, workloads).select(F.col("ip").alias("src_ip"), *[F.col(c).alias(f"i_{c}") for c in ("ident", "created_at", "deleted_at", "host_network")])
+    one = by_cgroup.join(live.withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
+    two = by_ip.select(F.col("ip").alias("src_ip"), *[F.col(c).alias(f"i_{c}") for c in ("ident", "created_at", "deleted_at", "host_network")])
     yes = fits(pods, cgroups)
     j = sessions.join(small(one, yes), "cgroup_id", "left").join(small(two, yes), "src_ip", "left")
-    by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), F.col("i_ident").isNotNull()
+    by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), remembered(F.col("i_ident"), F.col("i_deleted_at"), F.col("start_ns"))
     name = first_non_empty(dims.container_name(F.col("c_containers"), F.col("c_container_name"), F.col("cg_container")), F.col("c_container_name"))
     cident = F.col("c_ident").withField("container_name", name).withField("container_id", first_non_empty(F.col("cg_container"), F.col("c_ident.container_id")))
     external = ~by_c & ~by_i & net.is_external(F.col("src_ip"))
@@ -81,16 +87,17 @@ def resolve_destinations(sessions: DataFrame, pods: DataFrame, workloads: DataFr
     """
     ports = dims.service_ports(services)
     alias = dims.first_alias(dims.endpoint_aliases(slices, ports))
-    pod = pod_identities(dims.pods_by_ip(pods), workloads).select(F.col("ip").alias("dst_ip"), F.col("ident").alias("p_ident"), F.col("created_at").alias("p_created"), F.col("deleted_at").alias("p_deleted"))
+    known = pod_identities(dims.latest(pods, "uid"), workloads)
+    pod = dims.one_by_ip(known).select(F.col("ip").alias("dst_ip"), F.col("ident").alias("p_ident"), F.col("created_at").alias("p_created"), F.col("deleted_at").alias("p_deleted"))
     service = lambda p: F.struct(F.col("name").alias("name"), F.col("uid").alias("uid"), "namespace", "port_name", "app_protocol").alias(p)
     direct = ports.withColumn("s", service("s")).groupBy(F.col("cluster_ip").alias("dst_ip"), F.col("port").alias("dst_port")).agg(F.min_by("s", "uid").alias("s_service"))
     backed = alias.withColumnRenamed("service_name", "name").withColumnRenamed("service_uid", "uid").withColumn("e", service("e"))
-    live = pod_identities(dims.pods_by_uid(pods), workloads).select(F.col("uid").alias("target_pod_uid"), F.col("ident").alias("e_ident"), F.col("created_at").alias("e_created"), F.col("deleted_at").alias("e_deleted"))
+    live = known.where("deleted_at IS NULL").select(F.col("uid").alias("target_pod_uid"), F.col("ident").alias("e_ident"), F.col("created_at").alias("e_created"), F.col("deleted_at").alias("e_deleted"))
     backed = backed.select(F.col("backend_ip").alias("dst_ip"), F.col("backend_port").alias("dst_port"), "target_pod_uid", F.col("e").alias("e_service"), "alias_seq", "slice_uid").join(live, "target_pod_uid", "left")
     backed = backed.groupBy("dst_ip", "dst_port").agg(F.min_by(F.struct("e_service", "e_ident", "e_created", "e_deleted"), F.struct("alias_seq", "slice_uid")).alias("b")).select("dst_ip", "dst_port", "b.*")
     yes = fits(pods, ports, slices.select(F.explode("endpoints")))
     j = sessions.join(small(pod, yes), "dst_ip", "left").join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
-    p, s, e = F.col("p_ident").isNotNull(), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
+    p, s, e = remembered(F.col("p_ident"), F.col("p_deleted"), F.col("start_ns")), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
     external = ~p & ~s & ~e & net.is_external(F.col("dst_ip"))
     none = F.struct(*[F.lit("").alias(c) for c in ("name", "uid", "namespace", "port_name", "app_protocol")])
     out = j.withColumns({

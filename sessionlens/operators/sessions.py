@@ -192,14 +192,17 @@ def unmatched_tls(events: DataFrame, keys: list[str] | None = None) -> DataFrame
 def with_nat_aliases(events: DataFrame, aliases: DataFrame) -> DataFrame:
     """Server hellos under a backend's address move to its service's address where only that has an open session.
 
-    aliases: backend_ip, backend_port, cluster_ip, service_port, alias_seq; of several the first. Adds alias: hit, miss or null.
+    aliases: backend_ip, backend_port, protocol, cluster_ip, service_port, alias_seq; of several of a hello's protocol (null or
+    empty: tcp) the first. Adds alias: hit, miss or null.
     """
-    first = aliases.groupBy("backend_ip", "backend_port").agg(F.min_by(F.struct("cluster_ip", "service_port"), "alias_seq").alias("a"))
+    of = net.protocol_or_tcp(F.col("protocol")).alias("__protocol")
+    first = aliases.groupBy("backend_ip", "backend_port", of).agg(F.min_by(F.struct("cluster_ip", "service_port"), "alias_seq").alias("a"))
     own = number_sessions(events)
     lost = (F.col("event_type") == "TLS_HANDSHAKE") & ~F.col("matched") & F.col("server_hello_seen")
-    tried = own.join(first, (F.col("dst_ip") == F.col("backend_ip")) & (F.col("dst_port") == F.col("backend_port")), "left")
+    same = (F.col("dst_ip") == F.col("backend_ip")) & (F.col("dst_port") == F.col("backend_port")) & (net.protocol_or_tcp(own["protocol"]) == F.col("__protocol"))
+    tried = own.join(first, same, "left")
     moved = lost & F.col("a").isNotNull()
     out = tried.withColumns({"dst_ip": F.when(moved, F.col("a.cluster_ip")).otherwise(F.col("dst_ip")), "dst_port": F.when(moved, F.col("a.service_port")).otherwise(F.col("dst_port")), "__moved": moved, "__lost": lost})
-    again = number_sessions(out.drop("session_no", "matched", "a", "backend_ip", "backend_port"))
+    again = number_sessions(out.drop("session_no", "matched", "a", "backend_ip", "backend_port", "__protocol"))
     hit = F.when(F.col("__moved") & F.col("matched"), "hit").when(F.col("__lost"), "miss")
     return again.withColumn("alias", hit).drop("__moved", "__lost")

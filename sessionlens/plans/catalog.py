@@ -203,18 +203,18 @@ def first_hello_per_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- addresses, protocols, strings -----------------------------------------------------------------------------------
 
-_IP_LIST = ["10.0.0.1", "172.16.9.9", "172.32.0.1", "192.168.1.1", "127.0.0.1", "169.254.3.3", "224.0.0.5", "8.8.8.8", "100.64.0.1", "0.0.0.0", "255.255.255.255", "1.2.3.256", "01.2.3.4"]
+_IP_LIST = ["10.0.0.1", "172.16.9.9", "172.32.0.1", "192.168.1.1", "127.0.0.1", "169.254.3.3", "224.0.0.5", "8.8.8.8", "100.64.0.1", "0.0.0.0", "255.255.255.255", "1.2.3.256", "01.2.3.4", "2001:db8::1", "::1", "fd00::7", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "1::2::3", "fe80::1%eth0"]
 _IPS = "[" + ", ".join(f"'{x}'" for x in _IP_LIST) + "]"
 
 
-@query(rf"""WITH u AS (SELECT c_custkey, ({_IPS})[c_custkey % 13 + 1] AS ip FROM customer),
-v AS (SELECT *, regexp_matches(ip, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$') AS ok, [CAST(x AS BIGINT) FOR x IN string_split(ip, '.')] AS o FROM u),
+@query(rf"""WITH u AS (SELECT c_custkey, ({_IPS})[c_custkey % 20 + 1] AS ip FROM customer),
+v AS (SELECT *, regexp_matches(ip, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$') AS ok, CASE WHEN NOT contains(ip, ':') THEN [CAST(x AS BIGINT) FOR x IN string_split(ip, '.')] END AS o, contains(ip, ':') AND ip <> '1::2::3' AS six FROM u),
 w AS (SELECT *, CASE WHEN ok THEN ((o[1] * 256 + o[2]) * 256 + o[3]) * 256 + o[4] END AS n FROM v)
-SELECT c_custkey, ip, CASE WHEN ok THEN 'ipv4' ELSE 'unknown' END AS family, coalesce(n, -1) AS number,
-    coalesce(ok AND NOT (n = 0 OR n = 4294967295 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3758096384 AND 4026531839), false) AS is_external,
-    CASE WHEN ok THEN 'local' ELSE 'unknown' END AS own_direction, (c_custkey & 255) || '.' || ((c_custkey >> 8) & 255) || '.' || ((c_custkey >> 16) & 255) || '.' || ((c_custkey >> 24) & 255) AS dotted FROM w""")
+SELECT c_custkey, ip, CASE WHEN ok THEN 'ipv4' WHEN six THEN 'ipv6' ELSE 'unknown' END AS family, coalesce(n, -1) AS number,
+    coalesce(ok AND NOT (n = 0 OR n = 4294967295 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3758096384 AND 4026531839), false) OR ip IN ('2001:db8::1', '::ffff:8.8.8.8') AS is_external,
+    CASE WHEN ok OR six THEN 'local' ELSE 'unknown' END AS own_direction, (c_custkey & 255) || '.' || ((c_custkey >> 8) & 255) || '.' || ((c_custkey >> 16) & 255) || '.' || ((c_custkey >> 24) & 255) AS dotted FROM w""")
 def ip_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = demo.read(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.lit(_IP_LIST), (F.col("c_custkey") % 13 + 1).cast("int")).alias("ip"))
+    c = demo.read(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.lit(_IP_LIST), (F.col("c_custkey") % 20 + 1).cast("int")).alias("ip"))
     ip = F.col("ip")
     return c.select("c_custkey", "ip", net.ip_family(ip, ip).alias("family"), F.coalesce(net.ipv4_number(ip), F.lit(-1)).alias("number"), net.is_external(ip).alias("is_external"), net.base_direction(ip, ip).alias("own_direction"), net.dotted_little_endian(F.col("c_custkey")).alias("dotted"))
 
@@ -330,19 +330,19 @@ m AS (SELECT *, coalesce(sum(CASE WHEN et = 'CLOSE' THEN 1 ELSE 0 END) OVER (PAR
 h AS (SELECT *, coalesce(max(CASE WHEN et <> 'TLS_HANDSHAKE' THEN 1 ELSE 0 END) OVER (PARTITION BY src_port, s ORDER BY timestamp_ns, seq), 0) AS opened FROM m)
 SELECT CASE WHEN moved AND dst_ip = '10.96.0.10' AND opened = 1 THEN 'hit' ELSE 'miss' END AS alias, count(*) AS n FROM h WHERE et = 'TLS_HANDSHAKE' AND (moved OR opened = 0) GROUP BY ALL""")
 def nat_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other hello is keyed by a backend; only the service of one destination has an alias."""
+    """Every other hello is keyed by a backend; only the service of one destination has an alias, and an earlier one of another protocol."""
     e = _with_hellos(spark, sf_dir)
     moved = (F.col("event_type") == "TLS_HANDSHAKE") & (F.col("seq") % 2 == 0)
     e = e.withColumns({"dst_port": F.when(moved, 8443).otherwise(F.col("dst_port")), "dst_ip": F.when(moved, F.concat(F.lit("b"), "dst_ip")).otherwise(F.col("dst_ip"))})
-    aliases = spark.createDataFrame([("b10.96.0.10", 8443, "10.96.0.10", 443, 2), ("b10.96.0.10", 8443, "10.96.0.99", 443, 3)], "backend_ip string, backend_port int, cluster_ip string, service_port int, alias_seq int")
+    aliases = spark.createDataFrame([("b10.96.0.10", 8443, "UDP", "10.96.0.77", 443, 1), ("b10.96.0.10", 8443, "TCP", "10.96.0.10", 443, 2), ("b10.96.0.10", 8443, None, "10.96.0.99", 443, 3)], "backend_ip string, backend_port int, protocol string, cluster_ip string, service_port int, alias_seq int")
     return metrics.alias_counts(ops.with_nat_aliases(e, aliases))
 
 
 # ---- dimensions and identity ---------------------------------------------------------------------------------------
 
-_SERVICES = """
+_SERVICES = f"""
 sv AS (SELECT s_suppkey AS k, 'ns-' || (s_nationkey % 5) AS namespace, s_name AS name, 'svc-' || s_suppkey AS uid, '10.96.' || (s_suppkey % 2) || '.' || (s_suppkey % 250) AS cluster_ip, CASE WHEN s_suppkey % 2 = 0 THEN 8443 ELSE 0 END AS tp, CASE WHEN s_suppkey % 3 = 0 THEN 'web' ELSE '' END AS tn FROM supplier),
-sl AS (SELECT s_suppkey AS k, 'ns-' || (s_nationkey % 5) AS namespace, s_name AS service_name, 'slice-' || s_suppkey AS slice_uid, '10.244.' || (s_suppkey % 3) || '.' || (s_suppkey % 250) AS backend_ip, CASE WHEN s_suppkey % 5 = 0 THEN 443 ELSE 8443 END AS backend_port, CASE WHEN s_suppkey % 3 = 0 THEN 'web' ELSE 'other' END AS pn, 'pod-' || s_suppkey AS pod_uid FROM supplier),
+sl AS (SELECT s_suppkey AS k, 'ns-' || (s_nationkey % 5) AS namespace, s_name AS service_name, 'slice-' || s_suppkey AS slice_uid, '10.244.' || (s_suppkey % 3) || '.' || (s_suppkey % 250) AS backend_ip, CASE WHEN s_suppkey % 5 = 0 THEN 443 ELSE 8443 END AS backend_port, CASE WHEN s_suppkey % 3 = 0 THEN 'web' ELSE 'other' END AS pn, {demo.POD_UID_SQL.format(k='s_suppkey')} AS pod_uid FROM supplier),
 al AS (SELECT sl.*, sv.uid AS service_uid, sv.cluster_ip, row_number() OVER (PARTITION BY backend_ip, backend_port, slice_uid ORDER BY cluster_ip) AS r FROM sl JOIN sv ON sl.namespace = sv.namespace AND sl.service_name = sv.name
     WHERE pn = 'https' OR (tn <> '' AND pn = tn) OR tp = backend_port OR (tp = 0 AND tn = '' AND backend_port = 443))
 """
@@ -354,8 +354,8 @@ def endpoint_service_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("backend_ip", "backend_port", "slice_uid", "service_uid", "cluster_ip")
 
 
-_PODS = """
-pd AS (SELECT c_custkey AS k, c_name AS name, 'ns-' || (c_nationkey % 5) AS namespace, 'pod-' || c_custkey AS uid, '10.244.' || (c_custkey % 3) || '.' || (c_custkey % 250) AS ip, 'node-' || c_nationkey AS node, CASE WHEN c_custkey % 7 = 0 THEN c_custkey * 1000000000 END AS deleted_at,
+_PODS = f"""
+pd AS (SELECT c_custkey AS k, c_name AS name, 'ns-' || (c_nationkey % 5) AS namespace, {demo.POD_UID_SQL.format(k='c_custkey')} AS uid, '10.244.' || (c_custkey % 3) || '.' || (c_custkey % 250) AS ip, 'node-' || c_nationkey AS node, CASE WHEN c_custkey % 250 % 7 = 0 THEN (CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE {demo.JANUARY} + c_custkey * 7919 % 2592000 END) * 1000000000 END AS deleted_at, lower(c_mktsegment) AS account, c_nationkey AS nk,
     c_custkey % 2 = 0 AS owned, 'rs-' || c_nationkey AS rs, n_regionkey AS rk, lower(r_name) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 wl AS (SELECT *, CASE WHEN NOT owned THEN 'BarePod' WHEN rk < 4 THEN 'Deployment' ELSE 'ReplicaSet' END AS workload_kind, CASE WHEN NOT owned THEN name WHEN rk < 4 THEN rn ELSE rs END AS workload_name, CASE WHEN NOT owned THEN uid WHEN rk < 4 THEN 'dep-' || rk ELSE rs END AS workload_uid, CASE WHEN owned AND rk < 4 THEN rs ELSE '' END AS replicaset FROM pd),
 bi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY deleted_at IS NOT NULL, k DESC) AS r FROM wl) WHERE r = 1)
@@ -377,17 +377,27 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"pods": demo.pods(spark, sf_dir), "workloads": demo.workloads(spark, sf_dir), "cgroups": demo.cgroups(spark, sf_dir), "services": demo.services(spark, sf_dir), "endpoint_slices": demo.endpoint_slices(spark, sf_dir)}
 
 
-@query(f"""WITH {FLOW}, {_AGG}, {_PODS} SELECT src_port, session_no, coalesce(b.uid, '') AS pod_uid, coalesce(b.workload_name, '') AS workload_name, CASE WHEN b.uid IS NULL THEN 'unknown' WHEN abs(start_ns - b.deleted_at) < 300000000000 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN b.uid IS NULL THEN 'unknown' ELSE 'pod_ip' END AS how
-FROM g LEFT JOIN bi b ON g.src_ip = b.ip""")
+#: The pods that answer for a flow's source: by cgroup (live ones), by address (tombstones for five minutes); and whether it is outside.
+_SOURCE = """
+so AS (
+    SELECT g.src_port, g.session_no, coalesce(c.uid, b.uid) AS s_uid, coalesce(c.k, b.k) AS s_k, c.uid IS NOT NULL AS by_c, b.deleted_at AS s_del, c.uid IS NULL AND b.uid IS NULL AND (src_ip LIKE '93.%' OR src_ip LIKE '2001:%') AS s_ext,
+        CASE WHEN c.uid IS NOT NULL THEN 'high' WHEN b.uid IS NOT NULL THEN CASE WHEN abs(start_ns - b.deleted_at) < 300000000000 THEN 'low' ELSE 'high' END WHEN src_ip LIKE '93.%' OR src_ip LIKE '2001:%' THEN 'low' ELSE 'unknown' END AS s_conf,
+        CASE WHEN c.uid IS NOT NULL THEN 'cgroup_id' WHEN b.uid IS NOT NULL THEN 'pod_ip' WHEN src_ip LIKE '93.%' OR src_ip LIKE '2001:%' THEN 'external' ELSE 'unknown' END AS s_how
+    FROM g LEFT JOIN wl c ON c.k = g.src_port - 40000 AND c.k <> 0 AND c.k % 4 = 0 AND c.deleted_at IS NULL LEFT JOIN bi b ON g.src_ip = b.ip AND (b.deleted_at IS NULL OR g.start_ns < b.deleted_at + 300000000000))"""
+#: What container a source's row names: the one of its cgroup path, else the pod's first.
+_CONTAINER = """CASE WHEN by_c AND s_k % 3 < 2 THEN 'sidecar' WHEN s_uid IS NULL THEN '' ELSE 'main' END AS {0}container_name, CASE WHEN by_c AND s_k % 3 < 2 THEN sha256('c' || s_k) WHEN s_uid IS NULL THEN '' ELSE sha256(CAST(s_k AS VARCHAR)) END AS {0}container_id"""
+
+
+@query(f"""WITH {FLOW}, {_AGG}, {_PODS}, {_SOURCE} SELECT src_port, session_no, coalesce(s_uid, '') AS pod_uid, coalesce(w.workload_name, '') AS workload_name, s_conf AS confidence, s_how AS how, s_ext AS is_external, {_CONTAINER.format('')} FROM so LEFT JOIN wl w ON w.uid = s_uid""")
 def identity_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     s = identity.resolve_sources(ops.sessions(demo.flow_events(spark, sf_dir)), t["pods"], t["workloads"], t["cgroups"])
-    return s.select("src_port", "session_no", "src.pod_uid", "src.workload_name", F.col("src_confidence").alias("confidence"), F.col("src_method").alias("how"))
+    return s.select("src_port", "session_no", "src.pod_uid", "src.workload_name", F.col("src_confidence").alias("confidence"), F.col("src_method").alias("how"), F.col("src_external").alias("is_external"), "src.container_name", "src.container_id")
 
 
 _DEST = f"""{FLOW}, {_AGG}, {_PODS}, {_SERVICES},
 ds AS (SELECT cluster_ip, min(uid) AS uid FROM sv GROUP BY 1), en AS (SELECT backend_ip, backend_port, min_by(service_uid, k) AS uid, min_by(pod_uid, k) AS pod_uid FROM al WHERE r = 1 GROUP BY ALL),
-x AS (SELECT g.*, b.uid AS pu, b.deleted_at AS pdel, ds.uid AS su, en.uid AS eu, lp.uid AS epod FROM g LEFT JOIN bi b ON g.dst_ip = b.ip LEFT JOIN ds ON g.dst_ip = ds.cluster_ip AND g.dst_port = 443 LEFT JOIN en ON g.dst_ip = en.backend_ip AND g.dst_port = en.backend_port LEFT JOIN wl lp ON lp.uid = en.pod_uid AND lp.deleted_at IS NULL)"""
+x AS (SELECT g.*, b.uid AS pu, b.deleted_at AS pdel, ds.uid AS su, en.uid AS eu, lp.uid AS epod FROM g LEFT JOIN bi b ON g.dst_ip = b.ip AND (b.deleted_at IS NULL OR g.start_ns < b.deleted_at + 300000000000) LEFT JOIN ds ON g.dst_ip = ds.cluster_ip AND g.dst_port = 443 LEFT JOIN en ON g.dst_ip = en.backend_ip AND g.dst_port = en.backend_port LEFT JOIN wl lp ON lp.uid = en.pod_uid AND lp.deleted_at IS NULL)"""
 
 
 @query(f"""WITH {_DEST} SELECT src_port, session_no, coalesce(pu, CASE WHEN su IS NULL THEN epod END, '') AS pod_uid, coalesce(CASE WHEN pu IS NOT NULL THEN coalesce(eu, '') WHEN su IS NOT NULL THEN su END, eu, '') AS service_uid,
@@ -415,25 +425,77 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger_record(identity.resolve(ops.sessions(demo.flow_events(spark, sf_dir), long_lived_ns=LONG), tables(spark, sf_dir)), {"experiment_id": "demo"}, {"cluster_id": "c1", "collection_mode": "batch"})
 
 
-_RECORD = f"""{_DEST}, sx AS (SELECT x.*, s.uid AS spu, s.namespace AS sns, s.deleted_at AS sdel, d.namespace AS dns FROM x LEFT JOIN bi s ON x.src_ip = s.ip LEFT JOIN bi d ON x.dst_ip = d.ip),
-ry AS (SELECT *, coalesce(dns, CASE WHEN su IS NOT NULL THEN (SELECT namespace FROM sv WHERE sv.uid = su) END, (SELECT namespace FROM wl WHERE wl.uid = epod), (SELECT namespace FROM sv WHERE sv.uid = eu), '') AS dn, coalesce(sns, '') AS sn, dst_ip = '93.184.216.34' AND pu IS NULL AND su IS NULL AND eu IS NULL AS ext,
-    spu IS NULL OR (pu IS NULL AND su IS NULL AND eu IS NULL AND dst_ip <> '93.184.216.34') AS unk, {_DUR} >= {LONG} AS ll, dst_port = 443 AS deg FROM sx)"""
-
-
-@query(f"""WITH {_RECORD} SELECT sha1('tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port || '|' || start_ns) AS flow_id, CASE WHEN ext THEN 'egress' ELSE 'unknown' END AS direction, 'v1alpha2' AS schema_version, CASE WHEN dst_port = 443 THEN 'tls' WHEN dst_port = 8080 THEN 'http' ELSE 'unknown' END AS protocol_guess,
-    deg AS visibility_degraded, CASE WHEN deg THEN 'tls_metadata_unavailable' ELSE '' END AS visibility_degraded_reason, concat_ws(',', CASE WHEN sn <> '' AND dn <> '' AND sn <> dn THEN 'CROSS_NAMESPACE' END, CASE WHEN ext THEN 'EXTERNAL_DESTINATION' END, CASE WHEN ll THEN 'LONG_LIVED' END, CASE WHEN unk THEN 'UNKNOWN_IDENTITY' END, CASE WHEN deg THEN 'VISIBILITY_DEGRADED' END) AS codes,
-    sn AS src_namespace, dn AS dst_namespace FROM ry""")
+_FEATURES = """
+ft AS (
+    SELECT src_port, session_no, min(size) AS pkt_size_min, max(size) AS pkt_size_max, avg(size) AS pkt_size_mean, quantile_cont(size, 0.5) AS pkt_size_p50, quantile_cont(size, 0.95) AS pkt_size_p95, quantile_cont(iat, 0.5) AS iat_p50, quantile_cont(iat, 0.95) AS iat_p95, round(stddev_pop(iat) / 1e6, 3) AS iat_std,
+        count(*) FILTER (iat > 1000000) AS idle_gap_count, count(*) FILTER (iat > 0 AND iat < 10000) AS burst_count, bool_or(size IS NOT NULL OR iat IS NOT NULL) AS timing, {counts} AS pkt_size_histogram
+    FROM n GROUP BY ALL)""".format(counts=" || ',' || ".join(f"count(*) FILTER (({_bucket_sql('size', stats.PACKET_BOUNDS, False)}) = {k})" for k in range(7)))
+_RECORD = f"""{_DEST}, {_SOURCE}, {_FEATURES},
+ry AS (
+    SELECT x.*, so.* EXCLUDE (src_port, session_no), ft.* EXCLUDE (src_port, session_no), s.workload_kind AS swk, s.workload_name AS swn, s.workload_uid AS swu, s.replicaset AS srs, s.namespace AS sns, s.name AS spn, s.node AS snode, s.nk AS snk, s.owned AS sowned, s.rk AS srk, s.account AS sacc,
+        d.uid AS dpu, d.k AS dk, d.namespace AS dpns, d.name AS dpn, d.node AS dnode, d.workload_kind AS dwk, d.workload_name AS dwn, d.workload_uid AS dwu, d.replicaset AS drs, d.nk AS dnk, d.owned AS downed, d.rk AS drk, d.account AS dacc, v.namespace AS vns, v.name AS vname, v.uid AS vuid,
+        coalesce(d.namespace, CASE WHEN pu IS NULL THEN v.namespace END, '') AS dn, coalesce(s.namespace, '') AS sn, pu IS NULL AND su IS NULL AND eu IS NULL AS nowhere, dst_ip = '93.184.216.34' AS away, {_DUR} >= {LONG} AS ll, dst_port = 443 AS deg,
+        CASE WHEN pu IS NOT NULL AND eu IS NULL THEN 'pod_ip' WHEN pu IS NOT NULL THEN 'endpoint_slice' WHEN su IS NOT NULL THEN 'service_cluster_ip' WHEN eu IS NOT NULL THEN 'endpoint_slice' WHEN dst_ip = '93.184.216.34' THEN 'external' ELSE 'unknown' END AS d_how,
+        CASE WHEN pu IS NOT NULL THEN CASE WHEN abs(start_ns - pdel) < 300000000000 THEN 'low' ELSE 'high' END WHEN su IS NOT NULL THEN 'medium' WHEN epod IS NOT NULL THEN 'high' WHEN eu IS NOT NULL THEN 'medium' WHEN dst_ip = '93.184.216.34' THEN 'low' ELSE 'unknown' END AS d_conf
+    FROM x JOIN so USING (src_port, session_no) JOIN ft USING (src_port, session_no) LEFT JOIN wl s ON s.uid = so.s_uid LEFT JOIN wl d ON d.uid = coalesce(x.pu, CASE WHEN x.su IS NULL THEN x.epod END) LEFT JOIN sv v ON v.uid = CASE WHEN x.pu IS NOT NULL THEN x.eu ELSE coalesce(x.su, x.eu) END),
+rz AS (SELECT *, nowhere AND away AS ext, s_conf = 'unknown' OR d_conf = 'unknown' AS unk, sn <> '' AND dn <> '' AND sn <> dn AS cross_ FROM ry)"""
+
+
+def _time(ns: str) -> str:
+    return f"strftime(make_timestamp({ns} // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {ns} % 1000000000 > 0 THEN '.' || rtrim(lpad(CAST({ns} % 1000000000 AS VARCHAR), 9, '0'), '0') ELSE '' END || 'Z'"
+
+
+def _constants(**values: str) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in values.items())
+
+
+def _end(p: str, d: str, pod: str) -> str:
+    """Columns of one side; d: prefix of its pod's columns; pod: whether it is one."""
+    c = lambda x: f"coalesce({x}, '')"
+    return f"""{c(d + 'pn')} AS {p}_pod_name, {c(pod)} AS {p}_pod_uid, {c(d + 'node')} AS {p}_node, {c(d + 'wk')} AS {p}_workload_kind, {c(d + 'wn')} AS {p}_workload_name, {c(d + 'wu')} AS {p}_workload_uid, {c(d + 'rs')} AS {p}_replicaset,
+    CASE WHEN {d}owned THEN 'h' || {d}nk ELSE '' END AS {p}_pod_template_hash, {c(d + 'acc')} AS {p}_service_account, CASE WHEN {pod} IS NULL OR NOT {d}owned THEN '' WHEN {d}rk < 4 THEN '2' ELSE '1' END AS {p}_revision"""
+
+
+_EMPTY_TLS = {c: "''" for c in ("tls_version", "sni_hash", "alpn", "ja4", "tls_version_negotiated", "alpn_negotiated", "ja4s")} | {c: "'not_inspected'" for c in ("tls_parse_status", "tls_server_parse_status")} | {c: "false" for c in ("handshake_seen", "server_hello_seen")}
+_UNSET = {c: "'unknown'" for c in ("sni_visibility", "expected_edge", "network_policy_allowed", "policy_confidence", "review_verdict", "hook_source", "tcp_state")} | {c: "false" for c in ("sampling_applied", "histogram_truncated", "iat_overflow", "rollout_window", "hpa_scaling_window", "payload_collected", "tcp_metrics_available")}
+_UNSET |= {c: "CAST(NULL AS DOUBLE)" for c in ("fast_score", "fast_threshold", "review_score")} | {c: "CAST(NULL AS VARCHAR)" for c in ("scenario_phase", "attack_enabled", "load_level")} | {c: "CAST(0 AS BIGINT)" for c in ("netns_ino", "direction_changes", "rst_count", "retrans_count", "window_id", "dst_cgroup_id")}
+_UNSET |= {"fast_model_version": "'none'", "sampling_reason": "'none'", "sampling_rate": "1.0::DOUBLE", "review_id": "''", "action_suggestion": "'observe'", "retention_tier": "'standard'", "feature_set_version": "'session-features-v1'", "rtt_estimate_us": "CAST(NULL AS BIGINT)", "tls_record_size_histogram": "'0,0,0,0,0,0,0'", "traffic_accounting_available": "true"}
+_FIXED = {"schema_version": "'v1alpha2'", "record_type": "'session_summary'", "cluster_id": "'c1'", "node_name": "''", "agent_id": "''", "collection_mode": "'batch'", "experiment_id": "'demo'", "scenario_label": "'unlabeled'", "node_visibility_degraded": "true"}
+
+
+@query(f"""WITH {_RECORD} SELECT {_constants(**_FIXED, **_UNSET, **_EMPTY_TLS)}, {_time('start_ns')} AS start_time, {_time('last_ns')} AS end_time, {_time('start_ns')} AS conn_start_time, {_time('last_ns')} AS conn_end_time,
+    sha1('tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port || '|' || start_ns) AS flow_id, src_ip, src_port, dst_ip, dst_port, protocol, CASE WHEN src_ip = dst_ip THEN 'local' WHEN s_ext AND NOT ext THEN 'ingress' WHEN ext AND NOT s_ext THEN 'egress' ELSE 'unknown' END AS direction,
+    CASE WHEN src_ip LIKE '2001:%' THEN 'ipv6' ELSE 'ipv4' END AS ip_family, {_DUR} // 1000000 AS duration_ms, CASE WHEN closed = 1 THEN 'unknown' ELSE 'timeout' END AS close_reason, ll AS is_long_lived, bytes_out, bytes_in, packets_out, packets_in, bytes_out + bytes_in AS bytes_total, packets_out + packets_in AS packets_total,
+    round(CASE WHEN bytes_in <> 0 THEN bytes_out / bytes_in END, 6) AS byte_ratio_out_in, round(CASE WHEN packets_in <> 0 THEN packets_out / packets_in END, 6) AS packet_ratio_out_in, round(CASE WHEN {_DUR} > 0 THEN (bytes_out + bytes_in) / ({_DUR} / 1e9) END, 6) AS byte_rate, round(CASE WHEN {_DUR} > 0 THEN (packets_out + packets_in) / ({_DUR} / 1e9) END, 6) AS packet_rate,
+    pkt_size_min, pkt_size_max, round(pkt_size_mean, 6) AS pkt_size_mean, round(pkt_size_p50, 6) AS pkt_size_p50, round(pkt_size_p95, 6) AS pkt_size_p95, pkt_size_histogram, round(iat_p50, 4) AS iat_p50, round(iat_p95, 4) AS iat_p95, iat_std, idle_gap_count, burst_count, syn_count, fin_count, timing AS packet_timing_available,
+    CASE WHEN dst_port = 443 THEN 'tls' WHEN dst_port = 8080 THEN 'http' ELSE 'unknown' END AS protocol_guess, dst_port = 443 AS is_tls_like, deg AS visibility_degraded, CASE WHEN deg THEN 'tls_metadata_unavailable' ELSE '' END AS visibility_degraded_reason,
+    sn AS src_namespace, {_end('src', 's', 's_uid')}, {_CONTAINER.format('src_')}, CAST(src_port - 40000 AS BIGINT) AS src_cgroup_id, CASE WHEN s_uid IS NULL THEN '' ELSE 'sha256:' || s_k END AS src_image_digest,
+    dn AS dst_namespace, {_end('dst', 'd', 'dpu')}, CASE WHEN dpu IS NULL THEN '' ELSE 'main' END AS dst_container_name, CASE WHEN dpu IS NULL THEN '' ELSE sha256(CAST(dk AS VARCHAR)) END AS dst_container_id, CASE WHEN dpu IS NULL THEN '' ELSE 'sha256:' || dk END AS dst_image_digest,
+    s_conf AS src_mapping_confidence, d_conf AS dst_mapping_confidence, CASE WHEN s_how = 'cgroup_id' THEN 'cgroup_id' WHEN d_how <> 'unknown' THEN d_how ELSE s_how END AS mapping_method, s_conf = 'low' OR d_conf = 'low' AS pod_restart_window,
+    coalesce(vname, '') AS dst_service_name, coalesce(vuid, '') AS dst_service_uid, coalesce(vns, '') AS dst_service_namespace, CASE WHEN vuid IS NULL THEN '' ELSE 'https' END AS dst_service_port_name, CASE WHEN vuid IS NULL THEN '' ELSE 'https' END AS dst_app_protocol,
+    vuid IS NOT NULL AND dpu IS NOT NULL AS dst_is_service_backend, ext AS dst_external, sn <> '' AND sn = dn AS same_namespace, coalesce(swu <> '' AND swu = dwu, false) AS same_workload, cross_ AS cross_namespace,
+    concat_ws(',', CASE WHEN cross_ THEN 'CROSS_NAMESPACE' END, CASE WHEN ext THEN 'EXTERNAL_DESTINATION' END, CASE WHEN ll THEN 'LONG_LIVED' END, CASE WHEN unk THEN 'UNKNOWN_IDENTITY' END, CASE WHEN deg THEN 'VISIBILITY_DEGRADED' END) AS reason_codes, cross_ OR ext OR ll OR unk OR deg AS review_required FROM rz""")
 def ledger_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns; histograms and lists as text, numbers rounded."""
     r = records(spark, sf_dir)
-    return r.select("flow_id", "direction", "schema_version", "protocol_guess", "visibility_degraded", "visibility_degraded_reason", F.concat_ws(",", "reason_codes").alias("codes"), "src_namespace", "dst_namespace")
+    digits = {"iat_p50": 4, "iat_p95": 4}
+    out = {"iat_std": F.round(F.col("iat_std") / 1e6, 3), "reason_codes": F.concat_ws(",", "reason_codes"), "pkt_size_histogram": lit_map("pkt_size_histogram", stats.PACKET_BUCKETS), "tls_record_size_histogram": lit_map("tls_record_size_histogram", stats.PACKET_BUCKETS)}
+    out |= {c: F.round(c, digits.get(c, 6)) for c, t in r.dtypes if t == "double" and c not in out}
+    return r.withColumns(out)
+
+
+@query(f"""WITH {_RECORD} SELECT flow_id, reason, CAST(place - 1 AS INTEGER) AS place FROM (SELECT sha1('tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port || '|' || start_ns) AS flow_id, unnest(codes) AS reason, generate_subscripts(codes, 1) AS place FROM (SELECT *, list_filter([CASE WHEN cross_ THEN 'CROSS_NAMESPACE' END, CASE WHEN ext THEN 'EXTERNAL_DESTINATION' END, CASE WHEN ll THEN 'LONG_LIVED' END, CASE WHEN unk THEN 'UNKNOWN_IDENTITY' END, CASE WHEN deg THEN 'VISIBILITY_DEGRADED' END], lambda c: c IS NOT NULL) AS codes FROM rz))""")
+def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per record and reason, in their order."""
+    return records(spark, sf_dir).select("flow_id", F.posexplode("reason_codes").alias("place", "reason"))
 
 
-@query(f"""WITH {_RECORD} SELECT count(*) AS emitted, count(*) FILTER (spu IS NULL) AS unknown_src, count(*) FILTER (pu IS NULL AND su IS NULL AND eu IS NULL AND dst_ip <> '93.184.216.34') AS unknown_dst, count(*) FILTER (ext) AS external_dst, count(*) FILTER ((sn <> '' AND dn <> '' AND sn <> dn) OR ext OR ll OR unk OR deg) AS reviews FROM ry""")
+@query(f"""WITH {_RECORD} SELECT count(*) AS emitted, count(*) FILTER (s_conf = 'unknown') AS unknown_src, count(*) FILTER (d_conf = 'unknown') AS unknown_dst, count(*) FILTER (ext) AS external_dst, count(*) FILTER (cross_ OR ext OR ll OR unk OR deg) AS reviews FROM rz""")
 def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.record_counts(records(spark, sf_dir))
 
 
-@query("""SELECT 'pods' AS metric, count(*) FILTER (c_custkey % 7 <> 0) AS value FROM customer UNION ALL SELECT 'services', count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'endpoint_slices', count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'cgroups', count(DISTINCT c_custkey) FROM customer
+@query("""SELECT 'pods' AS metric, count(*) FILTER (c_custkey % 250 % 7 <> 0) AS value FROM customer UNION ALL SELECT 'services', count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'endpoint_slices', count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'cgroups', count(DISTINCT c_custkey) FROM customer
 UNION ALL SELECT 'service_accounts', count(DISTINCT ('ns-' || (c_nationkey % 5), lower(c_mktsegment))) FROM customer""")
 def dimension_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)

@@ -23,12 +23,24 @@ def reason_codes(*flags: Column) -> Column:
     return F.array_compact(F.array(*[F.when(f, name) for f, name in zip(flags, REASONS, strict=True)]))
 
 
+# What each collection mode hooks into.
+HOOKS = {"mock": "mock", "ebpf": "tracepoint:sock:inet_sock_set_state"}
+
+
 def hook_source(mode: str) -> str:
-    return {"mock": "mock_replay", "ebpf": "kernel_hooks"}.get(mode, "unknown")
+    return HOOKS.get(mode, "unknown")
 
 
 def agent_id(agent: str = "", node: str = "", host: str = "") -> str:
-    return agent or (f"{node}/{host}" if node and host else node or host or "unknown")
+    """The given name, else node/host; one of both where they are the same or the other is missing."""
+    names = list(dict.fromkeys(x for x in (node, host) if x))
+    return agent or "/".join(names)
+
+
+def sampling_rate(context: dict[str, str]) -> float:
+    """The given rate; absent ones and those not above 0 mean all."""
+    rate = float(context.get("sampling_rate") or 0)
+    return rate if rate > 0 else 1.0
 
 
 def ledger_record(resolved: DataFrame, labels: dict[str, str] | None = None, context: dict[str, str] | None = None) -> DataFrame:
@@ -71,7 +83,7 @@ def ledger_record(resolved: DataFrame, labels: dict[str, str] | None = None, con
         stats.empty_packet_histogram().alias("tls_record_size_histogram"), "handshake_seen", "server_hello_seen", "tls_version_negotiated", "alpn_negotiated", "ja4s", first_non_empty(c("tls_server_parse_status"), lit("not_inspected")).alias("tls_server_parse_status"),
         lit("unknown").alias("sni_visibility"), c("__degraded").alias("visibility_degraded"), reason.alias("visibility_degraded_reason"),
         # sampling
-        lit(False).alias("sampling_applied"), lit(1.0).alias("sampling_rate"), lit("none").alias("sampling_reason"), lit(False).alias("histogram_truncated"), lit(False).alias("iat_overflow"),
+        lit(False).alias("sampling_applied"), lit(sampling_rate(context)).alias("sampling_rate"), lit("none").alias("sampling_reason"), lit(False).alias("histogram_truncated"), lit(False).alias("iat_overflow"),
         # endpoints
         *side("src"), *side("dst"), c("src_confidence").alias("src_mapping_confidence"), c("dst_confidence").alias("dst_mapping_confidence"), "mapping_method",
         c("dst_service.name").alias("dst_service_name"), c("dst_service.uid").alias("dst_service_uid"), c("dst_service.namespace").alias("dst_service_namespace"), c("dst_service.port_name").alias("dst_service_port_name"), c("dst_service.app_protocol").alias("dst_app_protocol"),

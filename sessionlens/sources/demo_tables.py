@@ -22,7 +22,7 @@ DESTINATIONS = [("10.244.1.20", 8080), ("10.96.0.10", 443), ("93.184.216.34", 44
 
 
 def raw_flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signup opens, error closes, the rest are counters; values add up per user."""
+    """signup opens, error closes, the rest are counters; values add up per user. Of twelve users one is outside, one talks to itself, one has an IPv6 address."""
     e = read(spark, sf_dir, "events").withColumn("us", micros("ts"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -30,10 +30,13 @@ def raw_flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = F.sum(F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")).over(upto)
     gap = F.col("us") - F.lag("us").over(order)
     size = F.get_json_object("props", "$.k").cast("long") * 10
+    user = F.col("user_id")
+    inside = F.concat(F.lit("10.244."), user % 3, F.lit("."), user % 250)
+    source = F.when(user % 12 == 11, F.concat(F.lit("93.184.216."), user % 250)).when(user % 12 == 10, pick(0)).when(user % 12 == 9, F.concat(F.lit("2001:db8::"), user % 9999)).otherwise(inside)
     return e.select(
         F.col("event_id").alias("seq"), (F.col("us") * 1000).alias("timestamp_ns"),
         F.when(F.col("event_type") == "signup", "CONNECT").when(F.col("event_type") == "error", "CLOSE").otherwise("STATS").alias("event_type"),
-        F.concat(F.lit("10.244."), F.col("user_id") % 3, F.lit("."), F.col("user_id") % 250).alias("src_ip"), (F.col("user_id") + 40000).cast("int").alias("src_port"),
+        source.alias("src_ip"), (F.col("user_id") + 40000).cast("int").alias("src_port"),
         pick(0).alias("dst_ip"), pick(1).alias("dst_port"), sent.alias("bytes_sent"), (3 * sent).alias("bytes_recv"), F.count("*").over(upto).alias("packets_sent"), F.count("*").over(upto).alias("packets_recv"),
         F.array_compact(F.array(size)).alias("packet_sizes"), F.array_compact(F.array(gap)).alias("iat_us"), F.col("user_id").alias("cgroup_id"),
     )
@@ -48,7 +51,7 @@ e AS (SELECT *, epoch_us(ts) AS us FROM events),
 f AS (
     SELECT event_id AS seq, us * 1000 AS timestamp_ns, user_id,
         CASE event_type WHEN 'signup' THEN 'CONNECT' WHEN 'error' THEN 'CLOSE' ELSE 'STATS' END AS event_type,
-        '10.244.' || (user_id % 3) || '.' || (user_id % 250) AS src_ip, CAST(user_id + 40000 AS INTEGER) AS src_port,
+        CASE user_id % 12 WHEN 11 THEN '93.184.216.' || (user_id % 250) WHEN 10 THEN '93.184.216.34' WHEN 9 THEN '2001:db8::' || (user_id % 9999) ELSE '10.244.' || (user_id % 3) || '.' || (user_id % 250) END AS src_ip, CAST(user_id + 40000 AS INTEGER) AS src_port,
         (['10.244.1.20', '10.96.0.10', '93.184.216.34', '10.244.3.10'])[user_id % 4 + 1] AS dst_ip, ([8080, 443, 443, 5432])[user_id % 4 + 1] AS dst_port, 'tcp' AS protocol,
         CAST(sum(CAST(round(coalesce(value, 0) * 100) AS BIGINT)) OVER w AS BIGINT) AS bytes_sent, CAST(3 * sum(CAST(round(coalesce(value, 0) * 100) AS BIGINT)) OVER w AS BIGINT) AS bytes_recv,
         count(*) OVER w AS packets_sent, count(*) OVER w AS packets_recv, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS size, us - lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iat
@@ -60,19 +63,29 @@ n AS (
 """
 
 
+def pod_uid(key: Column) -> Column:
+    """Every fourth has the uid that its cgroup path names."""
+    digits = F.sha2(key.cast("string"), 256)
+    return F.when(key % 4 == 0, F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])).otherwise(F.concat(F.lit("pod-"), key))
+
+
+POD_UID_SQL = "CASE WHEN {k} % 4 = 0 THEN regexp_replace(substr(sha256(CAST({k} AS VARCHAR)), 1, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') ELSE 'pod-' || {k} END"
+JANUARY = 1_704_067_200
+
+
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pod per customer; some addresses are shared, so later versions take them over; every 7th is deleted at one second per key."""
+    """A pod per customer; some addresses are shared, so later versions take them over. All pods of every 7th address are deleted: long ago, or while events happen."""
     c = read(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     name = lambda p, x: F.concat(F.lit(p), x)
     owners = F.when(key % 2 == 0, F.array(F.struct(F.lit("ReplicaSet").alias("kind"), name("rs-", F.col("c_nationkey")).alias("name"), name("rs-", F.col("c_nationkey")).alias("uid")))).otherwise(F.array().cast("array<struct<kind:string,name:string,uid:string>>"))
     return c.select(
-        name("ns-", F.col("c_nationkey") % 5).alias("namespace"), F.col("c_name").alias("name"), name("pod-", key).alias("uid"),
+        name("ns-", F.col("c_nationkey") % 5).alias("namespace"), F.col("c_name").alias("name"), pod_uid(key).alias("uid"),
         F.concat(F.lit("10.244."), key % 3, F.lit("."), key % 250).alias("ip"), name("node-", F.col("c_nationkey")).alias("node_name"), F.lit("main").alias("container_name"),
-        F.sha2(key.cast("string"), 256).alias("container_id"), F.create_map(F.concat(F.lit("containerd://"), F.sha2(key.cast("string"), 256)), F.lit("main")).alias("containers"),
+        F.sha2(key.cast("string"), 256).alias("container_id"), F.create_map(F.concat(F.lit("containerd://"), F.sha2(key.cast("string"), 256)), F.lit("main"), F.concat(F.lit("docker://"), F.sha2(F.concat(F.lit("c"), key), 256)), F.lit("sidecar")).alias("containers"),
         image_digest(F.concat(F.lit("registry/app@sha256:"), key)).alias("image_digest"), F.lower("c_mktsegment").alias("service_account"), owners.alias("owners"),
         F.create_map(F.lit("app"), F.col("c_mktsegment")).alias("labels"), F.lit(0).cast("long").alias("created_at"),
-        F.when(key % 7 == 0, key * 1_000_000_000).alias("deleted_at"), F.lit(False).alias("host_network"), key.alias("version"),
+        F.when(key % 250 % 7 == 0, F.when(key % 2 == 0, key).otherwise(JANUARY + key * 7919 % 2_592_000) * 1_000_000_000).alias("deleted_at"), F.lit(False).alias("host_network"), key.alias("version"),
     )
 
 
@@ -96,7 +109,7 @@ def endpoint_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
     port = F.struct(F.when(key % 5 == 0, 443).otherwise(8443).alias("port"), F.when(key % 3 == 0, "web").otherwise("other").alias("name"), F.lit("TCP").alias("protocol"))
-    endpoint = F.struct(F.array(F.concat(F.lit("10.244."), key % 3, F.lit("."), key % 250)).alias("addresses"), F.concat(F.lit("pod-"), key).alias("target_pod_uid"))
+    endpoint = F.struct(F.array(F.concat(F.lit("10.244."), key % 3, F.lit("."), key % 250)).alias("addresses"), pod_uid(key).alias("target_pod_uid"))
     return s.select(F.concat(F.lit("ns-"), F.col("s_nationkey") % 5).alias("namespace"), F.concat(F.lit("slice-"), key).alias("uid"), F.concat(F.lit("slice-"), key).alias("name"), F.col("s_name").alias("service_name"), F.array(endpoint).alias("endpoints"), F.array(port).alias("ports"), key.alias("version"))
 
 

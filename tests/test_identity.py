@@ -4,7 +4,7 @@ import pytest
 
 from sessionlens import schema as S
 from sessionlens.operators import dims, identity
-from sessionlens.plans.ledger import agent_id, hook_source
+from sessionlens.plans.ledger import agent_id, hook_source, sampling_rate
 
 G = 1_000_000_000
 UID = "0123abcd-0123-0123-0123-0123456789ab"
@@ -66,6 +66,13 @@ def test_tombstones_pass_away(spark, tables):
     assert "10.1.0.3" in known(1200) and "10.1.0.3" not in known(1400)
 
 
+def test_flows_long_after_a_deletion_are_of_nobody(spark, tables):
+    flow = lambda k, src, dst, at: (k, src, dst, 1, "tcp", 0, 5, at * G)
+    r = resolved(spark, tables, [flow(1, "10.1.0.3", "10.1.0.3", 900), flow(2, "10.1.0.3", "10.1.0.3", 600), flow(3, "10.1.0.3", "10.1.0.3", 1299), flow(4, "10.1.0.3", "10.1.0.3", 1300), flow(5, "10.1.0.3", "10.1.0.3", 900_000)])
+    for side in ("src", "dst"):
+        assert [(r[k][f"{side}_confidence"], r[k][side].pod_name) for k in range(1, 6)] == [("low", "gone"), ("high", "gone"), ("low", "gone"), ("unknown", ""), ("unknown", "")]
+
+
 def test_empty_tables_and_large_ones_join_alike(spark, tables, monkeypatch):
     flow = [(1, "10.1.0.1", "10.96.0.1", 443, "tcp", 0, 5, 9000 * G)]
     small = resolved(spark, tables, flow)[1]
@@ -74,4 +81,6 @@ def test_empty_tables_and_large_ones_join_alike(spark, tables, monkeypatch):
 
 
 def test_constants():
-    assert agent_id("", "n", "h") == "n/h" and agent_id("a", "n", "h") == "a" and agent_id() == "unknown" and hook_source("x") == "unknown"
+    assert agent_id("", "n", "h") == "n/h" and agent_id("a", "n", "h") == "a" and agent_id("", "n", "n") == "n" and agent_id("", "", "h") == "h" and agent_id("", "n") == "n"
+    assert hook_source("x") == "unknown" and hook_source("mock") == "mock" and hook_source("ebpf") == "tracepoint:sock:inet_sock_set_state"
+    assert [sampling_rate({"sampling_rate": r} if r is not None else {}) for r in (None, "0", -1, 0.25)] == [1.0, 1.0, 1.0, 0.25]
