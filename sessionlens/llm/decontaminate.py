@@ -7,7 +7,7 @@ Over that text a suffix array is built, its Burrows-Wheeler transform goes into
 backwards at once through its ranks. Occurrences are located by walking to sampled suffix positions, and their spans are merged.
 
 Defined results: null and word-less texts have no words and are clean; an empty benchmark leaves all documents clean; benchmark
-rows with the same id count as one item with the windows of all of them; repeated documents are treated each by itself; other
+rows with the same id (null too) count as one item with the windows of all of them; repeated documents are treated each by itself; other
 columns of the input are carried on unless a result column has their name.
 """
 
@@ -162,7 +162,7 @@ def phrases_of(items: list[tuple[int, str]], size: int) -> Phrases:
     by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
     for window in owners:
         by_length[len(window)].append(window)
-    return Phrases(ids, {n: (np.array(ws, dtype=np.int64), [tuple(sorted(owners[w])) for w in ws]) for n, ws in by_length.items()})
+    return Phrases(ids, {n: (np.array(ws, dtype=np.int64), [tuple(owners[w]) for w in ws]) for n, ws in by_length.items()})
 
 
 def search_shard(coded: list[np.ndarray], phrases: Phrases) -> tuple[list[set[int]], np.ndarray]:
@@ -278,7 +278,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, sh
                     own = int(total[bounds[d + 1]] - total[bounds[d]]) if total is not None else 0
                     n_hit.append(own)
                     spans.append([{"start": a, "end": b} for a, b in char_spans(texts[d], hit[bounds[d] : bounds[d + 1]])] if own else [])
-                ids = [sorted(x) for x in items[at : at + batch.num_rows]]
+                ids = [sorted(x, key=lambda i: (i is not None, i or 0)) for x in items[at : at + batch.num_rows]]
                 more = [pa.array(counts[at : at + batch.num_rows], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, SPANS)]
                 at += batch.num_rows
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], names=[*names, *RESULT.names])

@@ -6,10 +6,11 @@ paragraphs, the root those of the sections. Equal roots mean equal texts; where
 are compared, down to the pieces, which locates the edits.
 
 A fingerprint is text: "root;section/section/...", a section "hash:paragraph,paragraph,...", a paragraph "hash.pieces", hashes
-in hexadecimal digits, 6 for each piece. The likeness of two is the share of pieces they have in common (Dice, with repeats).
+in hexadecimal digits, 6 for each piece. The likeness of two is the share of pieces they have in common (Dice, with repeats),
+which only needs the pieces of differing branches.
 
 Defined results: null counts as empty; the fingerprint of an empty text is its root alone; two empty texts have likeness 1, an
-empty and another one 0; rows that share a doc_id follow each other by a hash of their texts; the one row of a table of one is
+empty and another one 0; rows without doc_id come first; rows that share a doc_id follow each other by a hash of their texts; the one row of a table of one is
 its own next document; extra columns are left out of the result.
 """
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -70,33 +73,74 @@ def parse(print_: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]
     return root, out
 
 
-def pieces(print_: str) -> Counter:
-    found: Counter = Counter()
-    for section in print_.partition(";")[2].split("/"):
-        for paragraph in section.partition(":")[2].split(","):
-            x = paragraph.partition(".")[2]
-            found.update([x[i : i + DIGITS] for i in range(0, len(x), DIGITS)])
-    return found
+def branches(print_: str) -> list[str]:
+    """The sections' branches: equal strings are equal branches."""
+    body = print_.partition(";")[2]
+    return body.split("/") if body else []
 
 
-def likeness(a: str, b: str, pieces_a: Counter | None = None, pieces_b: Counter | None = None) -> float:
+def _paragraphs(section: str) -> list[str]:
+    return section.partition(":")[2].split(",")
+
+
+def _pieces_of(paragraph: str) -> list[str]:
+    x = paragraph.partition(".")[2]
+    return [x[i : i + DIGITS] for i in range(0, len(x), DIGITS)]
+
+
+def size(print_: str) -> int:
+    """The number of pieces, from the print's length: a section has 8 digits and a colon, a paragraph 8 digits, a dot and all but the first of a section a comma."""
+    body = print_.partition(";")[2]
+    if not body:
+        return 0
+    sections, paragraphs = body.count("/") + 1, body.count(".")
+    return (len(body) - (sections - 1) - 9 * sections - 9 * paragraphs - (paragraphs - sections)) // DIGITS
+
+
+def _unlike(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """What each list has that the other hasn't, counting repeats."""
+    own, other = Counter(a), Counter(b)
+    return list((own - other).elements()), list((other - own).elements())
+
+
+def likeness(a: str, b: str) -> float:
+    """The share of pieces in common (Dice, with repeats), found from the root down: equal branches aren't entered."""
     if a == b:
         return 1.0
-    pa_, pb = pieces_a if pieces_a is not None else pieces(a), pieces_b if pieces_b is not None else pieces(b)
-    total = pa_.total() + pb.total()
-    if len(pa_) > len(pb):
-        pa_, pb = pb, pa_
-    return 2 * sum(min(n, pb[x]) for x, n in pa_.items() if x in pb) / total if total else 0.0
+    total = size(a) + size(b)
+    own, other = branches(a), branches(b)
+    for inner in (_paragraphs, _pieces_of):
+        own, other = _unlike(own, other)
+        own, other = list(chain.from_iterable(map(inner, own))), list(chain.from_iterable(map(inner, other)))
+    own, other = _unlike(own, other)
+    return (total - len(own) - len(other)) / total if total else 0.0
+
+
+def _apart(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Places of either list outside of what both have in the same order."""
+    ops = [op for op in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal"]
+    return [i for _, x, y, _, _ in ops for i in range(x, y)], [j for *_, x, y in ops for j in range(x, y)]
 
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) numbers of a that b doesn't have: branches of equal hashes aren't entered."""
+    """(section, paragraph) numbers of a that b doesn't have in that order, repeats counted: branches of equal hashes aren't entered."""
+    return list(dict.fromkeys((i, j) for i, j, _ in located(a, b)))
+
+
+def located(a: str, b: str) -> list[tuple[int, int, int | None]]:
+    """The same down to pieces; None where a paragraph differs in nothing but spacing outside of its pieces."""
     (root_a, own), (root_b, other) = parse(a), parse(b)
     if root_a == root_b:
         return []
-    sections = {h for h, _ in other}
-    paragraphs = {p for _, inner in other for p, _ in inner}
-    return [(i, j) for i, (h, inner) in enumerate(own) if h not in sections for j, (p, _) in enumerate(inner) if p not in paragraphs]
+    left, right = _apart([h for h, _ in own], [h for h, _ in other])
+    mine = [(i, j, p, x) for i in left for j, (p, x) in enumerate(own[i][1])]
+    theirs = [(p, x) for i in right for p, x in other[i][1]]
+    left, right = _apart([p for _, _, p, _ in mine], [p for p, _ in theirs])
+    pieces = [(*mine[k][:2], n, x) for k in left for n, x in enumerate(mine[k][3])]
+    changed, _ = _apart([x for *_, x in pieces], [x for k in right for x in theirs[k][1]])
+    found = [pieces[k][:3] for k in changed]
+    some = {(i, j) for i, j, _ in found}
+    return sorted(found + [(*mine[k][:2], None) for k in left if mine[k][:2] not in some], key=lambda x: (x[0], x[1], x[2] or 0))
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,12 +184,13 @@ def in_order(docs: DataFrame, rows_a_bucket: int = 2000) -> DataFrame:
         bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / coarse for k in range(1, coarse)], 0.2 / coarse)))
     tied = rows.select("doc_id", "body", _at_most(bounds, F.col("doc_id")).alias("bucket"))
     tie = F.xxhash64("body")
-    heads = tied.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    heads = tied.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("low")).select("bucket", F.col("low.doc_id").alias("doc_id"))  # null comes first
     first = heads.select("doc_id", F.col("bucket").alias("own"), F.lag("bucket").over(Window.orderBy("bucket")).alias("to"))  # a row for each range
     last = heads.agg(F.max("bucket").alias("end"))
     first = first.crossJoin(F.broadcast(last)).select("doc_id", F.coalesce("to", "end").alias("to"))
     # of several rows with a bucket's first id, the one of the smallest tie leads
-    leads = tied.drop("bucket").join(F.broadcast(first), "doc_id").withColumn("tie", tie)
+    first = first.withColumnRenamed("doc_id", "head")
+    leads = tied.drop("bucket").join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("head"))).drop("head").withColumn("tie", tie)
     leads = leads.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))).where("place = 1")
     own = tied.select("doc_id", "body", "bucket", F.lit(0).alias("follower"), tie.alias("tie"))
     return own.unionByName(leads.select("doc_id", "body", F.col("to").alias("bucket"), F.lit(1).alias("follower"), "tie"))
@@ -160,21 +205,20 @@ def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        held = None  # the row before: bucket, doc_id, text, fingerprint, pieces
+        held = None  # the row before: bucket, doc_id, text, fingerprint
         for batch in batches:
             out = []
             for doc, text, bucket, follower in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "body", "bucket", "follower")], strict=True):
                 print_ = fingerprint(text)
-                own = pieces(print_)
                 if held is not None and held[0] == bucket:
-                    _, before, old, old_print, old_pieces = held
+                    _, before, old, old_print = held
                     n = len(old)
                     k = n // 4
                     edited = old[: n - k] + text[:k]
                     edited_print = fingerprint(edited) if edited != old else old_print
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before, n, digest, old_print, edited_print, likeness(old_print, edited_print, old_pieces), likeness(old_print, print_, old_pieces, own)))
-                held = None if follower else (bucket, doc, text, print_, own)
+                    out.append((before, n, digest, old_print, edited_print, likeness(old_print, edited_print), likeness(old_print, print_)))
+                held = None if follower else (bucket, doc, text, print_)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names=names)
 
     return dealt.select("doc_id", "body", "bucket", "follower").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

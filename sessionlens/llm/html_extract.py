@@ -8,7 +8,7 @@ whose blocks are labelled, and decoded by Viterbi. The labelled pages are made b
 layouts whose blocks know what they are.
 
 Defined results: null or empty html and pages without content blocks give an empty text with n_chars 0; an unclosed comment,
-script or style hides the rest of the page; repeated rows are extracted each; extra columns of the input are left out.
+script or style hides the rest of the page; a tag whose quotes have no end goes up to the next ">"; repeated rows are extracted each; extra columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, text_or_empty
 
-TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)")
+TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)>|[!?/][^>]*>)")
 HIDDEN = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math", "canvas", "audio", "video"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta base area col embed source track param nobr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": set()}

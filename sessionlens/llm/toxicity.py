@@ -7,7 +7,8 @@ the weight of a label settles on the sentences that explain it; these are then r
 Features of a word are the lower-case word and its prefixes and suffixes of 4 to 6 characters (compounds share them).
 
 Defined results: null text counts as empty; a text without words has score 0; repeated rows are scored alike each time; extra
-columns of the input pass through score_documents() untouched; with no usable label (or of one class only) every score is the
+columns of the input pass through score_documents() untouched; labels other than 0 and 1 are none; of several texts of a doc_id the first
+in order is learned from; rows with a null doc_id are not held out; with no usable label (or of one class only) every score is the
 share of label 1 (0 if there is no label) for texts that have words.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, table, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"\w+")
@@ -129,7 +130,6 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
     theta = np.zeros(n_feat + 1)
     theta[-1] = math.log(0.05 / mean_sentences)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    shift = 0.0
     if prior is not None and 0 < prior < 1:  # train as if the classes had their shares in the corpus
         weight = np.where(y == 1, prior / (n_pos / len(y)), (1 - prior) / (n_neg / len(y)))
     else:
@@ -149,7 +149,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
         rate = 0.2 * (1 - step / (steps + 1))
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-9)
         theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - rate * l1, 0)
-    return Model(float(theta[-1] + shift), {int(f): float(theta[i]) for i, f in enumerate(telling) if abs(theta[i]) > 1e-4})
+    return Model(float(theta[-1]), {int(f): float(theta[i]) for i, f in enumerate(telling) if abs(theta[i]) > 1e-4})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> tuple[list[str], list[int], float]:
@@ -158,7 +158,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     Also the share of label 1 among all usable rows. A doc_id with several labels counts by its largest one.
     """
     spark = docs.sparkSession
-    usable = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    usable = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     shares = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     if not total:
@@ -175,7 +175,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     if not keep:
         return [], [], shares.get(1, 0) / total
     kept = F.broadcast(spark.createDataFrame(keep, "doc_id long"))
-    rows = chosen.join(kept, "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = chosen.join(kept, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.y for r in rows], shares.get(1, 0) / total
 
@@ -223,10 +223,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text:
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """Labels of fold 0 (crc32 of doc_id mod 5) are held out; every document is scored."""
-    from .common import table
 
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold != 0))
     scored = score_documents(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))

@@ -120,19 +120,19 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _op8_sql(rounds: int = 6, damping: float = 0.85) -> str:
+def _op8_sql(damping: float = 0.85, rounds: int = 120) -> str:
+    """So many rounds leave less than damping ** rounds of the mass where it may still move."""
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     steps = []
     for kind, column, start, end in (("t", "good", "host", "dest"), ("d", "bad", "dest", "host")):
         steps.append(f"{kind}s AS (SELECT host, {column} / (SELECT sum({column}) FROM hosts) AS seed FROM hosts WHERE {column} > 0)")
-        steps.append(f'{kind}e AS (SELECT {start} AS host, {end} AS dest, n / sum(n) OVER (PARTITION BY {start}) AS share FROM edges)')
-        steps.append(f"{kind}0 AS (SELECT host, seed AS rank FROM {kind}s)")
-        for k in range(rounds):
-            steps.append(f"{kind}f{k} AS (SELECT e.dest AS host, sum(r.rank * e.share * {damping}) AS flow FROM {kind}{k} r JOIN {kind}e e USING (host) GROUP BY e.dest)")
-            back = f"SELECT host, seed * (1 - (SELECT coalesce(sum(flow), 0) FROM {kind}f{k})) AS flow FROM {kind}s"
-            steps.append(f"{kind}{k + 1} AS (SELECT host, sum(flow) AS rank FROM (SELECT * FROM {kind}f{k} UNION ALL {back}) GROUP BY host)")
+        steps.append(f"{kind}out AS (SELECT {start} AS host, {end} AS dest, {damping} * n / sum(n) OVER (PARTITION BY {start}) AS w FROM edges)")
+        # what an edge doesn't take returns to the seeds
+        steps.append(f"{kind}b AS (SELECT h.host, s.host AS dest, s.seed * CASE WHEN h.host IN (SELECT host FROM {kind}out) THEN {1 - damping} ELSE 1 END AS w FROM (SELECT host FROM edges UNION SELECT dest FROM edges UNION SELECT host FROM {kind}s) h, {kind}s s)")
+        steps.append(f"{kind}e AS (SELECT host, dest, sum(w) AS w FROM (SELECT * FROM {kind}out UNION ALL SELECT * FROM {kind}b) GROUP BY ALL)")
+        steps.append(f"{kind}r AS (SELECT host, CAST(seed AS DOUBLE) AS rank, 0 AS k FROM {kind}s UNION ALL SELECT e.dest, CAST(sum(r.rank * e.w) AS DOUBLE), r.k + 1 FROM {kind}r r JOIN {kind}e e USING (host) WHERE r.k < {rounds} GROUP BY e.dest, r.k + 1)")
     return rf"""
-WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 part AS (
     SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -140,7 +140,7 @@ rules(verdict, h, p) AS (VALUES {rules}),
 best AS (
     SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
     FROM part JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
-ruled AS (SELECT DISTINCT part.page_id, part.host, part.path, best.rule, best.verdict FROM part LEFT JOIN best USING (page_id, host, path)),
+ruled AS (SELECT part.page_id, part.host, part.path, best.rule, best.verdict FROM part LEFT JOIN best USING (page_id, host, path)),
 links AS (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS u FROM part),
 edges AS (
     SELECT host, CASE WHEN t = '' THEN host ELSE t END AS dest, count(*) AS n FROM (
@@ -151,7 +151,7 @@ hosts AS (SELECT host, count(*) FILTER (verdict = 'allow') AS good, count(*) FIL
 {", ".join(steps)},
 verdicts AS (
     SELECT host, CASE WHEN coalesce(d.rank, 0) - coalesce(t.rank, 0) > 0 THEN 'block' ELSE 'allow' END AS found
-    FROM hosts LEFT JOIN t{rounds} t USING (host) LEFT JOIN d{rounds} d USING (host))
+    FROM hosts LEFT JOIN (SELECT host, rank FROM tr WHERE k = {rounds}) t USING (host) LEFT JOIN (SELECT host, rank FROM dr WHERE k = {rounds}) d USING (host))
 SELECT page_id, host, path, rule, coalesce(verdict, found) AS verdict FROM ruled LEFT JOIN verdicts USING (host)
 """
 

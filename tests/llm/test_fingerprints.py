@@ -1,6 +1,8 @@
+import collections
 import hashlib
+import random
 
-from sessionlens.llm.fingerprints import edits, fingerprint, fingerprint_documents, in_order, likeness, op1_document_fingerprints
+from sessionlens.llm.fingerprints import edits, fingerprint, fingerprint_documents, in_order, likeness, located, op1_document_fingerprints, parse, size
 
 TEXT = "A first line, of some words here. And more of it.\nSecond line of the section, with words.\n\nAnother section; it has one line of text only."
 
@@ -21,6 +23,40 @@ def test_differing_branches_locate_edits():
     assert likeness(fingerprint(""), fingerprint("")) == 1 and likeness(fingerprint(""), fingerprint("a b")) == 0
 
 
+def test_likeness_equals_counting_all_pieces():
+    r = random.Random(6)
+    line = lambda: " ".join(r.choice(["aa", "bb, ", "cc. ", "dddd ddd dd"]) for _ in range(r.randrange(1, 9)))
+    texts = ["\n".join(line() if r.random() < 0.8 else "" for _ in range(r.randrange(0, 12))) for _ in range(60)]
+    texts += [t + "\n" + texts[0] for t in texts[:20]] + ["", "\n", "x"]
+    for a in map(fingerprint, texts):
+        flat = lambda p: collections.Counter(x for _, inner in parse(p)[1] for _, pieces in inner for x in pieces)
+        assert size(a) == flat(a).total()
+        for b in map(fingerprint, r.sample(texts, 12)):
+            x, y = flat(a), flat(b)
+            want = 1.0 if a == b else 2 * (x & y).total() / (x.total() + y.total()) if x or y else 0.0
+            assert abs(likeness(a, b) - want) < 1e-12
+
+
+def test_every_difference_is_located():
+    base = "One line here, with words.\nTwo lines.\nTwo lines.\n\nThree, of another section.\nFour it is, four it was."
+    a = fingerprint(base)
+    assert edits(a, fingerprint(base.replace("Two lines.\n", "", 1))) == [(0, 2)] or edits(a, fingerprint(base.replace("Two lines.\n", "", 1))) == [(0, 1)]
+    assert edits(fingerprint(base.replace("Two lines.\n", "Two lines.\n" * 2, 1)), a)
+    lines = base.split("\n")
+    assert edits(a, fingerprint("\n".join([lines[1], lines[0], *lines[2:]])))
+    assert located(a, fingerprint(base.replace("four it was", "five it was"))) == [(1, 1, 1)] or located(a, fingerprint(base.replace("four it was", "five it was")))[0][:2] == (1, 1)
+    long = "words without a stop " * 5
+    assert located(fingerprint(long), fingerprint(long + "\n")) == [(0, 0, None)]
+
+
+def test_rows_without_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "abcdefgh"), (None, "abcdefgh")], "doc_id long, text string").write.parquet(f"{tmp_path}/all/documents.parquet")
+    assert [r.near_next for r in op1_document_fingerprints(spark, f"{tmp_path}/all").collect()] == [1, 1]
+    spark.createDataFrame([(3, "three of it"), (None, "abcdefgh"), (1, "one, one")], "doc_id long, text string").write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = {r.doc_id: r.edited_sha256 for r in op1_document_fingerprints(spark, f"{tmp_path}/some").collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((None, "abcdefon"), (1, "one, oth"), (3, "three of ab"))}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "word, " * 40000, None)], "doc_id long, text string, fingerprint string")
     rows = fingerprint_documents(docs).orderBy("doc_id").collect()
