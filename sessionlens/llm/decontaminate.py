@@ -1,10 +1,10 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Phrases are windows of consecutive benchmark words (items shorter than a window are one window). Documents are gathered into
-shards of a bounded number of words. A shard's text is its words as integers; words that no phrase has can't be part of an
-occurrence, so runs of phrase words that are shorter than the shortest phrase are left out and the rest is joined by separators.
-Over that text a suffix array is built, its Burrows-Wheeler transform goes into a wavelet matrix, and all phrases are searched
-backwards at once through its ranks. Occurrences are located by walking to sampled suffix positions, and their spans are merged.
+shards of a bounded number of words. A shard's text is all words of its documents as integers, with a separator after each document. Over
+that text a suffix array is built, its Burrows-Wheeler transform goes into a wavelet matrix, and all phrases whose words the shard
+has are searched backwards at once through its ranks, one block of the benchmark after another in the same index. Occurrences are
+located by walking to sampled suffix positions, and their spans are merged. Words are told apart by 64-bit hashes.
 
 Defined results: null and word-less texts have no words and are clean; an empty benchmark leaves all documents clean; benchmark
 rows with the same id (null too) count as one item with the windows of all of them; repeated documents are treated each by itself; other
@@ -16,15 +16,17 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, slices, table, text_or_empty
+from .shingles import word_hashes
 
 #: Lower-cases A-Z and turns every byte that isn't part of a word into a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -70,23 +72,30 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; text must have no equal suffixes within len(text), which unlike separators ensure."""
+    """By prefix doubling; text must have no equal suffixes within len(text), which unlike separators ensure.
+
+    A suffix's rank is the first place of its group of equal prefixes; only groups of more than one are sorted on.
+    """
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
+    order = np.argsort(text, kind="stable")
+    begins = np.concatenate([[True], text[order[1:]] != text[order[:-1]]])
+    first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = first
+    open_ = np.flatnonzero(~begins | np.append(~begins[1:], False))
     step = 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
+    while len(open_):
+        at = order[open_]
+        key = first[open_] * (n + 1) + np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        own = np.maximum.accumulate(np.where(begins, open_, 0))
+        order[open_], first[open_] = at, own
+        rank[at] = own
+        open_ = open_[~begins | np.append(~begins[1:], False)]
         step *= 2
+    return order
 
 
 class FMIndex:
@@ -142,63 +151,48 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Windows of a block of the benchmark: word ids from 1 on; by length, the windows and the items of each."""
-
-    ids: dict[bytes, int]
-    windows: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]]
+    """Windows of a block of the benchmark; by length, the hashes of their words (a row each) and the items that have them."""
 
-    @property
-    def shortest(self) -> int:
-        return min(self.windows, default=0)
+    windows: dict[int, tuple[np.ndarray, list[tuple]]]
 
 
 def phrases_of(items: list[tuple[int, str]], size: int) -> Phrases:
-    ids: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-    for item, text in items:
-        coded = [ids.setdefault(w, len(ids) + 1) for w in words(text)]
-        for k in range(max(1, len(coded) - size + 1) if coded else 0):
-            owners[tuple(coded[k : k + size])].add(item)
-    by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+    hashes, starts = word_hashes(pa.array([text or "" for _, text in items], pa.string()))
+    owners: dict[bytes, set] = defaultdict(set)
+    for (item, _), a, b in zip(items, starts, starts[1:]):
+        n = min(size, int(b - a))
+        for k in range(a, b - n + 1) if n else ():
+            owners[hashes[k : k + n].tobytes()].add(item)
+    by_length: dict[int, list[bytes]] = defaultdict(list)
     for window in owners:
-        by_length[len(window)].append(window)
-    return Phrases(ids, {n: (np.array(ws, dtype=np.int64), [tuple(owners[w]) for w in ws]) for n, ws in by_length.items()})
-
-
-def search_shard(coded: list[np.ndarray], phrases: Phrases) -> tuple[list[set[int]], np.ndarray]:
-    """coded: each document's words as ids, 0 for words of no phrase. Each document's items, and which words of the shard are hit."""
-    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    items: list[set[int]] = [set() for _ in coded]
-    marks = np.zeros(starts[-1] + 1, dtype=np.int32)
-    if phrases.windows and starts[-1]:
-        every = np.concatenate(coded)
-        inside = every > 0
-        first = np.zeros(len(every) + 1, dtype=bool)
-        first[starts] = True  # runs end with their document
-        begins = np.flatnonzero(inside & (first[:-1] | ~np.concatenate([[False], inside[:-1]])))
-        ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-        long = ends - begins >= phrases.shortest
-        begins, ends = begins[long], ends[long]
-        if len(begins):
-            lengths = ends - begins + 1
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            place = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begins, lengths)
-            text = every[np.minimum(place, len(every) - 1)].astype(np.int64)
-            text[offsets[1:] - 1] = 0
-            index = FMIndex(text, len(phrases.ids))
-            for size, (windows, owners) in phrases.windows.items():
-                low, high = index.search(windows)
+        by_length[len(window) // 8].append(window)
+    return Phrases({n: (np.frombuffer(b"".join(ws), dtype=np.uint64).reshape(-1, n), [tuple(owners[w]) for w in ws]) for n, ws in by_length.items()})
+
+
+def search_shard(hashes: np.ndarray, starts: np.ndarray, blocks: list[Phrases]) -> tuple[list[set], np.ndarray]:
+    """hashes: all words of the shard's documents; starts: where each one's begin (one more than documents). Each document's items, and which words are hit."""
+    items: list[set] = [set() for _ in starts[1:]]
+    marks = np.zeros(len(hashes) + 1, dtype=np.int32)
+    if len(hashes) and any(b.windows for b in blocks):
+        known, ids = np.unique(hashes, return_inverse=True)
+        text = np.insert(ids + 1, starts[1:], 0)
+        index = FMIndex(text, len(known))
+        for block in blocks:
+            for size, (windows, owners) in block.windows.items():
+                ids = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+                there = np.flatnonzero((known[ids] == windows).all(axis=1))
+                low, high = index.search(ids[there] + 1)
                 hit = np.flatnonzero(high > low)
                 if not len(hit):
                     continue
                 counts = (high - low)[hit]
-                which = np.repeat(hit, counts)
+                which = there[np.repeat(hit, counts)]
                 rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[hit], counts)
-                at = place[index.locate(rows)]
+                at = index.locate(rows)
+                docs = np.searchsorted(starts[1:] + np.arange(len(starts) - 1), at)  # the separators' places
+                at = at - docs
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + size, -1)
-                docs = np.searchsorted(starts, at, side="right") - 1
                 for d, w in np.unique(np.stack([docs, which], axis=1), axis=0):
                     items[d].update(owners[w])
     return items, np.cumsum(marks[:-1]) > 0
@@ -242,7 +236,7 @@ def benchmark_blocks(benchmark: DataFrame, max_items: int, item: str = "item_id"
         yield block
 
 
-def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_500_000, max_items: int = 20_000, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, max_items: int = 20_000, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, n_hit, item_ids (sorted) and spans (code points to remove, merged) to keep (all columns).
 
     A larger benchmark is searched in blocks of max_items rows, one shared with the executors after another.
@@ -258,42 +252,33 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, sh
 
     def run(batches):
         blocks = [b.value for b in shared]
-        held, texts, coded, n = [], [], [[] for _ in blocks], 0
+        held, texts, hashes, sizes, n = [], [], [], [], 0
 
         def finish():
-            counts = np.fromiter(map(len, coded[0]), dtype=np.int64) if blocks else np.zeros(len(texts), dtype=np.int64)
-            bounds, items, hit = np.concatenate([[0], np.cumsum(counts)]), [set() for _ in texts], None
-            for block, own in zip(blocks, coded, strict=True):
-                more, marks = search_shard(own, block)
-                hit = marks if hit is None else hit | marks
-                for a, b in zip(items, more, strict=True):
-                    a |= b
-            if not blocks:
-                counts = np.array([len(words(t)) for t in texts], dtype=np.int64)
-            total = np.concatenate([[0], np.cumsum(hit)]) if hit is not None else None
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            items, hit = search_shard(np.concatenate(hashes), starts, blocks)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = total[starts[1:]] - total[starts[:-1]]
             at = 0
-            for batch in held:
-                n_hit, spans = [], []
-                for d in range(at, at + batch.num_rows):
-                    own = int(total[bounds[d + 1]] - total[bounds[d]]) if total is not None else 0
-                    n_hit.append(own)
-                    spans.append([{"start": a, "end": b} for a, b in char_spans(texts[d], hit[bounds[d] : bounds[d + 1]])] if own else [])
-                ids = [sorted(x, key=lambda i: (i is not None, i or 0)) for x in items[at : at + batch.num_rows]]
-                more = [pa.array(counts[at : at + batch.num_rows], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, SPANS)]
+            for batch, bodies in zip(held, texts, strict=True):
+                here = range(at, at + batch.num_rows)
                 at += batch.num_rows
+                spans = [[{"start": a, "end": b} for a, b in char_spans(bodies[d - here.start].as_py(), hit[starts[d] : starts[d + 1]])] if n_hit[d] else [] for d in here]
+                ids = [sorted(items[d], key=lambda i: (i is not None, i or 0)) for d in here]
+                more = [pa.array(np.diff(starts)[here.start : at]), pa.array(n_hit[here.start : at].astype(np.int64)), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, SPANS)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], names=[*names, *RESULT.names])
 
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, [column]) for b in batches):
+            body = pc.fill_null(batch.column(column), "")
+            own, starts = word_hashes(body)
             held.append(batch)
-            for body in batch.column(column):
-                texts.append(body.as_py() or "")
-                found = words(texts[-1])
-                n += len(found)
-                for block, own in zip(blocks, coded, strict=True):
-                    own.append(np.fromiter(map(block.ids.get, found, repeat(0)), dtype=np.int32, count=len(found)))
+            texts.append(body)
+            hashes.append(own)
+            sizes += np.diff(starts).tolist()
+            n += len(own)
             if n >= shard_words:
                 yield from finish()
-                held, texts, coded, n = [], [], [[] for _ in blocks], 0
+                held, texts, hashes, sizes, n = [], [], [], [], 0
         if held:
             yield from finish()
 

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from sessionlens.llm.decontaminate import FMIndex, find_occurrences, op10_decontaminate, phrases_of, remove_spans, search_shard, words
+from sessionlens.llm.decontaminate import FMIndex, find_occurrences, op10_decontaminate, phrases_of, remove_spans, search_shard, suffix_array, words
+from sessionlens.llm.shingles import word_hashes
 
 PATTERN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -52,11 +54,26 @@ def test_shards_equal_brute_force():
         docs = [" ".join(r.choice("abcde") for _ in range(r.randrange(40))) for _ in range(60)]
         items = [(i, " ".join(r.choice("abcde") for _ in range(r.randrange(7)))) for i in range(12)]
         p = phrases_of(items, size)
-        coded = [np.array([p.ids.get(w, 0) for w in words(t)], dtype=np.int32) for t in docs]
-        found, hit = search_shard(coded, p)
         want = brute(docs, items, size)
-        assert [sorted(x) for x in found] == [w[2] for w in want]
-        assert hit.astype(int).tolist() == [h for w in want for h in w[1]]
+        for blocks in ([p], [phrases_of(items[:5], size), phrases_of([], size), phrases_of(items[5:], size)]):
+            found, hit = search_shard(*word_hashes(pa.array(docs)), blocks)
+            assert [sorted(x) for x in found] == [w[2] for w in want]
+            assert hit.astype(int).tolist() == [h for w in want for h in w[1]]
+
+
+def test_suffix_array_equals_sorting():
+    r = random.Random(3)
+    for n in (1, 2, 50, 400):
+        text = np.array([r.randrange(3) for _ in range(n)])
+        text[r.randrange(n)] = 1
+        unlike = np.append(text + 1, 0)
+        assert suffix_array(unlike).tolist() == sorted(range(n + 1), key=lambda k: unlike[k:].tolist())
+
+
+def test_items_without_ids(spark):
+    docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, PASSAGE), (3, PASSAGE), (None, "other words")], "item_id long, text string")
+    assert find_occurrences(docs, benchmark).first().item_ids == [None, 3]
 
 
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve"
