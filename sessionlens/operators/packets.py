@@ -30,12 +30,13 @@ def flow_statistics(packets: DataFrame, key: list[str], outgoing: Column, at: st
     rows = with_iat(packets.withColumn("__way", outgoing), key, F.col("__way"), at, seq)
     out, size, iat = F.col("__way"), F.col(length), F.col("iat_us")
     real = F.nullif(size, F.lit(0))
+    size_bucket, iat_bucket = stats.packet_bucket(size), stats.iat_bucket(iat)
     return rows.groupBy(*key).agg(
         F.sum(F.when(out, size).otherwise(0)).alias("bytes_out"), F.sum(F.when(~out, size).otherwise(0)).alias("bytes_in"),
         F.count_if(out).alias("packets_out"), F.count_if(~out).alias("packets_in"),
         F.min(real).alias("pkt_size_min"), F.max(real).alias("pkt_size_max"),
-        F.array(*[F.count_if(stats.packet_bucket(size) == k) for k in range(7)]).alias("size_counts"),
-        F.array(*[F.count_if(stats.iat_bucket(iat) == k) for k in range(6)]).alias("iat_counts"),
+        F.array(*[F.count_if(size_bucket == k) for k in range(7)]).alias("size_counts"),
+        F.array(*[F.count_if(iat_bucket == k) for k in range(6)]).alias("iat_counts"),
         F.count_if(iat > 1_000_000).alias("idle_gap_count"), F.count_if((iat > 0) & (iat < 10_000)).alias("burst_count"),
     )
 

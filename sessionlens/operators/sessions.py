@@ -40,34 +40,26 @@ def window_gates(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], ke
     """Adds emitted, the window number that an event emits (null: none), and windows_before, how many the session emitted earlier.
 
     A window is emitted by the first CONNECT, ACCEPT or STATS at least window_ns after the last emission (at first: the start);
-    the gate then moves to that event, so windows follow no grid. The fold runs over a session's times only.
+    the gate then moves to that event, so windows follow no grid. The fold runs over a session's times only; what it gives is
+    joined back by place, a row per emission.
     """
     keys = [*(keys or KEY), "session_no"]
     gate = F.col("event_type").isin("CONNECT", "ACCEPT", "STATS")
-    rows = numbered.withColumn("__gate", gate)
     flat = Window.partitionBy(*keys).orderBy("timestamp_ns", "seq")
-    placed = rows.withColumn("__k", F.row_number().over(flat))
-    times = F.array_sort(F.collect_list(F.when(F.col("matched"), F.struct("__k", "timestamp_ns", "__gate"))))
-    per = placed.groupBy(*keys).agg(times.alias("__times"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<k:int,w:int>>").alias("out"))
+    placed = numbered.withColumn("__k", F.row_number().over(flat))
+    times = F.array_sort(F.collect_list(F.when(F.col("matched"), F.struct("__k", "timestamp_ns", gate.alias("__gate")))))
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
         hit = t["__gate"] & acc["last"].isNotNull() & (t["timestamp_ns"] - acc["last"] >= window_ns)
         last = F.when(acc["last"].isNull() | hit, t["timestamp_ns"]).otherwise(acc["last"])
-        out = F.when(hit, F.concat(acc["out"], F.array(F.struct(t["__k"].alias("k"), (F.size(acc["out"]) + 1).alias("w"))))).otherwise(acc["out"])
-        return F.struct(last.alias("last"), out.alias("out"))
+        return F.struct(last.alias("last"), (acc["n"] + hit.cast("int")).alias("n"), F.when(hit, F.concat(acc["out"], F.array(t["__k"]))).otherwise(acc["out"]).alias("out"))
 
-    gates = per.select(*keys, F.aggregate("__times", zero, step)["out"].alias("__gates"))
-    out = placed.join(gates, keys)
-    emitted = F.get(F.filter("__gates", lambda g: g["k"] == F.col("__k")), F.lit(0))["w"]
-    earlier = F.size(F.filter("__gates", lambda g: g["k"] < F.col("__k")))
-    return out.withColumns({"emitted": emitted, "windows_before": earlier, "windows": F.size("__gates")}).drop("__gate", "__k", "__gates")
-
-
-def window_rows(gated: DataFrame) -> DataFrame:
-    """The events of every window summary: all from the session's start up to the emitting one, under its window_id."""
-    rows = gated.where("matched AND windows > 0 AND windows_before < windows")
-    return rows.withColumn("window_id", F.explode(F.sequence(F.col("windows_before") + 1, F.col("windows"))))
+    gates = placed.groupBy(*keys).agg(times.alias("__times")).select(*keys, F.posexplode(F.aggregate("__times", zero, step)["out"]).alias("__w", "__k"))
+    out = placed.join(gates, [*keys, "__k"], "left").withColumn("emitted", F.col("__w") + 1)
+    upto = Window.partitionBy(*keys).orderBy("timestamp_ns", "seq")
+    before = F.count("__w").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumns({"windows_before": before.cast("int"), "windows": F.count("__w").over(Window.partitionBy(*keys)).cast("int")}).drop("__k", "__w")
 
 
 def _histogram(column: str, label: str) -> Column:
@@ -95,6 +87,7 @@ def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["lon
     order = F.struct("timestamp_ns", "seq")
     size, iat = F.when(F.col("__s.kind") == 1, F.col("__s.v")), F.when(F.col("__s.kind") == 2, F.col("__s.v"))
     kind = F.col("event_type")
+    size_bucket, iat_bucket = stats.packet_bucket(size), stats.iat_bucket(iat)
     total = F.max if counter_mode == "cumulative" else F.sum
 
     def counted(name: str, more: Column | None = None) -> Column:
@@ -123,8 +116,8 @@ def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["lon
         *[F.coalesce(F.bool_or(F.when(own, F.col(c))), F.lit(False)).alias(c) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available")],
         F.array(*[F.coalesce(total(F.when(own, _histogram("packet_size_histogram", b))), F.lit(0)) for b in PACKET_BUCKETS]).alias("__reported_sizes"),
         F.array(*[F.coalesce(total(F.when(own, _histogram("iat_histogram", b))), F.lit(0)) for b in IAT_BUCKETS]).alias("__reported_iats"),
-        F.array(*[F.count_if(stats.packet_bucket(size) == k) for k in range(7)]).alias("__raw_sizes"),
-        F.array(*[F.count_if(stats.iat_bucket(iat) == k) for k in range(6)]).alias("__raw_iats"),
+        F.array(*[F.count_if(size_bucket == k) for k in range(7)]).alias("__raw_sizes"),
+        F.array(*[F.count_if(iat_bucket == k) for k in range(6)]).alias("__raw_iats"),
         F.least(F.min(size), F.min(F.when(own, F.col("pkt_size_min")))).alias("pkt_size_min"),
         F.greatest(F.max(size), F.max(F.when(own, F.col("pkt_size_max")))).alias("pkt_size_max"),
         F.avg(size).alias("__mean"), F.percentile(size, F.lit(0.5)).alias("__p50"), F.percentile(size, F.lit(0.95)).alias("__p95"),
@@ -134,7 +127,11 @@ def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["lon
         F.coalesce(F.bool_or(F.when(head & server, F.col("server_hello_seen"))), F.lit(False)).alias("server_hello_seen"),
         *[latest(c, client) for c in TLS_CLIENT], *[latest(c, server) for c in TLS_SERVER],
     ]
-    g = x.groupBy(*by).agg(*aggregates)
+    return finished(x.groupBy(*by).agg(*aggregates), long_lived_ns, flush_ns, closing)
+
+
+def finished(g: DataFrame, long_lived_ns: int, flush_ns: int | None, closing: bool) -> DataFrame:
+    """Rates, ratios, estimates and names from the sums of a group."""
     ended = F.col("closed") == 1
     flush = F.lit(flush_ns).cast("long") if flush_ns is not None else F.col("last_ns")
     end = F.when(ended, F.col("last_ns")).otherwise(flush) if closing else F.col("last_ns")
@@ -177,10 +174,61 @@ def sessions(events: DataFrame, long_lived_ns: int = DEFAULTS["long_lived_ns"],
 
 
 def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"], long_lived_ns: int = DEFAULTS["long_lived_ns"], keys: list[str] | None = None) -> DataFrame:
-    """Window summaries: cumulative from the session's start to each emission."""
+    """Window summaries: cumulative from the session's start to each emission.
+
+    The events between two emissions are a segment. Segments are summed each by itself and then along their session, so an event
+    is shuffled once, however many windows follow it.
+    """
     keys = keys or KEY
-    rows = window_rows(window_gates(number_sessions(events, keys), window_ns, keys))
-    out = summarise(rows, [*keys, "session_no", "window_id"], long_lived_ns, None, False, keys)
+    gated = window_gates(number_sessions(events, keys), window_ns, keys).where("matched AND windows_before < windows")
+    by = [*keys, "session_no"]
+    rows = gated.withColumn("window_id", F.col("windows_before") + 1)
+    order, flow, kind = F.struct("timestamp_ns", "seq"), F.col("event_type") != "TLS_HANDSHAKE", F.col("event_type")
+    client = ~flow & ((F.col("ja4") != "") | F.col("handshake_seen"))
+    server = ~flow & ((F.col("ja4s") != "") | F.col("server_hello_seen"))
+    at = lambda name, when: F.when(when, F.struct(order.alias("at"), F.col(name).alias("v")))
+    last = {"last_ns": at("timestamp_ns", flow), "raw_reason": at("close_reason", flow & (kind == "CLOSE")), "tcp_state": at("tcp_state", flow & (F.col("tcp_state") != "")), "rtt_estimate_us": at("rtt_estimate_us", flow & (F.col("rtt_estimate_us") > 0))}
+    last |= {c: at(c, client) for c in TLS_CLIENT} | {c: at(c, server) for c in TLS_SERVER}
+    first = {c: at(c, flow) for c in ("cgroup_id", "netns_ino", "node_name")}
+    own = lambda c: F.when(flow, F.col(c))
+    most = {"bytes_out": own("bytes_sent"), "bytes_in": own("bytes_recv"), "packets_out": own("packets_sent"), "packets_in": own("packets_recv"), "closed": (flow & (kind == "CLOSE")).cast("int"), "__high": own("pkt_size_max")}
+    most |= {c: F.when(flow, F.col(c)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available")} | {"handshake_seen": F.when(client, F.col("handshake_seen")), "server_hello_seen": F.when(server, F.col("server_hello_seen"))}
+    least = {"start_ns": own("timestamp_ns"), "__low": own("pkt_size_min")}
+    total = {"event_count": flow.cast("long"), "syn_count": F.when(flow, F.col("syn_count") + kind.isin("CONNECT", "ACCEPT").cast("long")), "fin_count": F.when(flow, F.col("fin_count") + (kind == "CLOSE").cast("long"))}
+    total |= {c: own(c) for c in ("direction_changes", "rst_count", "retrans_count", "idle_gap_count", "burst_count")}
+    total |= {f"__p{k}": F.when(flow, _histogram("packet_size_histogram", b)) for k, b in enumerate(PACKET_BUCKETS)} | {f"__i{k}": F.when(flow, _histogram("iat_histogram", b)) for k, b in enumerate(IAT_BUCKETS)}
+    kinds = [(total, F.sum), (most, F.max), (last, F.max), (least, F.min), (first, F.min)]
+    samples = {"__sizes": "packet_sizes", "__gaps": "iat_us"}
+    segments = rows.groupBy(*by, "window_id").agg(*[f(v).alias(c) for some, f in kinds for c, v in some.items()], *[F.array_sort(F.flatten(F.collect_list(v))).alias(c) for c, v in samples.items()])
+    along = Window.partitionBy(*by).orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    whole = segments.select(*by, "window_id", *[f(c).over(along).alias(c) for some, f in kinds for c in some], *[F.array_sort(F.flatten(F.collect_list(c).over(along))).alias(c) for c in samples])
+
+    def percentile(c: str, p: float) -> Column:
+        place = (F.size(c) - 1) * F.lit(p)
+        low = F.floor(place).cast("int")
+        a, b = F.get(F.col(c), low), F.coalesce(F.get(F.col(c), low + 1), F.get(F.col(c), low))
+        return a + (b - a) * (place - low)
+
+    def mean(c: str | Column) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return F.aggregate(c, F.lit(0.0), lambda x, v: x + v) / F.nullif(F.size(c), F.lit(0))
+
+    def counted(c: str, bucket, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.size(F.filter(c, lambda v: bucket(v) == k)).cast("long"))
+
+    gap_mean = whole.withColumn("__imean", mean("__gaps"))
+    g = gap_mean.select(
+        *by, "window_id", *[c for some in (total, most, least) for c in some if not c.startswith("__")], *[F.col(f"{c}.v").alias(c) for some in (last, first) for c in some],
+        F.array(*[F.col(f"__p{k}") for k in range(7)]).alias("__reported_sizes"), F.array(*[F.col(f"__i{k}") for k in range(6)]).alias("__reported_iats"),
+        counted("__sizes", stats.packet_bucket, 7).alias("__raw_sizes"), counted("__gaps", stats.iat_bucket, 6).alias("__raw_iats"),
+        F.least(F.array_min("__sizes"), F.col("__low")).alias("pkt_size_min"), F.greatest(F.array_max("__sizes"), F.col("__high")).alias("pkt_size_max"),
+        mean("__sizes").alias("__mean"), percentile("__sizes", 0.5).alias("__p50"), percentile("__sizes", 0.95).alias("__p95"), percentile("__gaps", 0.5).alias("__i50"), percentile("__gaps", 0.95).alias("__i95"),
+        F.sqrt(mean(F.transform("__gaps", lambda v: (v - F.col("__imean")) * (v - F.col("__imean"))))).alias("__istd"),
+        F.size(F.filter("__gaps", lambda v: v > 1_000_000)).cast("long").alias("__idle"), F.size(F.filter("__gaps", lambda v: (v > 0) & (v < 10_000))).cast("long").alias("__burst"),
+    )
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in (*total, "bytes_out", "bytes_in", "packets_out", "packets_in") if not c.startswith("__")}
+    false = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available", "handshake_seen", "server_hello_seen")}
+    out = finished(g.withColumns(zero | false), long_lived_ns, None, False)
     return out.withColumn("record_type", F.lit("window_summary"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,16 @@ def query(sql: str | None = None):
     return register
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which driver and executors share; a local one is for local masters only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -409,13 +422,13 @@ def identity_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("src_port", "session_no", "dst.pod_uid", F.col("dst_service.uid").alias("service_uid"), F.col("dst_confidence").alias("confidence"), F.col("dst_method").alias("how"))
 
 
-@query("""SELECT event_id, coalesce(last_value(CASE WHEN event_id % 4 = 0 THEN 'exp-' || event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'unknown') AS experiment_id, CASE WHEN last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) IS NULL THEN 'unlabeled' ELSE 'load' END AS scenario_label
+@query("""SELECT event_id, coalesce(last_value(CASE WHEN event_id % 4 = 0 THEN 'exp-' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'unknown') AS experiment_id, CASE WHEN last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) IS NULL THEN 'unlabeled' ELSE 'load' END AS scenario_label
 FROM events WHERE event_type = 'signup'""")
 def label_lkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = demo.read(spark, sf_dir, "events").where("event_type = 'signup'")
     good = F.col("event_id") % 4 == 0
-    read_ = e.select(F.struct("ts", "event_id").alias("read_at"), good.alias("ok"), F.concat(F.lit("exp-"), "event_id").alias("experiment_id"), F.lit("load").alias("scenario_label"), *[F.lit("").alias(c) for c in ("scenario_phase", "attack_enabled", "load_level")])
-    return sources.current_labels(read_).select("read_at.event_id", "experiment_id", "scenario_label")
+    read_ = e.select((F.col("user_id") % 5).alias("document"), F.struct("ts", "event_id").alias("read_at"), good.alias("ok"), F.concat(F.lit("exp-"), "event_id").alias("experiment_id"), F.lit("load").alias("scenario_label"), *[F.lit("").alias(c) for c in ("scenario_phase", "attack_enabled", "load_level")])
+    return sources.current_labels(read_, document=["document"]).select("read_at.event_id", "experiment_id", "scenario_label")
 
 
 # ---- records -------------------------------------------------------------------------------------------------------
@@ -512,6 +525,48 @@ def kernel_row_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.kernel_rows(rows).select("event_id", "event_type", "src_ip", "pkt_size_min", "tcp_state")
 
 
+def _jsonl(spark: SparkSession, sf_dir: str) -> str:
+    """The events as JSON lines: every 7th is a hello as hex digits (a client's, a server's cut short, or no hex at all); types in lower case, absent keys."""
+    k, folder = F.col("seq"), new_folder(spark, "events")
+    client = client_hello_bytes("Example.com", _C, _X, "h2", [0x0304, 0x0303], _G).hex()
+    e = demo.raw_flow_events(spark, sf_dir).withColumn("hello", k % 7 == 0)
+    e = e.withColumns({"event_type": F.lower(F.when(F.col("hello"), "TLS_HANDSHAKE").otherwise(F.col("event_type"))), "direction": F.when(F.col("hello"), F.when(k % 3 == 1, 2).otherwise(1)), "tls_payload_hex": F.when(F.col("hello"), F.when(k % 3 == 0, client).when(k % 3 == 1, "1603030010020000").otherwise("xyz"))})
+    e.select("timestamp_ns", "event_type", "src_ip", "src_port", "dst_ip", "dst_port", "bytes_sent", "packet_sizes", "direction", "tls_payload_hex", "cgroup_id", k.alias("pid")).write.json(folder)
+    return folder
+
+
+_JSONL = """CASE WHEN seq % 7 = 0 AND seq % 3 <> 1 THEN CASE seq % 3 WHEN 0 THEN 'parsed' ELSE 'parse_error' END ELSE '' END AS tls_parse_status, CASE WHEN seq % 7 = 0 AND seq % 3 = 1 THEN 'fragmented' ELSE '' END AS tls_server_parse_status, CASE WHEN seq % 21 = 0 THEN '1.3' ELSE '' END AS tls_version, CASE WHEN seq % 21 = 0 THEN 'a379a6f6eeafb9a5' ELSE '' END AS sni_hash, seq % 21 = 0 AS handshake_seen"""
+
+
+@query(f"""WITH {FLOW} SELECT seq AS pid, timestamp_ns, CASE WHEN seq % 7 = 0 THEN 'TLS_HANDSHAKE' ELSE event_type END AS event_type, src_ip, src_port, dst_ip, protocol, bytes_sent, {_JSONL}, seq % 7 <> 0 AND bytes_sent > 0 AS traffic_accounting_available, seq % 7 <> 0 AND size IS NOT NULL AS packet_timing_available FROM f""")
+def flow_event_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON lines, read back, defaulted, hellos parsed."""
+    e = sources.normalise(sources.read_jsonl(spark, _jsonl(spark, sf_dir)))
+    return e.select("pid", "timestamp_ns", "event_type", "src_ip", "src_port", "dst_ip", "protocol", "bytes_sent", "tls_parse_status", "tls_server_parse_status", "tls_version", "sni_hash", "handshake_seen", "traffic_accounting_available", "packet_timing_available")
+
+
+@query("""SELECT event_id AS cgroup_id, event_id * 1000 AS timestamp_ns, CAST(event_id % 2 + 1 AS INTEGER) AS direction, CAST(event_id % 60000 AS INTEGER) AS src_port, 443 AS dst_port, (event_id & 255) || '.' || ((event_id >> 8) & 255) || '.' || ((event_id >> 16) & 255) || '.0' AS src_ip, '1.0.0.0' AS dst_ip, 'TLS_HANDSHAKE' AS event_type, repeat('AB', CAST(event_id % 40 AS INTEGER)) AS tls_payload_hex FROM events WHERE event_id % 9 <> 0""")
+def capture_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary capture records: fixed little-endian fields, then a buffer of which a length counts; short ones go."""
+    k = F.col("event_id")
+    little = lambda c, n: F.reverse(F.regexp_replace(F.lpad(F.hex(c), 2 * n, "0"), "(.)(.)", "$2$1"))
+    fields = [(k * 1000, 8), (k, 8), (F.lit(1), 8), (k % 2 + 1, 4), (k, 4), (F.lit(1), 4), (k % 60000, 2), (F.lit(443), 2), (k % 40, 4)]
+    record = F.unhex(F.concat(*[little(c.cast("long"), n) for c, n in fields], F.lit("AB" * 64)))
+    rows = demo.read(spark, sf_dir, "events").select(F.when(k % 9 == 0, F.substring(record, 1, 20)).otherwise(record).alias("record"))
+    return sources.captures(rows).select("cgroup_id", "timestamp_ns", "direction", "src_port", "dst_port", "src_ip", "dst_ip", "event_type", "tls_payload_hex")
+
+
+@query(f"""WITH {_RECORD} SELECT sha1('tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port || '|' || start_ns) AS flow_id, CAST(144 AS BIGINT) AS n_keys, bytes_total, (rtt IS NULL) AS rtt_is_null, nulls FROM (SELECT *, bytes_out + bytes_in AS bytes_total, CAST(NULL AS BIGINT) AS rtt, true AS nulls FROM rz)""")
+def ledger_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON lines and read back as text: all keys are there, null ones too."""
+    folder = new_folder(spark, "ledger")
+    ledger.write_ledger(records(spark, sf_dir), folder, rows_per_file=500)
+    keys = F.json_object_keys("value")
+    t = spark.read.text(folder)
+    got = lambda k: F.get_json_object("value", f"$.{k}")
+    return t.select(got("flow_id").alias("flow_id"), F.size(keys).cast("long").alias("n_keys"), got("bytes_total").cast("long").alias("bytes_total"), got("rtt_estimate_us").isNull().alias("rtt_is_null"), F.array_contains(keys, "fast_score").alias("nulls"))
+
+
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber % 2 = 0 AS snd, CAST(l_quantity AS BIGINT) AS q FROM lineitem) SELECT l_orderkey, CAST(sum(CASE WHEN snd THEN q ELSE 0 END) AS BIGINT) AS bytes_sent, count(*) FILTER (snd) AS packets_sent, CAST(sum(CASE WHEN NOT snd AND q - 10 > 0 THEN q - 10 ELSE 0 END) AS BIGINT) AS bytes_recv, count(*) FILTER (NOT snd AND q - 10 > 0) AS packets_recv FROM c GROUP BY ALL""")
 def message_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = demo.read(spark, sf_dir, "lineitem")
@@ -530,12 +585,9 @@ def call_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, through the stateful operator, into a table."""
-    import uuid
-
     from ..streaming.sessions import streaming_sessions as stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    folder = f"{base}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     demo.flow_events(spark, sf_dir).drop("seq").write.parquet(f"{folder}/in")
     events = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     out = stream(events, session_timeout_ns=30 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")

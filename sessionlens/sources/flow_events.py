@@ -74,14 +74,16 @@ def _any(histogram: Column) -> Column:
 
 def with_tls(events: DataFrame) -> DataFrame:
     """Payloads of TLS_HANDSHAKE rows become columns; direction 2 is a server's hello. A payload that isn't hex is a parse error."""
-    raw = F.when((F.col("event_type") == "TLS_HANDSHAKE") & (F.col("tls_payload_hex") != ""), F.unhex("tls_payload_hex"))
     known = (F.col("event_type") == "TLS_HANDSHAKE") & (F.col("tls_payload_hex") != "")
+    digits = F.col("tls_payload_hex").rlike("^([0-9A-Fa-f]{2})+$")
+    raw = F.when(known & digits, F.unhex("tls_payload_hex"))
     server = known & (F.col("direction") == 2)
     client = known & (F.col("direction") != 2)
     out = events.withColumn("__c", F.when(client, client_hello(F.when(client, raw)))).withColumn("__s", F.when(server, server_hello(F.when(server, raw))))
     names = {"handshake_seen": ("__c", "handshake_seen"), "tls_version": ("__c", "version"), "sni_hash": ("__c", "sni_hash"), "alpn": ("__c", "alpn"), "ja4": ("__c", "fingerprint"), "tls_parse_status": ("__c", "status")}
     names |= {"server_hello_seen": ("__s", "handshake_seen"), "tls_version_negotiated": ("__s", "version"), "alpn_negotiated": ("__s", "alpn"), "ja4s": ("__s", "fingerprint"), "tls_server_parse_status": ("__s", "status")}
-    out = out.withColumns({c: F.when(client if s == "__c" else server, F.col(f"{s}.{f}")).otherwise(F.col(c)) for c, (s, f) in names.items()})
+    of = lambda s, f: F.when(~digits, "parse_error").otherwise(F.col(f"{s}.status")) if f == "status" else F.col(f"{s}.{f}")
+    out = out.withColumns({c: F.when(client if s == "__c" else server, of(s, f)).otherwise(F.col(c)) for c, (s, f) in names.items()})
     return out.withColumn("tls_payload_hex", F.lit("")).drop("__c", "__s")
 
 
@@ -158,10 +160,11 @@ def union_streams(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def current_labels(reads: DataFrame, at: str = "read_at") -> DataFrame:
-    """Experiment labels at every read: failed reads (ok false) keep the last good ones; before the first good one the defaults."""
-    order = Window.partitionBy(F.lit(0)).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)  # a row per read of one small document
+def current_labels(reads: DataFrame, at: str = "read_at", document: list[str] | None = None) -> DataFrame:
+    """Experiment labels at every read of a document: failed reads (ok false) keep its last good ones; before the first good one the defaults. Without document the reads are those of one."""
+    document = document or []
+    order = Window.partitionBy(*document).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     names = ["experiment_id", "scenario_label", "scenario_phase", "attack_enabled", "load_level"]
     default = {"experiment_id": "unknown", "scenario_label": "unlabeled"}
     held = F.last(F.when(F.col("ok"), F.struct(*names)), ignorenulls=True).over(order)
-    return reads.withColumn("__l", held).select(at, *[F.coalesce(F.nullif(F.col(f"__l.{c}"), F.lit("")), F.lit(default.get(c, ""))).alias(c) for c in names])
+    return reads.withColumn("__l", held).select(*document, at, *[F.coalesce(F.nullif(F.col(f"__l.{c}"), F.lit("")), F.lit(default.get(c, ""))).alias(c) for c in names])

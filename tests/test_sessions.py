@@ -134,9 +134,11 @@ def test_counters_take_the_maximum_and_sessions_reopen(spark):
 def test_nat_alias(spark):
     back = ("10.0.0.1", 1000, "10.1.1.10", 8443)
     e = frame(spark, [flow(1, *K, 1, "CONNECT"), flow(1, *back, 2, "TLS_HANDSHAKE", ja4s="y", server_hello_seen=True, direction=2), flow(1, *back, 2.5, "TLS_HANDSHAKE", ja4="x", handshake_seen=True), flow(1, *K, 3, "CLOSE")])
-    a = spark.createDataFrame([("10.1.1.10", 8443, "10.0.0.2", 443, 1)], "backend_ip string, backend_port int, cluster_ip string, service_port int, alias_seq int")
+    a = spark.createDataFrame([("10.1.1.10", 8443, "udp", "10.0.0.3", 443, 0), ("10.1.1.10", 8443, "TCP", "10.0.0.2", 443, 1)], "backend_ip string, backend_port int, protocol string, cluster_ip string, service_port int, alias_seq int")
     moved = sessions.with_nat_aliases(e, a)
     assert [r.alias for r in moved.where("alias IS NOT NULL").collect()] == ["hit"]
+    other = sessions.with_nat_aliases(e, a.where("protocol = 'udp'"))  # aliases of another protocol are none
+    assert [r.alias for r in other.where("alias IS NOT NULL").collect()] == ["miss"]
     (s,) = sessions.summarise(moved, [*S.KEY, "session_no"]).collect()
     assert s.ja4s == "y" and s.ja4 == ""
 
