@@ -30,16 +30,29 @@ HIDDEN = {"script", "style", "noscript", "template", "textarea", "title", "svg",
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta base area col embed source track param nobr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": set()}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+CONTENT_TAGS, NEAR = {"article", "main"}, 3
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: What marks boilerplate in the names that sites give to its containers.
+BOILERPLATE_NAMES = "ad ads advert advertisement banner promo sponsored sponsor sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs topbar header masthead footer foot bottom cookie consent notice alert popup modal newsletter subscribe signup login form search comment comments discussion respond reply disqus related recommended share social tags toolbar copyright legal".split()
+CONTENT_NAMES = "content article post entry body main story text page".split()
+BOILERPLATE, CONTENT = set(BOILERPLATE_NAMES), set(CONTENT_NAMES)
+
+
 class Contexts:
-    """Ancestor paths as numbers: the features of a path are found once."""
+    """Ancestor paths as numbers: the features of a path are found once.
+
+    Words of class, id and role count as inherited (name), and once more where they are of the element itself or of the NEAR ones above, up to an article (near, marked).
+    """
 
     def __init__(self) -> None:
         self.features: list[frozenset[str]] = [frozenset()]
+        self.names: list[set[str]] = [set()]
+        self.parents: list[int] = [0]
+        self.tags: list[str] = [""]
         self.known: dict[tuple[int, str, str], int] = {}
 
     def child(self, parent: int, tag: str, attributes: str) -> int:
@@ -49,12 +62,18 @@ class Contexts:
         if found is None:
             if len(self.features) > 200_000:  # odd pages: numbers of this page stay valid, later ones start anew
                 self.known.clear()
-            own = {f"in:{tag}"}
-            for m in NAMES.finditer(names):
-                own |= {f"name:{p.lower()}" for p in PART.findall(m[1] or m[2] or m[3] or "")}
-            inherited = {f for f in self.features[parent] if not f.startswith("tag:")}
+            parts = {p.lower() for m in NAMES.finditer(names) for p in PART.findall(m[1] or m[2] or m[3] or "")}
+            inherited = {f for f in self.features[parent] if not f.startswith(("tag:", "near:", "marked:"))}
+            near, above = set(parts), parent
+            for _ in range(0 if tag in CONTENT_TAGS else NEAR):
+                near |= self.names[above]
+                above = 0 if self.tags[above] in CONTENT_TAGS else self.parents[above]
             found = len(self.features)
-            self.features.append(frozenset(inherited | own | {f"tag:{tag}"}))
+            marks = {f"marked:{k}" for k, words in enumerate((CONTENT, BOILERPLATE)) if near & words}
+            self.features.append(frozenset(inherited | marks | {f"in:{tag}", f"tag:{tag}"} | {f"name:{p}" for p in parts} | {f"near:{p}" for p in near}))
+            self.tags.append(tag)
+            self.names.append(parts)
+            self.parents.append(parent)
             self.known[key] = found
         return found
 
@@ -249,11 +268,6 @@ def fit(pages: list[tuple[list[tuple[str, ...]], list[int]]], steps: int = 400,
 
 # ---- labelled pages ------------------------------------------------------------------------------------------------
 
-#: What marks boilerplate in the names that sites give to its containers.
-BOILERPLATE_NAMES = "ad ads advert advertisement banner promo sponsored sponsor sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs topbar header masthead footer foot bottom cookie consent notice alert popup modal newsletter subscribe signup login form search comment comments discussion respond reply disqus related recommended share social tags toolbar copyright legal".split()
-CONTENT_NAMES = "content article post entry body main story text page".split()
-
-
 def _sentence(r: random.Random, low: int, high: int, stop: str = ".") -> str:
     return " ".join("".join(r.choice(["ka", "ro", "mi", "ten", "sul", "ver", "an", "ish", "ou", "é", "ñu", "der"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))).capitalize() + stop
 
@@ -304,11 +318,15 @@ def training_pages(count: int = 1500, seed: int = 11) -> list[list[tuple[str, in
         for _ in range(r.randint(0, 3)):
             boiler()
         container = r.choice(["<article>", "<article>", "<article>", "<main>", "<main><article>", f'<div class="{name(CONTENT_NAMES)}">', f'<div id="{name(CONTENT_NAMES)}"><article class="{name(CONTENT_NAMES)}">', f'<section class="{name(CONTENT_NAMES)}-body">', "<div>"])
+        wrapper = ""
+        if r.random() < 0.3:  # a page's wrapper may have any names
+            wrapper = f'<div {r.choice(["class", "id"])}="{"-".join(r.sample(BOILERPLATE_NAMES + CONTENT_NAMES, 2))}">'
+            container = wrapper + r.choice(["", "<div>"]) + container
         page.append((container, 0))
         if r.random() < 0.8:
             page.append((f"<h1>{_sentence(r, 1, 12, r.choice(['', '.', '!']))}</h1>", 1))
         for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12])):
-            kind = r.randrange(16)
+            kind = r.randrange(19)
             if kind <= 7:
                 page.append((r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", '<p>{} <a href="/x">more here</a> and on.</p>']).format(_prose(r, 0.1)), 1))
             elif kind == 8:

@@ -96,3 +96,18 @@ def test_stray_quotes_end_with_their_tag():
     crf = trained()
     page = '<html><body><nav><a href="/x">x</a></nav><article><h1>A title of it</h1><p title="x>Hello there, this is a paragraph of some words.</p><p>And another one, which is long enough to be read.</p></article></body></html>'
     assert crf.extract(page) == ["A title of it", "Hello there, this is a paragraph of some words.", "And another one, which is long enough to be read."]
+
+
+def test_names_count_near_a_block():
+    """A wrapper of any name around an article hides nothing; boxes inside an article go by their names."""
+    crf, text, more = trained(), "<p>Some text of it, with many words in it. And more.</p>", "<p>And then the last text, which is here.</p>"
+    plain = ["Some text of it, with many words in it. And more.", "And then the last text, which is here."]
+    for page in (
+        f'<div class="wp-related"><article>{text}{more}</article></div>',
+        f'<body class="has-sidebar menu-open"><div id="page-sidebar-wrap"><main>{text}{more}</main></div></body>',
+        f'<article>{text}<div class="newsletter"><p>Subscribe to our newsletter now, please.</p></div>{more}</article>',
+        f'<article>{text}<div class="share-box"><div><ul><li><a href="/f">Share this</a></li></ul></div></div>{more}</article>',
+        f'<article>{text}{more}</article><aside class="related"><article><h3>Other</h3><p>Teaser text of that one.</p></article></aside>',
+        f'<div class="menu"><ul><li><a href="/x">Home page</a></li></ul></div><article>{text}{more}</article><section id="comments"><div class="comment"><p>Nice one, thanks for all of it!</p></div></section>',
+    ):
+        assert crf.extract(page) == plain, page
