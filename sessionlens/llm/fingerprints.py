@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import chain
 
@@ -97,23 +98,39 @@ def size(print_: str) -> int:
     return (len(body) - (sections - 1) - 9 * sections - 9 * paragraphs - (paragraphs - sections)) // DIGITS
 
 
+@lru_cache(maxsize=4)
+def pieces(print_: str) -> Counter:
+    """All pieces; kept for the next comparison of the same print."""
+    return Counter(x for section in branches(print_) for p in _paragraphs(section) for x in _pieces_of(p))
+
+
 def _unlike(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
     """What each list has that the other hasn't, counting repeats."""
+    if set(a).isdisjoint(b):
+        return a, b
     own, other = Counter(a), Counter(b)
     return list((own - other).elements()), list((other - own).elements())
 
 
+def _common(a: Counter, b: Counter) -> int:
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(min(n, b[x]) for x, n in a.items() if x in b)
+
+
 def likeness(a: str, b: str) -> float:
     """The share of pieces in common (Dice, with repeats), found from the root down: equal branches aren't entered."""
     if a == b:
         return 1.0
     total = size(a) + size(b)
-    own, other = branches(a), branches(b)
-    for inner in (_paragraphs, _pieces_of):
-        own, other = _unlike(own, other)
-        own, other = list(chain.from_iterable(map(inner, own))), list(chain.from_iterable(map(inner, other)))
-    own, other = _unlike(own, other)
-    return (total - len(own) - len(other)) / total if total else 0.0
+    if not total:
+        return 0.0
+    own, other = _unlike(mine := branches(a), theirs := branches(b))
+    whole = own is mine and other is theirs
+    own, other = _unlike(mine := list(chain.from_iterable(map(_paragraphs, own))), theirs := list(chain.from_iterable(map(_paragraphs, other))))
+    if whole and own is mine and other is theirs:  # no branch in common
+        return 2 * _common(pieces(a), pieces(b)) / total
+    own, other = Counter(chain.from_iterable(map(_pieces_of, own))), Counter(chain.from_iterable(map(_pieces_of, other)))
+    return (total - own.total() - other.total() + 2 * _common(own, other)) / total
 
 
 def _apart(a: list, b: list) -> tuple[list[int], list[int]]:
