@@ -20,14 +20,19 @@ def strip_scheme(identifier: Column) -> Column:
     return F.regexp_replace(F.coalesce(identifier, F.lit("")), r"^.*?://", "")
 
 
+# How paths of control groups name pods and containers.
+POD_SLICE = r"pod([0-9a-fA-F_-]{32,36})\.slice"
+CONTAINER_SCOPE = r"^(?:cri-containerd-|docker-|crio-)(.*)\.scope$"
+
+
 def pod_uid_from_cgroup(path: Column) -> Column:
-    raw = F.replace(F.regexp_extract(path, r"pod([0-9a-fA-F_-]{32,36})\.slice", 1), F.lit("_"), F.lit("-"))
+    raw = F.replace(F.regexp_extract(path, POD_SLICE, 1), F.lit("_"), F.lit("-"))
     dashed = F.concat_ws("-", *[F.substring(raw, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.when(F.length(raw) == 32, dashed).otherwise(raw)
 
 
 def container_id_from_cgroup(path: Column) -> Column:
-    return F.regexp_extract(F.regexp_extract(path, r"([^/]*)/*$", 1), r"^(?:cri-containerd-|docker-|crio-)(.*)\.scope$", 1)
+    return F.regexp_extract(F.regexp_extract(path, r"([^/]*)/*$", 1), CONTAINER_SCOPE, 1)
 
 
 def app_protocol(explicit: Column, port_name: Column) -> Column:

@@ -16,6 +16,7 @@ def flow(n, ip, port, dst, dport, at, kind, **more):
     return {"timestamp_ns": int(at * G), "event_type": kind, "cgroup_id": n, "netns_ino": 1, "src_ip": ip, "src_port": port, "dst_ip": dst, "dst_port": dport, "protocol": "tcp"} | more
 
 
+# Events of the replay and the ids that sessions of them have.
 def replay():
     sizes = ["0-63", "64-127", "128-255", "256-511", "512-1023", "1024-1500", ">1500"]
     iats = ["<100", "100-1000", "1000-10000", "10000-100000", "100000-1000000", ">1000000"]
