@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_byte_bpe
 from .chat import OP9_SQL, op9_preference_formatting
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .embedding_dedup import OP12_SQL, op12_embedding_dedup
 from .fingerprints import op1_document_fingerprints
 from .html_extract import op4_html_extraction
 from .language_model import op7_language_model
@@ -24,6 +25,7 @@ QUERIES: dict = {
     "op8_url_filter": op8_url_filter,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_decontaminate": op10_decontaminate,
+    "op12_embedding_dedup": op12_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_embedding_dedup": OP12_SQL}
