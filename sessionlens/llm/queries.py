@@ -7,6 +7,7 @@ from .chat import OP9_SQL, op9_preference_formatting
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .embedding_dedup import OP12_SQL, op12_embedding_dedup
 from .fingerprints import op1_document_fingerprints
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op4_html_extraction
 from .language_model import op7_language_model
 from .licenses import op2_license_scan
@@ -26,6 +27,7 @@ QUERIES: dict = {
     "op9_preference_formatting": op9_preference_formatting,
     "op10_decontaminate": op10_decontaminate,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_embedding_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_preference_formatting": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_embedding_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
