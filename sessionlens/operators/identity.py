@@ -1,6 +1,8 @@
 """Who the endpoints of a session are: priority-ordered lookups in small dimension tables.
 
-Dimensions are broadcast after a size check and joined by shuffle beyond it; the plan is the same otherwise.
+Dimensions are broadcast after a size check and joined by shuffle beyond it; the plan is the same otherwise. Addresses are looked up as
+of a flow's start, in the intervals in which pods have them: few intervals are broadcast, many are merged with the flows in order
+of time.
 """
 
 from __future__ import annotations
@@ -10,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.text import first_non_empty
-from . import dims
+from . import dims, history
 
 FIELDS = ["namespace", "pod_name", "pod_uid", "node", "container_name", "container_id", "workload_kind", "workload_name", "workload_uid", "replicaset", "pod_template_hash", "service_account", "revision", "image_digest"]
 #: Dimension tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 200_000
+#: Addresses that at most so many pod versions had are joined by range where the dimensions are broadcast.
+GENERATIONS = 64
+#: Time buckets in which flows and intervals of an address meet otherwise.
+BUCKET_NS = 3_600 * 1_000_000_000
 RESTART_NS = 300 * 1_000_000_000
 
 
@@ -42,14 +48,33 @@ def _empty() -> Column:
     return F.struct(*[F.lit("").alias(c) for c in FIELDS])
 
 
-def remembered(ident: Column, deleted: Column, start_ns: Column) -> Column:
-    """Whether a pod answers for its address when a flow starts: until five minutes after its deletion."""
-    return ident.isNotNull() & F.coalesce(start_ns < deleted + dims.TOMBSTONE_NS, F.lit(True))
+def few_generations(pods: DataFrame, limit: int = GENERATIONS) -> bool:
+    most = pods.groupBy("ip").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= limit
 
 
-def confidence(found: Column, start_ns: Column, created: Column, deleted: Column) -> Column:
-    """high; low where the flow began before the pod, or within five minutes of the pod's deletion."""
-    early = F.coalesce(start_ns < created, F.lit(False))
+def by_address(sessions: DataFrame, ip: str, pods: DataFrame, known: DataFrame, prefix: str, few: bool) -> DataFrame:
+    """sessions with the pod that had the address when the flow started (null: none): prefix + ident, created_at, deleted_at, host_network, early.
+
+    A pod that came later answers too, as early, if it was there when the flow ended (where the sessions have an end_ns).
+    """
+    names = ("ident", "created_at", "deleted_at", "host_network", "early")
+    held = history.address_history(pods).join(small(known.drop("ip", "version"), few), "uid")
+    held = held.select(F.col("ip").alias(ip), "since_ns", "until_ns", *[F.col(c).alias(f"{prefix}{c}") for c in names])
+    if few:
+        h = F.broadcast(held.withColumnRenamed(ip, "__ip"))
+        j = sessions.join(h, (sessions[ip] == h["__ip"]) & history.covers(sessions["start_ns"], h["since_ns"], h["until_ns"]), "left")
+        j = j.select(*[sessions[c] for c in sessions.columns], "until_ns", *[f"{prefix}{c}" for c in names])
+    else:
+        j = history.as_of(sessions, held, ip, "start_ns", BUCKET_NS, "__held")
+        j = j.select(*sessions.columns, "__held.until_ns", *[f"__held.{prefix}{c}" for c in names])
+    there = ~F.col(f"{prefix}early") | (F.col("until_ns") <= F.col("end_ns")) if "end_ns" in sessions.columns else F.lit(True)
+    return j.withColumns({f"{prefix}{c}": F.when(there, F.col(f"{prefix}{c}")) for c in names}).drop("until_ns")
+
+
+def confidence(found: Column, start_ns: Column, created: Column, deleted: Column, early: Column | None = None) -> Column:
+    """high; low where the flow began before the pod (had the address), or within five minutes of the pod's deletion."""
+    early = F.coalesce(start_ns < created, F.lit(False)) | (F.coalesce(early, F.lit(False)) if early is not None else F.lit(False))
     ending = F.coalesce(F.abs(start_ns - deleted) < RESTART_NS, F.lit(False))
     return F.when(found, F.when(early | ending, "low").otherwise("high"))
 
@@ -57,17 +82,16 @@ def confidence(found: Column, start_ns: Column, created: Column, deleted: Column
 def resolve_sources(sessions: DataFrame, pods: DataFrame, workloads: DataFrame, cgroups: DataFrame, host_netns: int = 0) -> DataFrame:
     """Adds src (struct of FIELDS), src_confidence, src_method, src_external: cgroup, pod address, external, unknown."""
     known = pod_identities(dims.latest(pods, "uid"), workloads)
-    live, by_ip = known.where("deleted_at IS NULL"), dims.one_by_ip(known)
+    live = known.where("deleted_at IS NULL")
     by_cgroup = dims.cgroup_pods(cgroups).withColumnRenamed("container_id", "cg_container")
     one = by_cgroup.join(live.withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
-    two = by_ip.select(F.col("ip").alias("src_ip"), *[F.col(c).alias(f"i_{c}") for c in ("ident", "created_at", "deleted_at", "host_network")])
     yes = fits(pods, cgroups)
-    j = sessions.join(small(one, yes), "cgroup_id", "left").join(small(two, yes), "src_ip", "left")
-    by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), remembered(F.col("i_ident"), F.col("i_deleted_at"), F.col("start_ns"))
+    j = by_address(sessions.join(small(one, yes), "cgroup_id", "left"), "src_ip", pods, known, "i_", yes and few_generations(pods))
+    by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), F.col("i_ident").isNotNull()
     name = first_non_empty(dims.container_name(F.col("c_containers"), F.col("c_container_name"), F.col("cg_container")), F.col("c_container_name"))
     cident = F.col("c_ident").withField("container_name", name).withField("container_id", first_non_empty(F.col("cg_container"), F.col("c_ident.container_id")))
     external = ~by_c & ~by_i & net.is_external(F.col("src_ip"))
-    sure = F.coalesce(confidence(by_c, F.col("start_ns"), F.col("c_created_at"), F.col("c_deleted_at")), confidence(by_i, F.col("start_ns"), F.col("i_created_at"), F.col("i_deleted_at")))
+    sure = F.coalesce(confidence(by_c, F.col("start_ns"), F.col("c_created_at"), F.col("c_deleted_at")), confidence(by_i, F.col("start_ns"), F.col("i_created_at"), F.col("i_deleted_at"), F.col("i_early")))
     if host_netns:  # an address of the node's own network may be any of its pods'
         sure = F.when(~by_c & by_i & (F.col("netns_ino") == host_netns), "medium").otherwise(sure)
     out = j.withColumns({
@@ -88,7 +112,6 @@ def resolve_destinations(sessions: DataFrame, pods: DataFrame, workloads: DataFr
     ports = dims.service_ports(services)
     alias = dims.first_alias(dims.endpoint_aliases(slices, ports))
     known = pod_identities(dims.latest(pods, "uid"), workloads)
-    pod = dims.one_by_ip(known).select(F.col("ip").alias("dst_ip"), F.col("ident").alias("p_ident"), F.col("created_at").alias("p_created"), F.col("deleted_at").alias("p_deleted"))
     service = lambda p: F.struct(F.col("name").alias("name"), F.col("uid").alias("uid"), "namespace", "port_name", "app_protocol").alias(p)
     direct = ports.withColumn("s", service("s")).groupBy(F.col("cluster_ip").alias("dst_ip"), F.col("port").alias("dst_port")).agg(F.min_by("s", "uid").alias("s_service"))
     backed = alias.withColumnRenamed("service_name", "name").withColumnRenamed("service_uid", "uid").withColumn("e", service("e"))
@@ -96,14 +119,14 @@ def resolve_destinations(sessions: DataFrame, pods: DataFrame, workloads: DataFr
     backed = backed.select(F.col("backend_ip").alias("dst_ip"), F.col("backend_port").alias("dst_port"), "target_pod_uid", F.col("e").alias("e_service"), "alias_seq", "slice_uid").join(live, "target_pod_uid", "left")
     backed = backed.groupBy("dst_ip", "dst_port").agg(F.min_by(F.struct("e_service", "e_ident", "e_created", "e_deleted"), F.struct("alias_seq", "slice_uid")).alias("b")).select("dst_ip", "dst_port", "b.*")
     yes = fits(pods, ports, slices.select(F.explode("endpoints")))
-    j = sessions.join(small(pod, yes), "dst_ip", "left").join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
-    p, s, e = remembered(F.col("p_ident"), F.col("p_deleted"), F.col("start_ns")), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
+    j = by_address(sessions, "dst_ip", pods, known, "p_", yes and few_generations(pods)).join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
+    p, s, e = F.col("p_ident").isNotNull(), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
     external = ~p & ~s & ~e & net.is_external(F.col("dst_ip"))
     none = F.struct(*[F.lit("").alias(c) for c in ("name", "uid", "namespace", "port_name", "app_protocol")])
     out = j.withColumns({
         "dst": F.when(p, F.col("p_ident")).when(s, _empty().withField("namespace", F.col("s_service.namespace"))).when(e, F.coalesce("e_ident", _empty().withField("namespace", F.col("e_service.namespace")))).otherwise(_empty()),
         "dst_service": F.when(p, F.coalesce("e_service", none)).when(s, F.col("s_service")).when(e, F.col("e_service")).otherwise(none),
-        "dst_confidence": F.coalesce(confidence(p, F.col("start_ns"), F.col("p_created"), F.col("p_deleted")), F.when(s, "medium"), confidence(e & F.col("e_ident").isNotNull(), F.col("start_ns"), F.col("e_created"), F.col("e_deleted")), F.when(e, "medium").when(external, "low").otherwise("unknown")),
+        "dst_confidence": F.coalesce(confidence(p, F.col("start_ns"), F.col("p_created_at"), F.col("p_deleted_at"), F.col("p_early")), F.when(s, "medium"), confidence(e & F.col("e_ident").isNotNull(), F.col("start_ns"), F.col("e_created"), F.col("e_deleted")), F.when(e, "medium").when(external, "low").otherwise("unknown")),
         "dst_method": F.when(p & e, "endpoint_slice").when(p, "pod_ip").when(s, "service_cluster_ip").when(e, "endpoint_slice").when(external, "external").otherwise("unknown"),
         "dst_external": external,
     })

@@ -408,6 +408,23 @@ def identity_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("src_port", "session_no", "src.pod_uid", "src.workload_name", F.col("src_confidence").alias("confidence"), F.col("src_method").alias("how"), F.col("src_external").alias("is_external"), "src.container_name", "src.container_id")
 
 
+_DAYS = "86400000000000"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS k, '10.9.0.' || (o_custkey % 499) AS ip, epoch_us(o_orderdate) * 1000 AS since, CASE WHEN o_orderkey % 4 <> 0 THEN epoch_us(o_orderdate) * 1000 + (1 + o_orderkey % 60) * {_DAYS} END AS gone FROM orders),
+f AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, '10.9.0.' || ((l_suppkey * 7 + l_linenumber) % 499) AS ip, epoch_us(l_shipdate) * 1000 AS t FROM lineitem),
+c AS (
+    SELECT id, t, k, gone, since, CASE WHEN since > t THEN 3 WHEN gone IS NULL OR t < gone THEN 1 ELSE 2 END AS kind
+    FROM f JOIN p USING (ip) WHERE (since <= t AND (gone IS NULL OR t < gone + 300000000000)) OR since > t AND since <= t + 3 * {_DAYS}),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, CASE kind WHEN 1 THEN -since WHEN 3 THEN since ELSE 0 END, k DESC) AS r FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN k IS NULL THEN '' ELSE 'o-' || k END AS pod_uid, CASE WHEN k IS NULL THEN 'unknown' WHEN kind = 3 OR abs(b.t - gone) < 300000000000 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN k IS NULL THEN 'unknown' ELSE 'pod_ip' END AS how
+FROM f LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (id)""")
+def identity_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of reused addresses: each belongs to the pod that had the address when it started."""
+    s = identity.resolve_sources(demo.dated_flows(spark, sf_dir), demo.address_generations(spark, sf_dir), demo.workloads(spark, sf_dir), demo.cgroups(spark, sf_dir))
+    return s.select("l_orderkey", "l_linenumber", "src.pod_uid", F.col("src_confidence").alias("confidence"), F.col("src_method").alias("how"))
+
+
 _DEST = f"""{FLOW}, {_AGG}, {_PODS}, {_SERVICES},
 ds AS (SELECT cluster_ip, min(uid) AS uid FROM sv GROUP BY 1), en AS (SELECT backend_ip, backend_port, min_by(service_uid, k) AS uid, min_by(pod_uid, k) AS pod_uid FROM al WHERE r = 1 GROUP BY ALL),
 x AS (SELECT g.*, b.uid AS pu, b.deleted_at AS pdel, ds.uid AS su, en.uid AS eu, lp.uid AS epod FROM g LEFT JOIN bi b ON g.dst_ip = b.ip AND (b.deleted_at IS NULL OR g.start_ns < b.deleted_at + 300000000000) LEFT JOIN ds ON g.dst_ip = ds.cluster_ip AND g.dst_port = 443 LEFT JOIN en ON g.dst_ip = en.backend_ip AND g.dst_port = en.backend_port LEFT JOIN wl lp ON lp.uid = en.pod_uid AND lp.deleted_at IS NULL)"""

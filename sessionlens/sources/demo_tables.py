@@ -89,6 +89,23 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def address_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pod per order on one of 499 addresses, from its date on; three of four are deleted after some days, so addresses go through many hands."""
+    o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    born = micros("o_orderdate") * 1000
+    days = F.lit(86_400_000_000_000)
+    c = pods(spark, sf_dir).limit(0)
+    own = o.select(F.lit("ns").alias("namespace"), F.concat(F.lit("run-"), key).alias("name"), F.concat(F.lit("o-"), key).alias("uid"), F.concat(F.lit("10.9.0."), F.col("o_custkey") % 499).alias("ip"), born.alias("created_at"), F.when(key % 4 != 0, born + (1 + key % 60) * days).alias("deleted_at"), key.alias("version"))
+    return c.unionByName(own, allowMissingColumns=True)
+
+
+def dated_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow of three days per line item, from one of the 499 addresses."""
+    i = read(spark, sf_dir, "lineitem")
+    start = micros("l_shipdate") * 1000
+    return i.select("l_orderkey", "l_linenumber", F.concat(F.lit("10.9.0."), (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 499).alias("src_ip"), start.alias("start_ns"), (start + 3 * 86_400_000_000_000).alias("end_ns"), F.lit(0).cast("long").alias("cgroup_id"), F.lit(0).cast("long").alias("netns_ino"))
+
+
 def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ReplicaSet per nation, owned by the Deployment of its region; the last region's Deployment is unknown."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").where("r_regionkey < 4")
