@@ -97,26 +97,33 @@ class Transducer:
             counts[s] = ends[-1]
             outs.append(ends[:-1])
         arcs = sum(len(x[1]) for x in states)
-        free, base, first = np.ones(arcs + 1024, dtype=bool), np.zeros(len(states), dtype=np.int32), 0
-        for s in sorted(range(len(states)), key=lambda s: -len(states[s][1])):
+        free, base = np.ones(2 * arcs + 2048, dtype=bool), np.zeros(len(states), dtype=np.int32)
+        length, start = 0, 0
+        order = sorted(range(len(states)), key=lambda s: -len(states[s][1]))
+        for s in order:
             labels = np.frombuffer(states[s][1], dtype=np.uint8).astype(np.int64)
-            if not len(labels):
-                continue
-            while not free[first]:
-                first += 1
-                if first + 512 >= len(free):
-                    free = np.append(free, np.ones(len(free), dtype=bool))
-            start = first
+            if len(labels) < 2:
+                break
+            if len(labels) != length:  # shorter rows look for the gaps that longer ones left, each length once through the table
+                length, start = len(labels), 0
             while True:
-                bases = start + np.flatnonzero(free[start : start + 512]) - labels[0]
                 if start + 1024 >= len(free):
                     free = np.append(free, np.ones(len(free), dtype=bool))
-                fits = bases[(bases >= 0) & free[bases[:, None] + labels].all(axis=1)]
-                if len(fits):
+                bases = start + np.flatnonzero(free[start : start + 512]) - labels[0]
+                bases = bases[bases >= 0]
+                for b in labels[1:]:
+                    bases = bases[free[bases + b]]
+                if len(bases):
                     break
                 start += 512
-            base[s] = fits[0]
-            free[fits[0] + labels] = False
+            base[s] = bases[0]
+            free[bases[0] + labels] = False
+        single = [s for s in order if len(states[s][1]) == 1]  # fit anywhere
+        gaps = 256 + np.flatnonzero(free[256:])[: len(single)]
+        gaps = np.append(gaps, len(free) + np.arange(len(single) - len(gaps)))
+        free = np.append(free, np.ones(len(single), dtype=bool))
+        free[gaps] = False
+        base[single] = gaps - np.array([states[s][1][0] for s in single], dtype=np.int64)
         size = int(np.flatnonzero(~free)[-1]) + 257 if arcs else 257
         size = max(size, int(base.max()) + 256)
         owner, target, out = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
@@ -172,8 +179,13 @@ class Transducer:
 # words
 
 
-def words_of(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def lowered(word: Column) -> Column:
+    """A-Z in lower case; words of ASCII alone take the quick way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+def distinct_words(text: str) -> Column:
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lowered))
 
 
 _LOWERED = np.arange(256, dtype=np.uint8)
@@ -201,7 +213,7 @@ def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     """lang, term of the terms in at least so many documents of the language."""
-    each = docs.select("lang", F.explode(F.array_distinct(words_of("text"))).alias("term"))
+    each = docs.select("lang", F.explode(distinct_words("text")).alias("term"))
     return each.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "term")
 
 
