@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.tls import is_candidate
+from .gates import drifting_gates
+
+EMIT_NS = 5 * 1_000_000_000
 
 
 def both_ways_key(packets: DataFrame, ingress: Column) -> DataFrame:
@@ -41,6 +44,22 @@ def flow_statistics(packets: DataFrame, key: list[str], outgoing: Column, at: st
     )
 
 
+def rate_limited_stats(packets: DataFrame, key: list[str], outgoing: Column, interval_ns: int = EMIT_NS, at: str = "ts_ns", seq: str = "seq", length: str = "length") -> DataFrame:
+    """STATS events of each flow, one every interval_ns at most: key, timestamp_ns, event_type and the counters of the flow so far.
+
+    A flow's first packet starts its gate and emits nothing; a later one emits where the last emission (or the start) is the
+    interval or more ago. Packets without bytes neither count nor emit.
+    """
+    order = Window.partitionBy(*key).orderBy(at, seq)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = packets.withColumn("__out", outgoing).where(F.col(length) > 0).withColumn("__place", F.row_number().over(order).cast("long"))
+    emitted = drifting_gates(rows, key, "__place", at, F.col("__place") == 1, F.lit(True), interval_ns)
+    out, size = F.col("__out"), F.col(length)
+    sums = {"bytes_sent": F.sum(F.when(out, size).otherwise(0)), "bytes_recv": F.sum(F.when(~out, size).otherwise(0)), "packets_sent": F.count_if(out), "packets_recv": F.count_if(~out)}
+    counted = rows.select(*key, "__place", F.col(at).alias("timestamp_ns"), *[v.over(upto).alias(c) for c, v in sums.items()])
+    return counted.join(emitted, [*key, "__place"]).select(*key, "timestamp_ns", F.lit("STATS").alias("event_type"), *sums)
+
+
 def first_hellos(packets: DataFrame, key: list[str], payload: str = "payload", at: str = "ts_ns", seq: str = "seq", most: int = 1024) -> DataFrame:
     """The first client and the first server hello of each flow, at most so many bytes of it: key, kind (1 client, 2 server), payload."""
     kind = F.when(is_candidate(F.col(payload), 1), 1).when(is_candidate(F.col(payload), 2), 2)

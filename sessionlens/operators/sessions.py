@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import net, stats, text
 from ..schema import DEFAULTS, IAT_BOUNDS, IAT_BUCKETS, KEY, PACKET_BOUNDS, PACKET_BUCKETS
+from ..storage import stored
+from .gates import drifting_gates
+from .prefix_ranks import prefix_ranks
 
 TLS_CLIENT = ["tls_version", "sni_hash", "alpn", "ja4", "tls_parse_status"]
 TLS_SERVER = ["tls_version_negotiated", "alpn_negotiated", "ja4s", "tls_server_parse_status"]
@@ -36,30 +39,29 @@ def number_sessions(events: DataFrame, keys: list[str] | None = None, timeout_ns
     return numbered.withColumn("matched", flow | (F.max(flow.cast("int")).over(inside) == 1)).drop("__start")
 
 
-def window_gates(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], keys: list[str] | None = None) -> DataFrame:
-    """Adds emitted, the window number that an event emits (null: none), and windows_before, how many the session emitted earlier.
+def window_emissions(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], keys: list[str] | None = None) -> DataFrame:
+    """keys, session_no, place, n: the events that emit a window, by their place in the session.
 
     A window is emitted by the first CONNECT, ACCEPT or STATS at least window_ns after the last emission (at first: the start);
-    the gate then moves to that event, so windows follow no grid. The fold runs over a session's times only; what it gives is
-    joined back by place, a row per emission.
+    the gate then moves to that event, so windows follow no grid.
     """
-    keys = [*(keys or KEY), "session_no"]
-    gate = F.col("event_type").isin("CONNECT", "ACCEPT", "STATS")
-    flat = Window.partitionBy(*keys).orderBy("timestamp_ns", "seq")
-    placed = numbered.withColumn("__k", F.row_number().over(flat))
-    times = F.array_sort(F.collect_list(F.when(F.col("matched"), F.struct("__k", "timestamp_ns", gate.alias("__gate")))))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    group = [*(keys or KEY), "session_no"]
+    gate = F.col("matched") & F.col("event_type").isin("CONNECT", "ACCEPT", "STATS")
+    return drifting_gates(placed(numbered, group), group, "__place", "timestamp_ns", F.col("matched"), gate, window_ns)
 
-    def step(acc: Column, t: Column) -> Column:
-        hit = t["__gate"] & acc["last"].isNotNull() & (t["timestamp_ns"] - acc["last"] >= window_ns)
-        last = F.when(acc["last"].isNull() | hit, t["timestamp_ns"]).otherwise(acc["last"])
-        return F.struct(last.alias("last"), (acc["n"] + hit.cast("int")).alias("n"), F.when(hit, F.concat(acc["out"], F.array(t["__k"]))).otherwise(acc["out"]).alias("out"))
 
-    gates = placed.groupBy(*keys).agg(times.alias("__times")).select(*keys, F.posexplode(F.aggregate("__times", zero, step)["out"]).alias("__w", "__k"))
-    out = placed.join(gates, [*keys, "__k"], "left").withColumn("emitted", F.col("__w") + 1)
-    upto = Window.partitionBy(*keys).orderBy("timestamp_ns", "seq")
-    before = F.count("__w").over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumns({"windows_before": before.cast("int"), "windows": F.count("__w").over(Window.partitionBy(*keys)).cast("int")}).drop("__k", "__w")
+def placed(numbered: DataFrame, group: list[str]) -> DataFrame:
+    return numbered.withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy("timestamp_ns", "seq")).cast("long"))
+
+
+def window_gates(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], keys: list[str] | None = None, emissions: DataFrame | None = None) -> DataFrame:
+    """Adds emitted, the window number that an event emits (null: none), windows_before, how many the session emitted earlier, and windows, how many it emits at all."""
+    group = [*(keys or KEY), "session_no"]
+    emissions = window_emissions(numbered, window_ns, keys) if emissions is None else emissions
+    out = placed(numbered, group).join(emissions.withColumnRenamed("n", "emitted"), [*group, "__place"], "left")
+    order = Window.partitionBy(*group).orderBy("timestamp_ns", "seq")
+    before = F.count("emitted").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumns({"windows_before": before.cast("int"), "windows": F.count("emitted").over(Window.partitionBy(*group)).cast("int")}).drop("__place")
 
 
 def _histogram(column: str, label: str) -> Column:
@@ -177,10 +179,12 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     """Window summaries: cumulative from the session's start to each emission.
 
     The events between two emissions are a segment. Segments are summed each by itself and then along their session, so an event
-    is shuffled once, however many windows follow it.
+    is summed once, however many windows follow it. Percentiles are rank queries on the counts of sample values (prefix_ranks).
     """
     keys = keys or KEY
-    gated = window_gates(number_sessions(events, keys), window_ns, keys).where("matched AND windows_before < windows")
+    numbered = number_sessions(events, keys)
+    emissions = stored(window_emissions(numbered, window_ns, keys), "emissions")
+    gated = window_gates(numbered, window_ns, keys, emissions).where("matched AND windows_before < windows")
     by = [*keys, "session_no"]
     rows = gated.withColumn("window_id", F.col("windows_before") + 1)
     order, flow, kind = F.struct("timestamp_ns", "seq"), F.col("event_type") != "TLS_HANDSHAKE", F.col("event_type")
@@ -191,40 +195,33 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     last |= {c: at(c, client) for c in TLS_CLIENT} | {c: at(c, server) for c in TLS_SERVER}
     first = {c: at(c, flow) for c in ("cgroup_id", "netns_ino", "node_name")}
     own = lambda c: F.when(flow, F.col(c))
-    most = {"bytes_out": own("bytes_sent"), "bytes_in": own("bytes_recv"), "packets_out": own("packets_sent"), "packets_in": own("packets_recv"), "closed": (flow & (kind == "CLOSE")).cast("int"), "__high": own("pkt_size_max")}
+    sizes, gaps = F.col("packet_sizes"), F.col("iat_us")
+    wide = "decimal(38,0)"
+    most = {"bytes_out": own("bytes_sent"), "bytes_in": own("bytes_recv"), "packets_out": own("packets_sent"), "packets_in": own("packets_recv"), "closed": (flow & (kind == "CLOSE")).cast("int"), "__high": F.greatest(own("pkt_size_max"), F.array_max(sizes))}
     most |= {c: F.when(flow, F.col(c)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available")} | {"handshake_seen": F.when(client, F.col("handshake_seen")), "server_hello_seen": F.when(server, F.col("server_hello_seen"))}
-    least = {"start_ns": own("timestamp_ns"), "__low": own("pkt_size_min")}
+    least = {"start_ns": own("timestamp_ns"), "__low": F.least(own("pkt_size_min"), F.array_min(sizes))}
     total = {"event_count": flow.cast("long"), "syn_count": F.when(flow, F.col("syn_count") + kind.isin("CONNECT", "ACCEPT").cast("long")), "fin_count": F.when(flow, F.col("fin_count") + (kind == "CLOSE").cast("long"))}
     total |= {c: own(c) for c in ("direction_changes", "rst_count", "retrans_count", "idle_gap_count", "burst_count")}
     total |= {f"__p{k}": F.when(flow, _histogram("packet_size_histogram", b)) for k, b in enumerate(PACKET_BUCKETS)} | {f"__i{k}": F.when(flow, _histogram("iat_histogram", b)) for k, b in enumerate(IAT_BUCKETS)}
+    some = lambda c, fits: F.size(F.filter(c, fits)).cast("long")
+    inside = lambda bucket, k: lambda v: bucket(v) == k
+    total |= {f"__rp{k}": some(sizes, inside(stats.packet_bucket, k)) for k in range(7)} | {f"__ri{k}": some(gaps, inside(stats.iat_bucket, k)) for k in range(6)}
+    total |= {"__ns": F.size(sizes).cast("long"), "__ss": F.aggregate(sizes, F.lit(0).cast("long"), lambda a, v: a + v), "__ng": F.size(gaps).cast("long"), "__sg": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, v: a + v)}
+    total |= {"__qg": F.aggregate(gaps, F.lit(0).cast(wide), lambda a, v: (a + v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast(wide)), "__idle": some(gaps, lambda v: v > 1_000_000), "__burst": some(gaps, lambda v: (v > 0) & (v < 10_000))}
     kinds = [(total, F.sum), (most, F.max), (last, F.max), (least, F.min), (first, F.min)]
-    samples = {"__sizes": "packet_sizes", "__gaps": "iat_us"}
-    segments = rows.groupBy(*by, "window_id").agg(*[f(v).alias(c) for some, f in kinds for c, v in some.items()], *[F.array_sort(F.flatten(F.collect_list(v))).alias(c) for c, v in samples.items()])
+    segments = rows.groupBy(*by, "window_id").agg(*[f(v).alias(c) for some, f in kinds for c, v in some.items()])
     along = Window.partitionBy(*by).orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = segments.select(*by, "window_id", *[f(c).over(along).alias(c) for some, f in kinds for c in some], *[F.array_sort(F.flatten(F.collect_list(c).over(along))).alias(c) for c in samples])
-
-    def percentile(c: str, p: float) -> Column:
-        place = (F.size(c) - 1) * F.lit(p)
-        low = F.floor(place).cast("int")
-        a, b = F.get(F.col(c), low), F.coalesce(F.get(F.col(c), low + 1), F.get(F.col(c), low))
-        return a + (b - a) * (place - low)
-
-    def mean(c: str | Column) -> Column:
-        c = F.col(c) if isinstance(c, str) else c
-        return F.aggregate(c, F.lit(0.0), lambda x, v: x + v) / F.nullif(F.size(c), F.lit(0))
-
-    def counted(c: str, bucket, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.size(F.filter(c, lambda v: bucket(v) == k)).cast("long"))
-
-    gap_mean = whole.withColumn("__imean", mean("__gaps"))
-    g = gap_mean.select(
+    whole = segments.select(*by, "window_id", *[f(c).over(along).alias(c) for some, f in kinds for c in some])
+    whole = whole.join(prefix_percentiles(rows, by), [*by, "window_id"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    mean = lambda s, n: F.col(s) / F.nullif(F.col(n), F.lit(0))
+    squares = F.col("__ng").cast("decimal(18,0)") * F.col("__qg") - F.col("__sg").cast("decimal(19,0)") * F.col("__sg").cast("decimal(19,0)")
+    g = whole.select(
         *by, "window_id", *[c for some in (total, most, least) for c in some if not c.startswith("__")], *[F.col(f"{c}.v").alias(c) for some in (last, first) for c in some],
         F.array(*[F.col(f"__p{k}") for k in range(7)]).alias("__reported_sizes"), F.array(*[F.col(f"__i{k}") for k in range(6)]).alias("__reported_iats"),
-        counted("__sizes", stats.packet_bucket, 7).alias("__raw_sizes"), counted("__gaps", stats.iat_bucket, 6).alias("__raw_iats"),
-        F.least(F.array_min("__sizes"), F.col("__low")).alias("pkt_size_min"), F.greatest(F.array_max("__sizes"), F.col("__high")).alias("pkt_size_max"),
-        mean("__sizes").alias("__mean"), percentile("__sizes", 0.5).alias("__p50"), percentile("__sizes", 0.95).alias("__p95"), percentile("__gaps", 0.5).alias("__i50"), percentile("__gaps", 0.95).alias("__i95"),
-        F.sqrt(mean(F.transform("__gaps", lambda v: (v - F.col("__imean")) * (v - F.col("__imean"))))).alias("__istd"),
-        F.size(F.filter("__gaps", lambda v: v > 1_000_000)).cast("long").alias("__idle"), F.size(F.filter("__gaps", lambda v: (v > 0) & (v < 10_000))).cast("long").alias("__burst"),
+        F.array(*[count(F.col(f"__rp{k}")) for k in range(7)]).alias("__raw_sizes"), F.array(*[count(F.col(f"__ri{k}")) for k in range(6)]).alias("__raw_iats"),
+        F.col("__low").alias("pkt_size_min"), F.col("__high").alias("pkt_size_max"), mean("__ss", "__ns").alias("__mean"), "__p50", "__p95", "__i50", "__i95",
+        F.when(F.col("__ng") > 0, F.sqrt(squares.cast("double")) / F.col("__ng")).alias("__istd"), count(F.col("__idle")).alias("__idle"), count(F.col("__burst")).alias("__burst"),
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in (*total, "bytes_out", "bytes_in", "packets_out", "packets_in") if not c.startswith("__")}
     false = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available", "handshake_seen", "server_hello_seen")}
@@ -232,6 +229,37 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     return out.withColumn("record_type", F.lit("window_summary"))
 
 
+def prefix_percentiles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, window_id, __p50, __p95 (sizes), __i50, __i95 (gaps): exact percentiles of the samples of a session up to each window that has some."""
+    kinds = {"s": "packet_sizes", "g": "iat_us"}
+    of_kind = lambda k: lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    each = F.concat(*[F.transform(c, of_kind(k)) for k, c in kinds.items()])
+    counted = rows.select(*by, "window_id", F.explode(each).alias("x")).groupBy(*by, "window_id", "x.kind", "x.value").agg(F.count("*").alias("n"))
+    session = F.to_json(F.array(*[F.col(c).cast("string") for c in by]))
+    samples = stored(counted.select(*by, "kind", F.concat("kind", session).alias("g"), F.col("window_id").alias("step"), "value", "n"), "samples")
+    along = Window.partitionBy("g").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = samples.groupBy(*by, "kind", "g", "step").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(along))
+    # windows without samples of their own have the percentiles of the one before
+    steps = rows.select(*by, "window_id").distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    all_steps = steps.join(so_far.withColumnRenamed("step", "window_id"), [*by, "kind", "window_id"], "left")
+    held = Window.partitionBy(*by, "kind").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    asked = all_steps.withColumns({"n": F.last("n", ignorenulls=True).over(held), "g": F.concat("kind", session)}).where("n > 0")
+    place = {p: (F.col("n") - 1) * F.lit(p) for p in (0.5, 0.95)}
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.least(F.floor(x) + 1, F.col("n") - 1)) for x in place.values()])))
+    asked = stored(asked.select(*by, "kind", "g", F.col("window_id").cast("long").alias("step"), "n"), "asked")
+    found = prefix_ranks(samples.select("g", "step", "value", "n"), asked.select("g", "step", F.explode(ranks).alias("rank")))
+    values = found.groupBy("g", "step").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))  # four ranks at most
+
+    def percentile(p: float) -> Column:
+        low = F.floor(place[p])
+        a, b = F.col("m")[low], F.col("m")[F.least(low + 1, F.col("n") - 1)]
+        return a + (b - a) * (place[p] - low)
+
+    out = asked.join(values, ["g", "step"]).select(*by, F.col("step").cast("int").alias("window_id"), "kind", percentile(0.5).alias("a"), percentile(0.95).alias("b"))
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    return out.groupBy(*by, "window_id").agg(of("s", "a").alias("__p50"), of("s", "b").alias("__p95"), of("g", "a").alias("__i50"), of("g", "b").alias("__i95"))
+
+
 def unmatched_tls(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """TLS rows that no open session took."""
     return number_sessions(events, keys).where("event_type = 'TLS_HANDSHAKE' AND NOT matched")

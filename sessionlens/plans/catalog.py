@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from ..operators import dims, identity, metrics, packets
 from ..operators import sessions as ops
 from ..sources import demo_tables as demo
 from ..sources import flow_events as sources
+from ..storage import new_folder
 from . import ledger
 
 DAY = 86_400 * 1_000_000_000
@@ -33,16 +31,6 @@ def query(sql: str | None = None):
     return register
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A folder of its own below spark.checkpoint.dir, which driver and executors share; a local one is for local masters only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-
-
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -202,6 +190,19 @@ def packet_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns(flat)
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT l_suppkey AS s, epoch_us(l_shipdate) * 1000 AS t, CAST(l_quantity * 40 AS BIGINT) AS len, l_returnflag <> 'R' AS outgoing, row_number() OVER (PARTITION BY l_suppkey ORDER BY epoch_us(l_shipdate), l_orderkey, l_linenumber, l_quantity, l_returnflag) AS k FROM lineitem WHERE l_quantity > 0),
+q AS (SELECT s, t, k, {", ".join(f"sum(CASE WHEN {w} THEN {v} ELSE 0 END) OVER (PARTITION BY s ORDER BY k ROWS UNBOUNDED PRECEDING) AS {c}" for c, w, v in (("bs", "outgoing", "len"), ("br", "NOT outgoing", "len"), ("ps", "outgoing", "1"), ("pr", "NOT outgoing", "1")))} FROM p),
+gate AS (
+    SELECT s, k, t AS last, false AS hit FROM q WHERE k = 1
+    UNION ALL SELECT q.s, q.k, CASE WHEN q.t - last >= 10 * {DAY} THEN q.t ELSE last END, q.t - last >= 10 * {DAY} FROM gate JOIN q ON q.s = gate.s AND q.k = gate.k + 1)
+SELECT q.s AS l_suppkey, q.t AS timestamp_ns, 'STATS' AS event_type, CAST(bs AS BIGINT) AS bytes_sent, CAST(br AS BIGINT) AS bytes_recv, CAST(ps AS BIGINT) AS packets_sent, CAST(pr AS BIGINT) AS packets_recv FROM q JOIN gate USING (s, k) WHERE hit""")
+def packet_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow per supplier; its counters every ten days at most."""
+    i = demo.read(spark, sf_dir, "lineitem")
+    p = i.select("l_suppkey", (demo.micros("l_shipdate") * 1000).alias("ts_ns"), F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").alias("seq"), (F.col("l_quantity") * 40).cast("long").alias("length"), (F.col("l_returnflag") != "R").alias("out"))
+    return packets.rate_limited_stats(p, ["l_suppkey"], F.col("out"), 10 * DAY)
+
+
 def _hello_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads by line number: client hellos, server hellos and others."""
     body = F.concat(F.lit(bytearray(b"\x16\x03\x01\x00\x10")), F.when(F.col("seq") % 3 == 0, F.lit(bytearray(b"\x01"))).when(F.col("seq") % 3 == 1, F.lit(bytearray(b"\x02"))).otherwise(F.lit(bytearray(b"\x03"))), F.encode(F.col("length").cast("string"), "utf-8"))
