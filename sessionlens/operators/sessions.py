@@ -132,12 +132,13 @@ def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["lon
     return finished(x.groupBy(*by).agg(*aggregates), long_lived_ns, flush_ns, closing)
 
 
-def finished(g: DataFrame, long_lived_ns: int, flush_ns: int | None, closing: bool) -> DataFrame:
-    """Rates, ratios, estimates and names from the sums of a group."""
+def finished(g: DataFrame, long_lived_ns: int, flush_ns: int | Column | None, closing: bool | Column) -> DataFrame:
+    """Rates, ratios, estimates and names from the sums of a group. flush_ns, closing: see summarise; a column where rows differ."""
     ended = F.col("closed") == 1
-    flush = F.lit(flush_ns).cast("long") if flush_ns is not None else F.col("last_ns")
-    end = F.when(ended, F.col("last_ns")).otherwise(flush) if closing else F.col("last_ns")
-    reason = F.when(ended, text.close_reason(F.col("raw_reason"), "unknown")).otherwise("timeout") if closing else F.lit("")
+    flush = F.coalesce(flush_ns if isinstance(flush_ns, Column) else F.lit(flush_ns).cast("long"), F.col("last_ns"))
+    closes = closing if isinstance(closing, Column) else F.lit(closing)
+    end = F.when(closes & ~ended, flush).otherwise(F.col("last_ns"))
+    reason = F.when(~closes, "").when(ended, text.close_reason(F.col("raw_reason"), "unknown")).otherwise("timeout")
     g = g.withColumns({"end_ns": end, "close_reason": reason})
     duration = F.col("end_ns") - F.col("start_ns")
     g = g.withColumns({f"__{x}": F.zip_with(f"__reported_{x}", f"__raw_{x}", lambda a, b: a + b) for x in ("sizes", "iats")})

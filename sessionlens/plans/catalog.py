@@ -600,14 +600,45 @@ def call_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.paired_calls(calls).select("event_id", "socket")
 
 
-@query()
+_STREAMED = f"""
+st AS (
+    SELECT src_port, 'tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port AS flow, 'session_summary' AS record_type, 0 AS window_id, start_ns, CASE WHEN closed = 1 THEN last_ns ELSE {FLUSH} END AS end_ns, event_count, CASE WHEN closed = 1 THEN 'unknown' ELSE 'timeout' END AS close_reason, bytes_out, bytes_in, packets_out, packets_in, syn_count, fin_count,
+        ft.pkt_size_min, ft.pkt_size_max, ft.pkt_size_mean, ft.pkt_size_p50, ft.pkt_size_p95, ft.iat_p50, ft.iat_p95, ft.iat_std, ft.idle_gap_count, ft.burst_count, ft.pkt_size_histogram FROM g JOIN ft USING (src_port, session_no)
+    UNION ALL
+    SELECT a.src_port, min('tcp|' || a.src_ip || '|' || a.src_port || '|' || a.dst_ip || '|' || a.dst_port), 'window_summary', gate.w, min(a.timestamp_ns), max(a.timestamp_ns), count(*), '', max(a.bytes_sent), max(a.bytes_recv), max(a.packets_sent), max(a.packets_recv), count(*) FILTER (a.event_type = 'CONNECT'), 0,
+        min(a.size), max(a.size), avg(a.size), quantile_cont(a.size, 0.5), quantile_cont(a.size, 0.95), quantile_cont(a.iat, 0.5), quantile_cont(a.iat, 0.95), round(stddev_pop(a.iat) / 1e6, 3), count(*) FILTER (a.iat > 1000000), count(*) FILTER (a.iat > 0 AND a.iat < 10000),
+        {" || ',' || ".join(f"count(*) FILTER (({_bucket_sql('a.size', stats.PACKET_BOUNDS, False)}) = {k})" for k in range(7))}
+    FROM gate JOIN o a ON a.src_port = gate.src_port AND a.session_no = gate.session_no AND a.j <= gate.j WHERE gate.hit GROUP BY a.src_port, a.session_no, gate.w)"""
+_STREAM_DUR = "(end_ns - start_ns)"
+
+
+@query(f"""{_WINDOWS.split("SELECT a.src_port")[0]}, {_AGG}, {_FEATURES}, {_STREAMED}
+SELECT src_port, sha1(flow || '|' || start_ns) AS flow_id, record_type, CAST(window_id AS BIGINT) AS window_id, start_ns, end_ns, event_count, close_reason, {_STREAM_DUR} // 1000000 AS duration_ms, bytes_out, bytes_in, bytes_out + bytes_in AS bytes_total, packets_out, packets_in, CAST(syn_count AS BIGINT) AS syn_count, CAST(fin_count AS BIGINT) AS fin_count,
+    round(CASE WHEN bytes_in <> 0 THEN bytes_out / bytes_in END, 6) AS byte_ratio_out_in, round(CASE WHEN {_STREAM_DUR} > 0 THEN (bytes_out + bytes_in) / ({_STREAM_DUR} / 1e9) END, 6) AS byte_rate, {_STREAM_DUR} >= {LONG} AS is_long_lived,
+    pkt_size_min, pkt_size_max, round(pkt_size_mean, 6) AS pkt_size_mean, round(pkt_size_p50, 6) AS pkt_size_p50, round(pkt_size_p95, 6) AS pkt_size_p95, round(iat_p50, 4) AS iat_p50, round(iat_p95, 4) AS iat_p95, iat_std AS iat_std_s, CAST(idle_gap_count AS BIGINT) AS idle_gap_count, CAST(burst_count AS BIGINT) AS burst_count, pkt_size_histogram FROM st""")
 def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files, through the stateful operator, into a table."""
+    """The events as a stream of files, through the stateful operator, into a table; then a drain ends what is open."""
+    s = streamed(spark, sf_dir)
+    rounded = {c: r6(c) for c in ("byte_ratio_out_in", "byte_rate", "pkt_size_mean", "pkt_size_p50", "pkt_size_p95")} | {"iat_p50": F.round("iat_p50", 4), "iat_p95": F.round("iat_p95", 4), "iat_std_s": F.round(F.col("iat_std") / 1e6, 3), "pkt_size_histogram": lit_map("pkt_size_histogram", stats.PACKET_BUCKETS)}
+    names = ["src_port", "record_type", "window_id", "start_ns", "end_ns", "event_count", "close_reason", "duration_ms", "bytes_out", "bytes_in", "bytes_total", "packets_out", "packets_in", "syn_count", "fin_count", "is_long_lived", "pkt_size_min", "pkt_size_max", "idle_gap_count", "burst_count", "flow_id"]
+    return s.select(*names, *[v.alias(k) for k, v in rounded.items()])
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the demo events as a stream: all files, then a drain at FLUSH from the same checkpoint."""
+    from ..streaming.sessions import drain_rows
     from ..streaming.sessions import streaming_sessions as stream
 
     folder = new_folder(spark, "stream")
-    demo.flow_events(spark, sf_dir).drop("seq").write.parquet(f"{folder}/in")
-    events = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    out = stream(events, session_timeout_ns=30 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    demo.flow_events(spark, sf_dir).write.parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    spark.range(0).select(F.lit(FLUSH).alias("flush_ns")).write.parquet(f"{folder}/drain")
+    out = None
+    for drain in (False, True):
+        if drain:
+            spark.range(1).select(F.lit(FLUSH).alias("flush_ns")).write.mode("append").parquet(f"{folder}/drain")
+        events = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        drains = drain_rows(spark.readStream.schema("flush_ns long").parquet(f"{folder}/drain")).withColumn("seq", F.lit(0).cast(schema["seq"].dataType))
+        out = stream(events.unionByName(drains), session_timeout_ns=20 * 365 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
