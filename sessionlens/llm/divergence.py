@@ -3,7 +3,7 @@
 The terms that enough documents of a language hold are sorted over the cluster and cut into shards; each shard becomes a minimal
 acyclic transducer, built from its sorted terms, whose path outputs add up to a term's lexicographic ordinal. Shards are numbered
 in term order, so (shard, ordinal) orders all terms of a language. The texts are then streamed through the transducers for
-recounting: all words of a slice walk byte by byte, side by side. Up to AUTOMATA_BYTES every task has all transducers (their
+recounting: the different words of a slice walk byte by byte, side by side, and count as often as they are there. Up to AUTOMATA_BYTES every task has all transducers (their
 size is known before); beyond that the words of a slice are counted, sent to the shard that their first terms' order names, and
 walk there. Counts are kept by ordinal, ties are broken by ordinal, and only the terms that are returned are spelt out again, by
 descending the transducer.
@@ -41,6 +41,8 @@ TILE, BLOCK_TERMS = 128, 4_096
 #: (group, term) counts that a task holds before it gives them away.
 HELD_COUNTS = 2_000_000
 UNIT = 1_000_000_000
+#: Bytes of texts whose words are looked at together.
+SLICE_BYTES = 6_000_000
 
 
 # the transducer
@@ -179,15 +181,6 @@ class Transducer:
 # words
 
 
-def lowered(word: Column) -> Column:
-    """A-Z in lower case; words of ASCII alone take the quick way."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
-
-
-def distinct_words(text: str) -> Column:
-    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lowered))
-
-
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -208,13 +201,48 @@ def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return _LOWERED[raw], starts, ends - starts, np.searchsorted(offsets - offsets[0], starts, side="right") - 1
 
 
+def encoded_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a text column, and number (among them) and row of each word."""
+    text, _, lengths, row = spans_of(column)
+    ends = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    words = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text[_IN_WORD[text]])))
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), row
+
+
+def walked(made: Transducer, words: pa.Array) -> np.ndarray:
+    """The ordinal of each word of a (large) string column, -1 for those that are no terms."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    return made.ordinals(np.frombuffer(data if data is not None else b"", dtype=np.uint8), ends[:-1], np.diff(ends))
+
+
+def counted_once(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and how often each is there."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 # vocabulary
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
-    """lang, term of the terms in at least so many documents of the language."""
-    each = docs.select("lang", F.explode(distinct_words("text")).alias("term"))
-    return each.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "term")
+    """lang, term of the terms in at least so many documents of the language; a slice of texts counts its own before the shuffle."""
+
+    def run(batches):
+        for batch in chain.from_iterable(slices(b, ["text"], SLICE_BYTES) for b in batches):
+            words, number, row = encoded_words(batch.column("text"))
+            langs = batch.column("lang").dictionary_encode()
+            once, _ = counted_once(row * max(len(words), 1) + number)
+            row, number = np.divmod(once, max(len(words), 1))
+            keys, counts = counted_once(langs.indices.to_numpy().astype(np.int64)[row] * max(len(words), 1) + number)
+            lang, number = np.divmod(keys, max(len(words), 1))
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), words.take(pa.array(number)).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "term", "n"])
+
+    each = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
+    return each.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "term")
 
 
 def transducers(kept: DataFrame, n: int) -> DataFrame:
@@ -250,7 +278,7 @@ class Counter:
         return np.array([self.groups.setdefault(x, len(self.groups)) for x in zip(langs, sources, strict=True)], dtype=np.int64)
 
     def add(self, groups: np.ndarray, numbers: np.ndarray) -> None:
-        keys, counts = np.unique(groups * self.terms + numbers, return_counts=True)
+        keys, counts = counted_once(groups * self.terms + numbers)
         self.keys.append(keys)
         self.counts.append(counts)
         self.n += len(keys)
@@ -305,18 +333,19 @@ def recount_everywhere(docs: DataFrame, shards: DataFrame) -> DataFrame:
                 shard = np.searchsorted(begins, terms, side="right") - 1
                 yield counted_rows(lang, source, numbers[shard] * SHARD_TERMS + terms - begins[shard], counts)
 
-        for batch in chain.from_iterable(slices(b, ["text"]) for b in batches):
+        for batch in chain.from_iterable(slices(b, ["text"], SLICE_BYTES) for b in batches):
             langs = batch.column("lang").to_pylist()
             groups = counter.codes(langs, batch.column("source").to_pylist())
-            text, starts, lengths, row = spans_of(batch.column("text"))
+            words, number, row = encoded_words(batch.column("text"))
             names = pd.Series(langs, dtype=object).to_numpy()
             for lang in set(langs) & set(of):
-                left = np.flatnonzero((names == lang)[row])
-                for begin, made in of[lang]:
-                    found = made.ordinals(text, starts[left], lengths[left])
-                    hit = found >= 0
-                    counter.add(groups[row[left[hit]]], begin + found[hit])
-                    left = left[~hit]
+                found = np.full(len(words), -1, dtype=np.int64)
+                for begin, made in of[lang]:  # a slice's different words walk, each once
+                    own = walked(made, words)
+                    found = np.where(own >= 0, begin + own, found)
+                terms, hit = found[number], (names == lang)[row]
+                hit &= terms >= 0
+                counter.add(groups[row[hit]], terms[hit])
             if counter.full():
                 yield from given()
         yield from given()
@@ -351,19 +380,22 @@ def recount_by_shard(docs: DataFrame, shards: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast({r.lang: ([x["shard"] for x in r.shards], np.array([x["first"].encode() for x in r.shards], dtype=object)) for r in firsts.collect()})
 
     def run(batches):
-        for batch in chain.from_iterable(slices(b, ["text"]) for b in batches):
-            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            text, starts, lengths, row = spans_of(batch.column("text"))
-            data, counts = text.tobytes(), {}
-            for r, s, n in zip(row.tolist(), starts.tolist(), lengths.tolist(), strict=True):
-                if langs[r] in shared.value:
-                    key = (langs[r], sources[r], data[s : s + n])
-                    counts[key] = counts.get(key, 0) + 1
-            keys = list(counts)
-            places = [int(np.searchsorted(shared.value[x[0]][1], x[2], side="right")) - 1 for x in keys]
-            some = [k for k, p in enumerate(places) if p >= 0]
-            columns = [pa.array([shared.value[keys[k][0]][0][places[k]] for k in some], pa.int64()), *[pa.array([keys[k][c] for k in some], t) for c, t in ((0, pa.string()), (1, pa.string()), (2, pa.binary()))], pa.array([counts[keys[k]] for k in some], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "source", "word", "n"])
+        for batch in chain.from_iterable(slices(b, ["text"], SLICE_BYTES) for b in batches):
+            pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+            groups = {p: k for k, p in enumerate(dict.fromkeys(pairs))}
+            words, number, row = encoded_words(batch.column("text"))
+            keys, counts = counted_once(np.array([groups[p] for p in pairs], dtype=np.int64)[row] * max(len(words), 1) + number)
+            group, number = np.divmod(keys, max(len(words), 1))
+            texts = words.cast(pa.large_binary())
+            for k, (lang, source) in enumerate(groups):
+                if lang in shared.value:
+                    shards_, firsts_ = shared.value[lang]
+                    own = np.flatnonzero(group == k)
+                    some = texts.take(pa.array(number[own]))
+                    place = np.searchsorted(firsts_, np.array(some.to_pylist(), dtype=object), side="right") - 1
+                    in_ = np.flatnonzero(place >= 0)
+                    columns = [pa.array(np.array(shards_)[place[in_]], pa.int64()), pa.array([lang] * len(in_), pa.string()), pa.array([source] * len(in_), pa.string()), some.take(pa.array(in_)).cast(pa.binary()), pa.array(counts[own][in_], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "source", "word", "n"])
 
     words = docs.select("lang", "source", "text").mapInArrow(run, "shard long, lang string, source string, word binary, n long")
     words = words.groupBy("shard", "lang", "source", "word").agg(F.sum("n").alias("n"))
