@@ -642,3 +642,84 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stream(events.unionByName(drains), session_timeout_ns=20 * 365 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+# ---- sinks and dimensions in motion ----------------------------------------------------------------------------------
+
+ROTATE = 100_000
+
+
+@query(f"""WITH {_RECORD} SELECT sha1('tcp|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port || '|' || start_ns) AS flow_id, true AS file_within, true AS file_full FROM rz""")
+def ledger_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in files of 100 kB at most; a file is full if the next line of its task would have taken it over."""
+    folder = new_folder(spark, "rotated")
+    ledger.write_ledger(records(spark, sf_dir), folder, max_bytes=ROTATE)
+    lines = spark.read.text(folder).withColumn("size", F.octet_length("value").cast("long") + 1)
+    files = lines.groupBy("writer", "file").agg(F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.count("*").alias("n"))
+    after = F.lead("longest").over(Window.partitionBy("writer").orderBy("file"))  # at least as long as that file's first line
+    judged = files.select("writer", "file", ((F.col("bytes") <= ROTATE) | (F.col("n") == 1)).alias("file_within"), F.coalesce(F.col("bytes") + after > ROTATE, F.lit(True)).alias("file_full"))
+    return lines.join(judged, ["writer", "file"]).select(F.get_json_object("value", "$.flow_id").alias("flow_id"), "file_within", "file_full")
+
+
+SLICE_CHANGES = "namespace string, uid string, service_name string, address string, version long"
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT k, 1 AS stage, true AS old_known, false AS new_known FROM s
+UNION ALL SELECT k, 2, k % 7 <> 0 AND k % 3 <> 0, k % 7 <> 0 AND k % 3 = 0 FROM s
+UNION ALL SELECT k, 3, k % 7 <> 0 AND k % 3 <> 0, k % 7 <> 0 AND k % 3 = 0 OR k % 14 = 0 FROM s""")
+def streaming_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices change while flows stream: replaced, deleted and made anew, with older versions that come late; each micro-batch of flows sees the state of its time."""
+    from ..streaming import dimensions
+
+    folder = new_folder(spark, "dimensions")
+    s = demo.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    address = lambda p: F.concat(F.lit(p), "k")
+
+    def change(rows: DataFrame, p: str, version: int, deleted: bool = False) -> DataFrame:
+        return rows.select(F.lit("ns").alias("namespace"), address("slice-").alias("uid"), address("svc-").alias("service_name"), address(p).alias("address"), F.lit(version).cast("long").alias("version"), F.lit(deleted).alias("deleted"), F.lit(version * 1_000_000_000).cast("long").alias("changed_ns"))
+
+    first = change(s, "old-", 2)
+    stages = [
+        first,
+        change(s.where("k % 3 = 0"), "new-", 3).unionByName(change(s.where("k % 3 = 1"), "new-", 1)).unionByName(change(s.where("k % 7 = 0"), "old-", 4, True)),
+        change(s.where("k % 14 = 0"), "new-", 5).unionByName(change(s.where("k % 7 = 0"), "old-", 3)),
+    ]
+    kinds, schema = "k long, stage int", spark.createDataFrame([], SLICE_CHANGES + ", deleted boolean, changed_ns long").schema
+
+    def looked_up(batch: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        known = tables["slices"].select("address").withColumn("known", F.lit(True))
+        for name in ("old", "new"):
+            batch = batch.join(known.select(F.col("address").alias("__a"), F.col("known").alias(f"{name}_known")), F.col("__a") == address(f"{name}-"), "left").drop("__a")
+        return batch.na.fill(False)
+
+    for n, rows in enumerate(stages, 1):
+        rows.write.mode("append").parquet(f"{folder}/changes")
+        dimensions.maintain(spark.readStream.schema(schema).parquet(f"{folder}/changes"), f"{folder}/slices", SLICE_CHANGES).awaitTermination()
+        s.withColumn("stage", F.lit(n)).write.mode("append").parquet(f"{folder}/flows")
+        dimensions.with_dimensions(spark.readStream.schema(kinds).parquet(f"{folder}/flows"), {"slices": (f"{folder}/slices", SLICE_CHANGES)}, looked_up, f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("k", "stage", "old_known", "new_known")
+
+
+LABEL_COLUMNS = "document string, experiment_id string, scenario_label string, version long"
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'second' ELSE 'first' END AS experiment_id, CASE WHEN event_id % 3 = 2 THEN 'attack' ELSE 'load' END AS scenario_label FROM events""")
+def streaming_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three micro-batches of events; between them the label document is read: well, not at all, and well again."""
+    from ..streaming import dimensions
+
+    folder = new_folder(spark, "labels")
+    e = demo.read(spark, sf_dir, "events").select("event_id")
+    schema = "document string, read_at long, ok boolean, experiment_id string, scenario_label string"
+    reads = [("d", 1, True, "first", "load"), ("d", 2, False, None, None), ("d", 3, True, "second", "attack")]
+
+    def labelled(batch: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        return batch.crossJoin(F.broadcast(tables["labels"].where("document = 'd'").select("experiment_id", "scenario_label")))  # one row
+
+    for n, read_ in enumerate(reads):
+        spark.createDataFrame([read_], schema).write.mode("append").parquet(f"{folder}/reads")
+        dimensions.watched_labels(spark.readStream.schema(schema).parquet(f"{folder}/reads"), f"{folder}/held").awaitTermination()
+        e.where(F.col("event_id") % 3 == n).write.mode("append").parquet(f"{folder}/events")
+        dimensions.with_dimensions(spark.readStream.schema("event_id long").parquet(f"{folder}/events"), {"labels": (f"{folder}/held", LABEL_COLUMNS)}, labelled, f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "experiment_id", "scenario_label")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import net, stats
 from ..functions.text import first_non_empty, rfc3339
+from .rotation import write_rotated
 
 # Fixed values of the record format.
 SCHEMA_VERSION = "v1alpha2"
@@ -98,8 +99,14 @@ def ledger_record(resolved: DataFrame, labels: dict[str, str] | None = None, con
     )
 
 
-def write_ledger(records: DataFrame, path: str, rows_per_file: int = 0, partition_by: list[str] | None = None) -> None:
-    """Append as JSON lines with nulls kept; files rotate after rows_per_file records."""
+def write_ledger(records: DataFrame, path: str, rows_per_file: int = 0, partition_by: list[str] | None = None, max_bytes: int = 0, max_age_ns: int = 0, at: str | None = None) -> None:
+    """Append as JSON lines with nulls kept; files rotate after rows_per_file records, or by size and age (rotation.write_rotated).
+
+    at: the column (ns) whose differences are a file's age.
+    """
+    if max_bytes or max_age_ns:
+        write_rotated(as_lines(records, at), path, max_bytes, max_age_ns, at="at" if at else None)
+        return
     writer = records.write.mode("append").option("ignoreNullFields", "false")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -108,6 +115,23 @@ def write_ledger(records: DataFrame, path: str, rows_per_file: int = 0, partitio
     writer.json(path)
 
 
+def as_lines(records: DataFrame, at: str | None = None) -> DataFrame:
+    """value: a record as JSON with nulls kept; at, where it is named, which is no part of the record."""
+    kept = [F.col(c) for c in records.columns if c != at]
+    line = F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("value")
+    return records.select(line, *([F.col(at).alias("at")] if at else []))
+
+
+def stream_rotated_ledger(records: DataFrame, path: str, checkpoint: str, max_bytes: int, max_age_ns: int = 0, at: str | None = None, trigger: str | None = None) -> StreamingQuery:
+    """A stream of records in rotated files, by micro-batch; a retried one takes the place of its first try."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_rotated(as_lines(batch, at), f"{path}/batch={number}", max_bytes, max_age_ns, at="at" if at else None, mode="overwrite")
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
 def stream_ledger(records: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Append a stream of records; the checkpoint makes files appear once. Without a trigger interval what is available is written."""
     writer = records.writeStream.format("json").option("ignoreNullFields", "false").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
