@@ -186,8 +186,8 @@ def near_groups(embeddings: DataFrame, threshold: float = 0.98, id_: str = "vec_
         linked = linked.withColumn("root", F.col("key"))
     else:
         linked = linked.join(connected(edges, "key", "other").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    per_class = stored(linked.join(groups, "root").select("key", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-groups")
+    groups = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"))
+    per_class = stored(joined(linked, groups, "root", "classes", n).select("key", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-groups")
     for old in (classes, placed, found):
         dropped(spark, old)
     some = joined(keyed.where("key is not null").select("vec_id", "key"), per_class, "key", "copies", total)
