@@ -543,6 +543,36 @@ def kernel_row_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.kernel_rows(rows).select("event_id", "event_type", "src_ip", "pkt_size_min", "tcp_state")
 
 
+def _counts(k: str, c: str, n: int) -> str:
+    """Of an event's record: its count in each bucket."""
+    return "[" + ", ".join(f"({k} * {j + 1}) % {7 + j}" for j in range(n)) + "]" + f" AS {c}"
+
+
+def _named(labels: list[str], c: str) -> str:
+    """Bucket counts as text; nothing where all are zero."""
+    return f"CASE WHEN list_sum({c}) = 0 THEN '' ELSE " + " || ',' || ".join(f"{c}[{j + 1}]" for j in range(len(labels))) + " END"
+
+
+@query(f"""WITH r AS (SELECT event_id AS k, user_id, {_counts('event_id', 'sizes', 7)}, {_counts('event_id', 'gaps', 6)} FROM events)
+SELECT k * 1000 AS timestamp_ns, CASE k % 5 + 1 WHEN 1 THEN 'CONNECT' WHEN 2 THEN 'CLOSE' WHEN 3 THEN 'STATS' ELSE 'DROP' END AS event_type, (user_id & 255) || '.' || ((user_id >> 8) & 255) || '.0.0' AS src_ip, '4.3.2.1' AS dst_ip, CAST(k % 65536 AS INTEGER) AS src_port, k % 1000 AS bytes_sent, k % 7 AS packets_recv,
+    nullif(k % 3, 0) AS pkt_size_min, nullif(k % 1500, 0) AS pkt_size_max, {_named(stats.PACKET_BUCKETS, 'sizes')} AS size_histogram, {_named(stats.IAT_BUCKETS, 'gaps')} AS iat_histogram, k % 11 AS idle_gap_count, k % 4 AS rst_count, k % 2 = 0 AS packet_timing_available, CASE k % 5 WHEN 0 THEN 'established' WHEN 1 THEN 'close' ELSE '' END AS tcp_state
+FROM r WHERE k % 5 < 4 AND k % 13 <> 0 AND k % 17 <> 0""")
+def binary_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as files of binary records: written, read by ranges, as flow events; other families and protocols are among them."""
+    from ..sources import binary_records
+
+    binary_records.register(spark)
+    folder, k = new_folder(spark, "records"), F.col("event_id").cast("long")
+    counts = lambda n: F.array(*[(k * (j + 1)) % (7 + j) for j in range(n)])
+    rows = demo.read(spark, sf_dir, "events").select(
+        (k * 1000).alias("timestamp_ns"), (k % 5 + 1).cast("int").alias("code"), F.when(k % 13 == 0, 10).otherwise(2).alias("family"), F.when(k % 17 == 0, 17).otherwise(6).alias("proto"), F.col("user_id").cast("long").alias("src_addr"), F.lit(0x01020304).cast("long").alias("dst_addr"), (k % 65536).cast("int").alias("src_port"),
+        (k % 1000).alias("bytes_sent"), (k % 7).alias("packets_recv"), (k % 3).alias("size_min"), (k % 1500).alias("size_max"), counts(7).alias("size_counts"), counts(6).alias("iat_counts"), (k % 11).alias("idle_gap_count"), (k % 4).alias("rst_count"), (k % 2 == 0).alias("packet_timing_available"),
+    )
+    rows.write.format("flow_records").mode("append").save(folder)
+    e = sources.kernel_rows(spark.read.format("flow_records").option("recordsPerPartition", 2_000).load(folder))
+    return e.select("timestamp_ns", "event_type", "src_ip", "dst_ip", "src_port", "bytes_sent", "packets_recv", "pkt_size_min", "pkt_size_max", lit_map("packet_size_histogram", stats.PACKET_BUCKETS).alias("size_histogram"), lit_map("iat_histogram", stats.IAT_BUCKETS).alias("iat_histogram"), "idle_gap_count", "rst_count", "packet_timing_available", "tcp_state")
+
+
 def _jsonl(spark: SparkSession, sf_dir: str) -> str:
     """The events as JSON lines: every 7th is a hello as hex digits (a client's, a server's cut short, or no hex at all); types in lower case, absent keys."""
     k, folder = F.col("seq"), new_folder(spark, "events")
