@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGIT = 12
+DIGIT = 14
 
 
 def descend(samples: DataFrame, queries: DataFrame) -> DataFrame:

@@ -54,11 +54,10 @@ def placed(numbered: DataFrame, group: list[str]) -> DataFrame:
     return numbered.withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy("timestamp_ns", "seq")).cast("long"))
 
 
-def window_gates(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], keys: list[str] | None = None, emissions: DataFrame | None = None) -> DataFrame:
+def window_gates(numbered: DataFrame, window_ns: int = DEFAULTS["window_ns"], keys: list[str] | None = None) -> DataFrame:
     """Adds emitted, the window number that an event emits (null: none), windows_before, how many the session emitted earlier, and windows, how many it emits at all."""
     group = [*(keys or KEY), "session_no"]
-    emissions = window_emissions(numbered, window_ns, keys) if emissions is None else emissions
-    out = placed(numbered, group).join(emissions.withColumnRenamed("n", "emitted"), [*group, "__place"], "left")
+    out = placed(numbered, group).join(window_emissions(numbered, window_ns, keys).withColumnRenamed("n", "emitted"), [*group, "__place"], "left")
     order = Window.partitionBy(*group).orderBy("timestamp_ns", "seq")
     before = F.count("emitted").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return out.withColumns({"windows_before": before.cast("int"), "windows": F.count("emitted").over(Window.partitionBy(*group)).cast("int")}).drop("__place")
@@ -183,11 +182,9 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     is summed once, however many windows follow it. Percentiles are rank queries on the counts of sample values (prefix_ranks).
     """
     keys = keys or KEY
-    numbered = number_sessions(events, keys)
-    emissions = stored(window_emissions(numbered, window_ns, keys), "emissions")
-    gated = window_gates(numbered, window_ns, keys, emissions).where("matched AND windows_before < windows")
-    by = [*keys, "session_no"]
-    rows = gated.withColumn("window_id", F.col("windows_before") + 1)
+    by, scratch = [*keys, "session_no"], ("matched", "emitted", "windows", "windows_before")
+    gated = window_gates(number_sessions(events, keys), window_ns, keys).where("matched AND windows_before < windows")
+    rows = stored(gated.withColumn("window_id", F.col("windows_before") + 1).drop(*scratch), "windowed")
     order, flow, kind = F.struct("timestamp_ns", "seq"), F.col("event_type") != "TLS_HANDSHAKE", F.col("event_type")
     client = ~flow & ((F.col("ja4") != "") | F.col("handshake_seen"))
     server = ~flow & ((F.col("ja4s") != "") | F.col("server_hello_seen"))
@@ -196,33 +193,29 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     last |= {c: at(c, client) for c in TLS_CLIENT} | {c: at(c, server) for c in TLS_SERVER}
     first = {c: at(c, flow) for c in ("cgroup_id", "netns_ino", "node_name")}
     own = lambda c: F.when(flow, F.col(c))
-    sizes, gaps = F.col("packet_sizes"), F.col("iat_us")
-    wide = "decimal(38,0)"
-    most = {"bytes_out": own("bytes_sent"), "bytes_in": own("bytes_recv"), "packets_out": own("packets_sent"), "packets_in": own("packets_recv"), "closed": (flow & (kind == "CLOSE")).cast("int"), "__high": F.greatest(own("pkt_size_max"), F.array_max(sizes))}
+    most = {"bytes_out": own("bytes_sent"), "bytes_in": own("bytes_recv"), "packets_out": own("packets_sent"), "packets_in": own("packets_recv"), "closed": (flow & (kind == "CLOSE")).cast("int"), "__high": F.greatest(own("pkt_size_max"), F.array_max("packet_sizes"))}
     most |= {c: F.when(flow, F.col(c)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available")} | {"handshake_seen": F.when(client, F.col("handshake_seen")), "server_hello_seen": F.when(server, F.col("server_hello_seen"))}
-    least = {"start_ns": own("timestamp_ns"), "__low": F.least(own("pkt_size_min"), F.array_min(sizes))}
+    least = {"start_ns": own("timestamp_ns"), "__low": F.least(own("pkt_size_min"), F.array_min("packet_sizes"))}
     total = {"event_count": flow.cast("long"), "syn_count": F.when(flow, F.col("syn_count") + kind.isin("CONNECT", "ACCEPT").cast("long")), "fin_count": F.when(flow, F.col("fin_count") + (kind == "CLOSE").cast("long"))}
     total |= {c: own(c) for c in ("direction_changes", "rst_count", "retrans_count", "idle_gap_count", "burst_count")}
     total |= {f"__p{k}": F.when(flow, _histogram("packet_size_histogram", b)) for k, b in enumerate(PACKET_BUCKETS)} | {f"__i{k}": F.when(flow, _histogram("iat_histogram", b)) for k, b in enumerate(IAT_BUCKETS)}
-    some = lambda c, fits: F.size(F.filter(c, fits)).cast("long")
-    inside = lambda bucket, k: lambda v: bucket(v) == k
-    total |= {f"__rp{k}": some(sizes, inside(stats.packet_bucket, k)) for k in range(7)} | {f"__ri{k}": some(gaps, inside(stats.iat_bucket, k)) for k in range(6)}
-    total |= {"__ns": F.size(sizes).cast("long"), "__ss": F.aggregate(sizes, F.lit(0).cast("long"), lambda a, v: a + v), "__ng": F.size(gaps).cast("long"), "__sg": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, v: a + v)}
-    total |= {"__qg": F.aggregate(gaps, F.lit(0).cast(wide), lambda a, v: (a + v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast(wide)), "__idle": some(gaps, lambda v: v > 1_000_000), "__burst": some(gaps, lambda v: (v > 0) & (v < 10_000))}
-    kinds = [(total, F.sum), (most, F.max), (last, F.max), (least, F.min), (first, F.min)]
-    segments = rows.groupBy(*by, "window_id").agg(*[f(v).alias(c) for some, f in kinds for c, v in some.items()])
+    samples = stored(window_samples(rows, by), "samples")
+    sums = sample_sums()
+    kinds = [(total, F.sum), (most, F.max), (last, F.max), (least, F.min), (first, F.min), (sums, F.sum)]
+    segments = rows.groupBy(*by, "window_id").agg(*[f(v).alias(c) for some, f in kinds if some is not sums for c, v in some.items()])
+    segments = segments.join(samples.groupBy(*by, "window_id").agg(*[F.sum(v).alias(c) for c, v in sums.items()]), [*by, "window_id"], "left")
     along = Window.partitionBy(*by).orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = segments.select(*by, "window_id", *[f(c).over(along).alias(c) for some, f in kinds for c in some])
-    whole = whole.join(prefix_percentiles(rows, by), [*by, "window_id"], "left")
-    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    mean = lambda s, n: F.col(s) / F.nullif(F.col(n), F.lit(0))
+    whole = stored(segments.select(*by, "window_id", *[f(c).over(along).alias(c) for some, f in kinds for c in some]), "windows")
+    whole = whole.join(prefix_percentiles(whole, samples, by), [*by, "window_id"], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    mean = lambda s, n: F.col(s).cast("double") / F.nullif(F.col(n), F.lit(0))
     squares = F.col("__ng").cast("decimal(18,0)") * F.col("__qg") - F.col("__sg").cast("decimal(19,0)") * F.col("__sg").cast("decimal(19,0)")
     g = whole.select(
         *by, "window_id", *[c for some in (total, most, least) for c in some if not c.startswith("__")], *[F.col(f"{c}.v").alias(c) for some in (last, first) for c in some],
         F.array(*[F.col(f"__p{k}") for k in range(7)]).alias("__reported_sizes"), F.array(*[F.col(f"__i{k}") for k in range(6)]).alias("__reported_iats"),
-        F.array(*[count(F.col(f"__rp{k}")) for k in range(7)]).alias("__raw_sizes"), F.array(*[count(F.col(f"__ri{k}")) for k in range(6)]).alias("__raw_iats"),
+        F.array(*[count(f"__rp{k}") for k in range(7)]).alias("__raw_sizes"), F.array(*[count(f"__ri{k}") for k in range(6)]).alias("__raw_iats"),
         F.col("__low").alias("pkt_size_min"), F.col("__high").alias("pkt_size_max"), mean("__ss", "__ns").alias("__mean"), "__p50", "__p95", "__i50", "__i95",
-        F.when(F.col("__ng") > 0, F.sqrt(squares.cast("double")) / F.col("__ng")).alias("__istd"), count(F.col("__idle")).alias("__idle"), count(F.col("__burst")).alias("__burst"),
+        F.when(F.col("__ng") > 0, F.sqrt(squares.cast("double")) / F.col("__ng")).alias("__istd"), count("__idle").alias("__idle"), count("__burst").alias("__burst"),
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in (*total, "bytes_out", "bytes_in", "packets_out", "packets_in") if not c.startswith("__")}
     false = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("traffic_accounting_available", "packet_timing_available", "tcp_metrics_available", "handshake_seen", "server_hello_seen")}
@@ -230,33 +223,44 @@ def window_summaries(events: DataFrame, window_ns: int = DEFAULTS["window_ns"],
     return out.withColumn("record_type", F.lit("window_summary"))
 
 
-def prefix_percentiles(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, window_id, __p50, __p95 (sizes), __i50, __i95 (gaps): exact percentiles of the samples of a session up to each window that has some."""
-    kinds = {"s": "packet_sizes", "g": "iat_us"}
+SAMPLE_KINDS = {"s": "packet_sizes", "g": "iat_us"}
+
+
+def window_samples(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, window_id, kind (s: sizes, g: gaps), value, n: how often each segment has a value."""
     of_kind = lambda k: lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-    each = F.concat(*[F.transform(c, of_kind(k)) for k, c in kinds.items()])
-    counted = rows.select(*by, "window_id", F.explode(each).alias("x")).groupBy(*by, "window_id", "x.kind", "x.value").agg(F.count("*").alias("n"))
-    session = F.to_json(F.array(*[F.col(c).cast("string") for c in by]))
-    samples = stored(counted.select(*by, "kind", F.concat("kind", session).alias("g"), F.col("window_id").alias("step"), "value", "n"), "samples")
-    along = Window.partitionBy("g").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = samples.groupBy(*by, "kind", "g", "step").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(along))
-    # windows without samples of their own have the percentiles of the one before
-    steps = rows.select(*by, "window_id").distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
-    all_steps = steps.join(so_far.withColumnRenamed("step", "window_id"), [*by, "kind", "window_id"], "left")
-    held = Window.partitionBy(*by, "kind").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
-    asked = all_steps.withColumns({"n": F.last("n", ignorenulls=True).over(held), "g": F.concat("kind", session)}).where("n > 0")
+    each = F.concat(*[F.transform(c, of_kind(k)) for k, c in SAMPLE_KINDS.items()])
+    return rows.select(*by, "window_id", F.explode(each).alias("x")).groupBy(*by, "window_id", "x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def sample_sums() -> dict[str, Column]:
+    """What sums of samples a segment needs: numbers, totals, squares of gaps, bucket counts, idle gaps and bursts."""
+    v, n, size, gap = F.col("value"), F.col("n"), F.col("kind") == "s", F.col("kind") == "g"
+    square = (v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast("decimal(38,0)")
+    out = {"__ns": F.when(size, n), "__ss": F.when(size, n * v), "__ng": F.when(gap, n), "__sg": F.when(gap, n * v), "__qg": F.when(gap, (n.cast("decimal(10,0)") * square).cast("decimal(38,0)"))}
+    out |= {f"__rp{k}": F.when(size & (stats.packet_bucket(v) == k), n) for k in range(7)} | {f"__ri{k}": F.when(gap & (stats.iat_bucket(v) == k), n) for k in range(6)}
+    return out | {"__idle": F.when(gap & (v > 1_000_000), n), "__burst": F.when(gap & (v > 0) & (v < 10_000), n)}
+
+
+def prefix_percentiles(whole: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
+    """by, window_id, __p50, __p95 (sizes), __i50, __i95 (gaps): exact percentiles of the samples of a session up to each window.
+
+    whole: windows with the numbers of samples so far (__ns, __ng); windows that add none have those of the one before.
+    """
+    g = F.concat("kind", F.to_json(F.array(*[F.col(c).cast("string") for c in by])))
+    numbers = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"__n{k}").alias("n")) for k in SAMPLE_KINDS])
+    asked = whole.select(*by, "window_id", F.explode(numbers).alias("x")).select(*by, "window_id", "x.*").where("n > 0").withColumn("g", g)
     place = {p: (F.col("n") - 1) * F.lit(p) for p in (0.5, 0.95)}
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.least(F.floor(x) + 1, F.col("n") - 1)) for x in place.values()])))
-    asked = stored(asked.select(*by, "kind", "g", F.col("window_id").cast("long").alias("step"), "n"), "asked")
-    found = prefix_ranks(samples.select("g", "step", "value", "n"), asked.select("g", "step", F.explode(ranks).alias("rank")))
-    values = found.groupBy("g", "step").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))  # four ranks at most
+    found = prefix_ranks(samples.select(g.alias("g"), F.col("window_id").alias("step"), "value", "n"), asked.select("g", F.col("window_id").alias("step"), F.explode(ranks).alias("rank")))
+    values = found.groupBy("g", F.col("step").cast("int").alias("window_id")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))  # four ranks at most
 
     def percentile(p: float) -> Column:
         low = F.floor(place[p])
         a, b = F.col("m")[low], F.col("m")[F.least(low + 1, F.col("n") - 1)]
         return a + (b - a) * (place[p] - low)
 
-    out = asked.join(values, ["g", "step"]).select(*by, F.col("step").cast("int").alias("window_id"), "kind", percentile(0.5).alias("a"), percentile(0.95).alias("b"))
+    out = asked.join(values, ["g", "window_id"]).select(*by, "window_id", "kind", percentile(0.5).alias("a"), percentile(0.95).alias("b"))
     of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     return out.groupBy(*by, "window_id").agg(of("s", "a").alias("__p50"), of("s", "b").alias("__p95"), of("g", "a").alias("__i50"), of("g", "b").alias("__i95"))
 

@@ -654,26 +654,59 @@ def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*names, *[v.alias(k) for k, v in rounded.items()])
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the demo events as a stream: all files, then a drain at FLUSH from the same checkpoint."""
+def demo_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Records of the events and drains that lie in a folder."""
     from ..streaming.sessions import drain_rows
     from ..streaming.sessions import streaming_sessions as stream
 
+    events = spark.readStream.schema(schema).parquet(f"{folder}/in")
+    drains = drain_rows(spark.readStream.schema("flush_ns long").parquet(f"{folder}/drain")).withColumn("seq", F.lit(0).cast(schema["seq"].dataType))
+    return stream(events.unionByName(drains), session_timeout_ns=20 * 365 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")
+
+
+def demo_input(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     folder = new_folder(spark, "stream")
     demo.flow_events(spark, sf_dir).write.parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
     spark.range(0).select(F.lit(FLUSH).alias("flush_ns")).write.parquet(f"{folder}/drain")
-    out = None
-    for drain in (False, True):
-        if drain:
-            spark.range(1).select(F.lit(FLUSH).alias("flush_ns")).write.mode("append").parquet(f"{folder}/drain")
-        events = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        drains = drain_rows(spark.readStream.schema("flush_ns long").parquet(f"{folder}/drain")).withColumn("seq", F.lit(0).cast(schema["seq"].dataType))
-        out = stream(events.unionByName(drains), session_timeout_ns=20 * 365 * DAY, window_ns=DAY, long_lived_ns=LONG, watermark="60 days")
+    return folder, spark.read.parquet(f"{folder}/in").schema
+
+
+def drain(spark: SparkSession, folder: str) -> None:
+    spark.range(1).select(F.lit(FLUSH).alias("flush_ns")).write.mode("append").parquet(f"{folder}/drain")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the demo events as a stream: all files, then a drain at FLUSH from the same checkpoint."""
+    folder, schema = demo_input(spark, sf_dir)
+    for last in (False, True):
+        if last:
+            drain(spark, folder)
+        out = demo_stream(spark, folder, schema)
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+@query(f"""WITH {FLOW}, {_AGG}, m AS (SELECT count(*) FILTER (closed = 0) AS open_sessions FROM g)
+SELECT CAST(open_sessions AS BIGINT) AS open_sessions, CAST(0 AS BIGINT) AS open_after_drain, emitted, external_dst FROM m, (SELECT count(*) AS emitted, count(*) FILTER (dst_ip = '93.184.216.34' ) AS external_dst FROM g)""")
+def streaming_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream says of itself: counters of its records as they pass, open sessions in its state before and after a drain."""
+    from ..streaming import metrics as live
+
+    folder, schema = demo_input(spark, sf_dir)
+    progress, still_open = [], []
+    for last in (False, True):
+        if last:
+            drain(spark, folder)
+        ended = demo_stream(spark, folder, schema).where("record_type = 'session_summary'")
+        resolved = ended.withColumns({"src_mapping_confidence": F.lit("unknown"), "dst_mapping_confidence": F.lit("unknown"), "dst_external": net.is_external(F.col("dst_ip")), "review_required": F.lit(False)})
+        q = live.observed(resolved).select("flow_id").writeStream.format("parquet").option("path", f"{folder}/ids").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress += q.recentProgress
+        still_open.append(live.open_sessions(spark, f"{folder}/state"))
+    counted = live.totals(progress, "records")
+    return spark.createDataFrame([(*still_open, counted["emitted"], counted["external_dst"])], "open_sessions long, open_after_drain long, emitted long, external_dst long")
+
+
 # ---- sinks and dimensions in motion ----------------------------------------------------------------------------------
 
 ROTATE = 100_000

@@ -99,3 +99,30 @@ def test_ranges_are_in_order_of_their_values():
     values = [*range(-300, 5000), 2**20 - 1, 2**20, 2**40, 2**40 + 2**34, 2**40 + 2**36]
     ranges = [stream.value_range(v) for v in values]
     assert ranges == sorted(ranges) and len(set(ranges)) > 300
+
+
+def test_counters_of_a_stream_equal_those_of_its_records(spark, tmp_path):
+    """By the listener and by the query's progress, over several micro-batches; the gauge is what the state holds."""
+    from sessionlens.streaming import metrics as live
+
+    folder, counters = str(tmp_path), live.Counters()
+    for rows in ([(1, 100, 1, "CONNECT", [], []), (2, 101, 2, "STATS", [], [])], [(3, 102, 1, "CLOSE", [], []), (4, 103, 3, "CONNECT", [], [])], [(5, 104, 3, "CLOSE", [], [])]):
+        df = events(spark, rows).coalesce(1)
+        df.write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = stream.streaming_sessions(live.observed_events(source), watermark="1 hour", session_timeout_ns=3600 * G)
+    judged = out.withColumns({"src_mapping_confidence": F.when(F.col("src_port") == 1, "unknown").otherwise("high"), "dst_mapping_confidence": F.lit("low"), "dst_external": F.lit(True), "review_required": F.col("src_port") == 3})
+    spark.streams.addListener(counters)
+    try:
+        q = live.observed(judged).select("flow_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if counters.finished:
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    want = {"emitted": 2, "unknown_src": 1, "unknown_dst": 0, "external_dst": 2, "reviews": 1}
+    assert live.totals(q.recentProgress, "records") == want == counters.value("records")
+    assert live.totals(q.recentProgress, "events") == {"CONNECT": 2, "ACCEPT": 0, "STATS": 1, "CLOSE": 2, "TLS_HANDSHAKE": 0, "DROP": 0, "dropped": 0}
+    assert live.open_sessions(spark, f"{folder}/state") == 1
