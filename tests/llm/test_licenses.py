@@ -1,3 +1,5 @@
+import time
+
 from sessionlens.llm.licenses import NOTICES, TEMPLATES, Scanner, blocks_of, op2_license_scan, scan_documents, words
 
 LINES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "all-rights-reserved"}
@@ -114,3 +116,82 @@ def test_edges_and_query(spark, small):
         assert {name for line, name in LINES.items() if line in text} <= got[i]
         if not any(w in text.lower() for w in ("licen", "rights reserved", "copyright", "commons", "domain", "granted", "gnu", "apache")):
             assert not got[i]
+
+
+BSD_3 = """Copyright (c) 2020, Some Body
+All rights of the name are kept.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def test_files_and_families_by_their_right_names():
+    """Expected names are written down, not derived."""
+    assert names(BSD_3) == ["BSD-3-Clause"]
+    assert names(MIT_FILE) == ["MIT"]
+    whole = Scanner().scan(MIT_FILE)[1][0]
+    assert whole["coverage"] == 1 and not whole["missing"]  # the file, not its first sentence alone
+    assert names(PROSE * 60 + "\n\n" + BSD_3 + "\n\n" + PROSE * 60) == ["BSD-3-Clause"]
+    for text, want in {
+        "This library is licensed under the GNU Library General Public License, version 2.": ["LGPL-2.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": ["CC-BY-NC-SA-4.0"],
+        "This is not licensed under the MIT License.": [],
+        "It isn't released under the MIT License.": [],
+        "Licensed under the MIT License, not under another.": ["MIT"],
+        "Please do not copy. Licensed under the MIT License.": ["MIT"],
+    }.items():
+        assert names(text) == want, text
+
+
+def test_every_template_is_a_candidate():
+    assert all(blocks_of(text) for _, text, _ in TEMPLATES)
+
+
+def test_texts_dense_with_mentions_take_linear_time():
+    """200 kB in seconds, whether the mentions are names, notices or parts of them."""
+    scanner = Scanner()
+    lists = ["MIT License, Apache License 2.0, GNU General Public License 3, BSD License, ", "license ", "copyright gnu apache permission to ", "Licensed under the MIT License. ", "redistribution and use in source and binary forms of the software "]
+    for piece in lists:
+        seconds = []
+        for size in (50_000, 200_000):
+            start = time.perf_counter()
+            scanner.known.clear()
+            scanner.scan(piece * (size // len(piece)))
+            seconds.append(time.perf_counter() - start)
+        assert seconds[1] < 8 and seconds[1] < 8 * seconds[0] + 0.5, (piece, seconds)
+    assert len(blocks_of("license " * 25_000, 1500)) < 60
