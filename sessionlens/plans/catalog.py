@@ -786,3 +786,59 @@ def streaming_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.where(F.col("event_id") % 3 == n).write.mode("append").parquet(f"{folder}/events")
         dimensions.with_dimensions(spark.readStream.schema("event_id long").parquet(f"{folder}/events"), {"labels": (f"{folder}/held", LABEL_COLUMNS)}, labelled, f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", "experiment_id", "scenario_label")
+
+
+# ---- switches, states, limits ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FLOW} SELECT seq, CAST(0 AS INTEGER) AS n_sizes, CASE WHEN iat IS NULL THEN 0 ELSE 1 END AS n_gaps, iat IS NOT NULL AS timing, 'sizes' AS off FROM f
+UNION ALL SELECT seq, CASE WHEN size IS NULL THEN 0 ELSE 1 END, 0, size IS NOT NULL, 'timing' FROM f""")
+def feature_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with sizes, then timing, switched off: those columns are empty and don't count as available."""
+    raw = demo.raw_flow_events(spark, sf_dir)
+    out = [sources.normalise(sources.without_features(raw, **{off: False}), decode_tls=False).select("seq", F.size("packet_sizes").alias("n_sizes"), F.size("iat_us").alias("n_gaps"), F.col("packet_timing_available").alias("timing"), F.lit(off).alias("off")) for off in ("sizes", "timing")]
+    return out[0].unionByName(out[1])
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'CONNECT' ELSE 'CLOSE' END AS event_type, CASE o_orderstatus WHEN 'O' THEN 0 ELSE o_custkey END AS bytes_sent, CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS syn_count, CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END AS fin_count FROM orders WHERE o_orderstatus IN ('O', 'F')""")
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection states: open orders establish, filled ones close with their counters, others are no events."""
+    o = demo.read(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "O", "ESTABLISHED").when(F.col("o_orderstatus") == "F", "CLOSE").otherwise("FIN_WAIT")
+    changes = o.select("o_orderkey", state.alias("state"), F.col("o_custkey").cast("long").alias("bytes_sent"))
+    return packets.state_events(changes).select("o_orderkey", "event_type", F.col("bytes_sent").cast("long").alias("bytes_sent"), "syn_count", "fin_count")
+
+
+@query("""WITH p AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'b' || (l_partkey % 50) ELSE 'a' || (l_suppkey % 50) END AS src_ip, CASE WHEN l_returnflag = 'R' THEN 'a' || (l_suppkey % 50) ELSE 'b' || (l_partkey % 50) END AS dst_ip,
+    l_returnflag = 'R' AS ingress, l_linenumber % 2 + 1 AS kind, epoch_us(l_shipdate) AS t, l_orderkey * 10 + l_linenumber AS s, 5 + 1 + CAST(l_quantity * 60 AS BIGINT) AS n, (l_orderkey % 11 + 5) * 4 + (l_linenumber % 11 + 5) * 4 AS head, l_orderkey % 11 + 5 AS ihl, l_linenumber % 11 + 5 AS off FROM lineitem),
+k AS (SELECT CASE WHEN ingress THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN ingress THEN src_ip ELSE dst_ip END AS dst_ip, kind, t, s, n, head FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, kind ORDER BY t, s, n) AS r FROM k)
+SELECT src_ip, dst_ip, CAST(kind AS INTEGER) AS kind, least(n, 1024) AS n, head FROM r WHERE r = 1""")
+def captured_hellos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole packets: headers of several lengths before the payload, both directions under one key, 1024 bytes of a hello at most."""
+    i = demo.read(spark, sf_dir, "lineitem")
+    back = F.col("l_returnflag") == "R"
+    a, b = F.concat(F.lit("a"), F.col("l_suppkey") % 50), F.concat(F.lit("b"), F.col("l_partkey") % 50)
+    ihl, off = (F.col("l_orderkey") % 11 + 5).cast("int"), (F.col("l_linenumber") % 11 + 5).cast("int")
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    payload = F.concat(F.unhex(F.lit("1603010010")), byte(F.col("l_linenumber") % 2 + 1), F.encode(F.repeat(F.lit("x"), (F.col("l_quantity") * 60).cast("int")), "utf-8"))
+    head = F.concat(byte(ihl + 64), F.encode(F.repeat(F.lit("i"), ihl * 4 - 1), "utf-8"), F.encode(F.repeat(F.lit("t"), F.lit(12)), "utf-8"), byte(off * 16), F.encode(F.repeat(F.lit("t"), off * 4 - 13), "utf-8"))
+    raw = i.select(F.when(back, b).otherwise(a).alias("src_ip"), F.when(back, a).otherwise(b).alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(1).alias("dst_port"), back.alias("ingress"), demo.micros("l_shipdate").alias("ts_ns"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("s"), "l_quantity").alias("seq"), F.concat(head, payload).alias("packet"))
+    first = lambda at: F.conv(F.hex(F.substring("packet", at, 1)), 16, 10).cast("int")
+    at_tcp = first(1).bitwiseAND(F.lit(15)) * 4
+    offset = tls_functions.payload_offset(first(1), F.conv(F.hex(F.substring("packet", at_tcp + 13, F.lit(1))), 16, 10).cast("int"))
+    rows = raw.withColumn("head", offset).withColumn("payload", F.expr("substring(packet, head + 1)"))
+    keyed = packets.both_ways_key(rows, F.col("ingress")).withColumn("ports", F.lit(0))
+    hellos = packets.first_hellos(keyed, ["src_ip", "dst_ip"])
+    return hellos.select("src_ip", "dst_ip", "kind", F.octet_length("payload").cast("long").alias("n"), F.col("head").cast("long").alias("head"))
+
+
+@query("""SELECT p_partkey, 'parsed' AS status, 't13d' || CASE p_partkey % 3 WHEN 0 THEN '98' ELSE '99' END || '99' || 'h2' AS counts FROM part""")
+def tls_counts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hellos with 98, 99 and 120 ciphers and over a hundred extensions: two digits name a count, 99 at most."""
+    extensions = [*_X, *range(0x2000, 0x2000 + 110)]
+    hellos = [client_hello_bytes("Example.com", list(range(0x1301, 0x1301 + n)), extensions, "h2", [0x0304], _G) for n in (98, 99, 120)]
+    k = F.col("p_partkey") % 3
+    payload = F.when(k == 0, F.lit(bytearray(hellos[0]))).when(k == 1, F.lit(bytearray(hellos[1]))).otherwise(F.lit(bytearray(hellos[2])))
+    d = demo.read(spark, sf_dir, "part").select("p_partkey", tls_functions.client_hello(payload).alias("h"))
+    return d.select("p_partkey", "h.status", F.substring("h.fingerprint", 1, 10).alias("counts"))
