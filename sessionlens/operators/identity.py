@@ -7,11 +7,14 @@ of time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.text import first_non_empty
+from ..storage import stored
 from . import dims, history
 
 FIELDS = ["namespace", "pod_name", "pod_uid", "node", "container_name", "container_id", "workload_kind", "workload_name", "workload_uid", "replicaset", "pod_template_hash", "service_account", "revision", "image_digest"]
@@ -53,13 +56,32 @@ def few_generations(pods: DataFrame, limit: int = GENERATIONS) -> bool:
     return (most or 0) <= limit
 
 
-def by_address(sessions: DataFrame, ip: str, pods: DataFrame, known: DataFrame, prefix: str, few: bool) -> DataFrame:
+@dataclass
+class Pods:
+    """What both sides of a flow need of the pods: identities of the latest versions, intervals of their addresses, and their sizes."""
+
+    known: DataFrame
+    held: DataFrame
+    fits: bool
+    few: bool
+
+
+def prepared(pods: DataFrame, workloads: DataFrame, keep: bool = False) -> Pods:
+    """keep: identities and intervals are stored, as several lookups read them."""
+    known, held = pod_identities(dims.latest(pods, "uid"), workloads), history.address_history(pods)
+    if keep:
+        known, held = stored(known, "pods"), stored(held, "addresses")
+    yes = fits(pods)
+    return Pods(known, held, yes, yes and few_generations(pods))
+
+
+def by_address(sessions: DataFrame, ip: str, pods: Pods, prefix: str, few: bool) -> DataFrame:
     """sessions with the pod that had the address when the flow started (null: none): prefix + ident, created_at, deleted_at, host_network, early.
 
     A pod that came later answers too, as early, if it was there when the flow ended (where the sessions have an end_ns).
     """
     names = ("ident", "created_at", "deleted_at", "host_network", "early")
-    held = history.address_history(pods).join(small(known.drop("ip", "version"), few), "uid")
+    held = pods.held.join(small(pods.known.drop("ip", "version"), few), "uid")
     held = held.select(F.col("ip").alias(ip), "since_ns", "until_ns", *[F.col(c).alias(f"{prefix}{c}") for c in names])
     if few:
         h = F.broadcast(held.withColumnRenamed(ip, "__ip"))
@@ -79,14 +101,14 @@ def confidence(found: Column, start_ns: Column, created: Column, deleted: Column
     return F.when(found, F.when(early | ending, "low").otherwise("high"))
 
 
-def resolve_sources(sessions: DataFrame, pods: DataFrame, workloads: DataFrame, cgroups: DataFrame, host_netns: int = 0) -> DataFrame:
+def resolve_sources(sessions: DataFrame, pods: DataFrame | Pods, workloads: DataFrame, cgroups: DataFrame, host_netns: int = 0) -> DataFrame:
     """Adds src (struct of FIELDS), src_confidence, src_method, src_external: cgroup, pod address, external, unknown."""
-    known = pod_identities(dims.latest(pods, "uid"), workloads)
-    live = known.where("deleted_at IS NULL")
+    own = pods if isinstance(pods, Pods) else prepared(pods, workloads)
+    live = own.known.where("deleted_at IS NULL")
     by_cgroup = dims.cgroup_pods(cgroups).withColumnRenamed("container_id", "cg_container")
     one = by_cgroup.join(live.withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
-    yes = fits(pods, cgroups)
-    j = by_address(sessions.join(small(one, yes), "cgroup_id", "left"), "src_ip", pods, known, "i_", yes and few_generations(pods))
+    yes = own.fits and fits(cgroups)
+    j = by_address(sessions.join(small(one, yes), "cgroup_id", "left"), "src_ip", own, "i_", yes and own.few)
     by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), F.col("i_ident").isNotNull()
     name = first_non_empty(dims.container_name(F.col("c_containers"), F.col("c_container_name"), F.col("cg_container")), F.col("c_container_name"))
     cident = F.col("c_ident").withField("container_name", name).withField("container_id", first_non_empty(F.col("cg_container"), F.col("c_ident.container_id")))
@@ -104,22 +126,22 @@ def resolve_sources(sessions: DataFrame, pods: DataFrame, workloads: DataFrame,
     return out.select(*sessions.columns, "src", "src_confidence", "src_method", "src_external", "src_cgroup_id")
 
 
-def resolve_destinations(sessions: DataFrame, pods: DataFrame, workloads: DataFrame, services: DataFrame, slices: DataFrame) -> DataFrame:
+def resolve_destinations(sessions: DataFrame, pods: DataFrame | Pods, workloads: DataFrame, services: DataFrame, slices: DataFrame) -> DataFrame:
     """Adds dst, dst_confidence, dst_method, dst_external, dst_service (struct): pod, service, endpoint, external, unknown.
 
     A pod's flow also gets the service whose endpoint it is.
     """
     ports = dims.service_ports(services)
     alias = dims.first_alias(dims.endpoint_aliases(slices, ports))
-    known = pod_identities(dims.latest(pods, "uid"), workloads)
+    own = pods if isinstance(pods, Pods) else prepared(pods, workloads)
     service = lambda p: F.struct(F.col("name").alias("name"), F.col("uid").alias("uid"), "namespace", "port_name", "app_protocol").alias(p)
     direct = ports.withColumn("s", service("s")).groupBy(F.col("cluster_ip").alias("dst_ip"), F.col("port").alias("dst_port")).agg(F.min_by("s", "uid").alias("s_service"))
     backed = alias.withColumnRenamed("service_name", "name").withColumnRenamed("service_uid", "uid").withColumn("e", service("e"))
-    live = known.where("deleted_at IS NULL").select(F.col("uid").alias("target_pod_uid"), F.col("ident").alias("e_ident"), F.col("created_at").alias("e_created"), F.col("deleted_at").alias("e_deleted"))
+    live = own.known.where("deleted_at IS NULL").select(F.col("uid").alias("target_pod_uid"), F.col("ident").alias("e_ident"), F.col("created_at").alias("e_created"), F.col("deleted_at").alias("e_deleted"))
     backed = backed.select(F.col("backend_ip").alias("dst_ip"), F.col("backend_port").alias("dst_port"), "target_pod_uid", F.col("e").alias("e_service"), "alias_seq", "slice_uid").join(live, "target_pod_uid", "left")
     backed = backed.groupBy("dst_ip", "dst_port").agg(F.min_by(F.struct("e_service", "e_ident", "e_created", "e_deleted"), F.struct("alias_seq", "slice_uid")).alias("b")).select("dst_ip", "dst_port", "b.*")
-    yes = fits(pods, ports, slices.select(F.explode("endpoints")))
-    j = by_address(sessions, "dst_ip", pods, known, "p_", yes and few_generations(pods)).join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
+    yes = own.fits and fits(ports, slices.select(F.explode("endpoints")))
+    j = by_address(sessions, "dst_ip", own, "p_", yes and own.few).join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
     p, s, e = F.col("p_ident").isNotNull(), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
     external = ~p & ~s & ~e & net.is_external(F.col("dst_ip"))
     none = F.struct(*[F.lit("").alias(c) for c in ("name", "uid", "namespace", "port_name", "app_protocol")])
@@ -139,7 +161,8 @@ def mapping_method(src: Column, dst: Column) -> Column:
 
 def resolve(sessions: DataFrame, tables: dict[str, DataFrame], host_netns: int = 0) -> DataFrame:
     """Both sides, mapping_method and pod_restart_window. tables: pods, workloads, cgroups, services, endpoint_slices."""
-    one = resolve_sources(sessions, tables["pods"], tables["workloads"], tables["cgroups"], host_netns)
-    two = resolve_destinations(one, tables["pods"], tables["workloads"], tables["services"], tables["endpoint_slices"])
+    pods = prepared(tables["pods"], tables["workloads"], keep=True)
+    one = resolve_sources(sessions, pods, tables["workloads"], tables["cgroups"], host_netns)
+    two = resolve_destinations(one, pods, tables["workloads"], tables["services"], tables["endpoint_slices"])
     restart = (F.col("src_confidence") == "low") | (F.col("dst_confidence") == "low")
     return two.withColumns({"mapping_method": mapping_method(F.col("src_method"), F.col("dst_method")), "pod_restart_window": restart})
