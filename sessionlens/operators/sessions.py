@@ -67,13 +67,27 @@ def _histogram(column: str, label: str) -> Column:
     return F.coalesce(F.try_element_at(F.col(column), F.lit(label)), F.lit(0))
 
 
+def _other_labels(histogram: Column, labels: list[str]) -> Column:
+    """The labels of a histogram that are none of the buckets'; null where there are none."""
+    other = F.map_filter(histogram, lambda k, v: ~k.isin(labels))
+    return F.when(F.size(other) > 0, other)
+
+
+def _added(maps: Column) -> Column:
+    """Sums of a list of maps by label."""
+    zero = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    plus = lambda k, a, b: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(b, F.lit(0).cast("long"))
+    return F.aggregate(maps, zero, lambda acc, m: F.map_zip_with(acc, m, plus))
+
+
 def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["long_lived_ns"], flush_ns: int | None = None, closing: bool = True, keys: list[str] | None = None, counter_mode: str = "event") -> DataFrame:
     """One row per group of by: lifecycle, counters, features, last TLS values.
 
     rows: number_sessions() rows that matched. closing: the group ends by CLOSE, else (still open) at flush_ns with reason
     timeout; without closing (window summaries) it ends at its last flow event, without a reason.
     Raw samples are spread into narrow rows, so percentiles and counts are aggregated in part before the groups meet.
-    counter_mode "event" sums the counters of all events; "cumulative" takes their maximum.
+    counter_mode "event" sums the counters of all events; "cumulative" takes their maximum. Labels of reported size histograms that
+    are no buckets are kept in the session's histogram, and count in no estimate.
     """
     keys = keys or KEY
     sample = "struct<kind:int,v:bigint>"
@@ -119,6 +133,7 @@ def summarise(rows: DataFrame, by: list[str], long_lived_ns: int = DEFAULTS["lon
         F.array(*[F.coalesce(total(F.when(own, _histogram("iat_histogram", b))), F.lit(0)) for b in IAT_BUCKETS]).alias("__reported_iats"),
         F.array(*[F.count_if(size_bucket == k) for k in range(7)]).alias("__raw_sizes"),
         F.array(*[F.count_if(iat_bucket == k) for k in range(6)]).alias("__raw_iats"),
+        _added(F.collect_list(F.when(own, _other_labels(F.col("packet_size_histogram"), PACKET_BUCKETS)))).alias("__other_sizes"),
         F.least(F.min(size), F.min(F.when(own, F.col("pkt_size_min")))).alias("pkt_size_min"),
         F.greatest(F.max(size), F.max(F.when(own, F.col("pkt_size_max")))).alias("pkt_size_max"),
         F.avg(size).alias("__mean"), F.percentile(size, F.lit(0.5)).alias("__p50"), F.percentile(size, F.lit(0.95)).alias("__p95"),
@@ -157,7 +172,7 @@ def finished(g: DataFrame, long_lived_ns: int, flush_ns: int | Column | None, cl
         "byte_rate": stats.rate(bytes_total, duration), "packet_rate": stats.rate(packets_total, duration),
         "pkt_size_mean": sized(stats.histogram_mean(sizes, PACKET_BOUNDS), "__mean"),
         "pkt_size_p50": sized(stats.histogram_percentile(sizes, PACKET_BOUNDS, 0.5), "__p50"), "pkt_size_p95": sized(stats.histogram_percentile(sizes, PACKET_BOUNDS, 0.95), "__p95"),
-        "pkt_size_histogram": stats.as_map(sizes, PACKET_BUCKETS),
+        "pkt_size_histogram": F.map_concat(stats.as_map(sizes, PACKET_BUCKETS), F.col("__other_sizes")) if "__other_sizes" in g.columns else stats.as_map(sizes, PACKET_BUCKETS),
         "iat_p50": timed(0.5, "__i50"), "iat_p95": timed(0.95, "__i95"), "iat_std": F.when(~some("iats"), F.col("__istd")),
         "idle_gap_count": F.col("idle_gap_count") + F.col("__idle"), "burst_count": F.col("burst_count") + F.col("__burst"),
         "is_long_lived": duration >= (long_lived_ns if long_lived_ns > 0 else DEFAULTS["long_lived_ns"]),
@@ -280,10 +295,15 @@ def with_nat_aliases(events: DataFrame, aliases: DataFrame) -> DataFrame:
     first = aliases.groupBy("backend_ip", "backend_port", of).agg(F.min_by(F.struct("cluster_ip", "service_port"), "alias_seq").alias("a"))
     own = number_sessions(events)
     lost = (F.col("event_type") == "TLS_HANDSHAKE") & ~F.col("matched") & F.col("server_hello_seen")
-    same = (F.col("dst_ip") == F.col("backend_ip")) & (F.col("dst_port") == F.col("backend_port")) & (net.protocol_or_tcp(own["protocol"]) == F.col("__protocol"))
-    tried = own.join(first, same, "left")
-    moved = lost & F.col("a").isNotNull()
-    out = tried.withColumns({"dst_ip": F.when(moved, F.col("a.cluster_ip")).otherwise(F.col("dst_ip")), "dst_port": F.when(moved, F.col("a.service_port")).otherwise(F.col("dst_port")), "__moved": moved, "__lost": lost})
-    again = number_sessions(out.drop("session_no", "matched", "a", "backend_ip", "backend_port", "__protocol"))
-    hit = F.when(F.col("__moved") & F.col("matched"), "hit").when(F.col("__lost"), "miss")
-    return again.withColumn("alias", hit).drop("__moved", "__lost")
+    same = (F.col("dst_ip") == F.col("backend_ip")) & (F.col("dst_port") == F.col("backend_port")) & (net.protocol_or_tcp(F.col("l.protocol")) == F.col("__protocol"))
+    hellos = own.where(lost).alias("l").join(first, same, "left").select("l.*", "a")
+    moved = hellos.where("a IS NOT NULL").withColumns({"dst_ip": F.col("a.cluster_ip"), "dst_port": F.col("a.service_port")}).drop("a")
+    # hellos change no session's number, so only the keys that get some are numbered again
+    keys = moved.select(*KEY).distinct().withColumn("__again", F.lit(True))
+    rest = own.where(~lost).join(keys, KEY, "left")
+    again = number_sessions(rest.where("__again").drop("__again", "session_no", "matched").unionByName(moved.drop("session_no", "matched").withColumn("__moved", F.lit(True)), allowMissingColumns=True))
+    hit = F.when(F.col("__moved"), F.when(F.col("matched"), "hit").otherwise("miss"))
+    out = again.withColumn("alias", hit).drop("__moved")
+    none = F.lit(None).cast("string")
+    out = out.unionByName(rest.where("__again IS NULL").drop("__again").withColumn("alias", none))
+    return out.unionByName(hellos.where("a IS NULL").drop("a").withColumn("alias", F.lit("miss")))

@@ -87,6 +87,16 @@ def with_histograms(events: DataFrame) -> DataFrame:
     return out.withColumns({"packet_sizes": F.array().cast("array<bigint>"), "iat_us": F.array().cast("array<bigint>")})
 
 
+@query(f"""WITH {FLOW} SELECT src_port, session_no, count(*) FILTER (size > 900) AS jumbo, count(*) FILTER (size BETWEEN 512 AND 900) AS "512-1023", CAST(7 + max(CASE WHEN size > 900 THEN 1 ELSE 0 END) AS INTEGER) AS n_labels FROM n GROUP BY ALL""")
+def histogram_other_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported histograms with a label that is no bucket: it is kept beside the seven."""
+    e = with_histograms(demo.flow_events(spark, sf_dir))
+    jumbo = F.col("pkt_size_max") > 900
+    e = e.withColumn("packet_size_histogram", F.when(jumbo, F.create_map(F.lit("jumbo"), F.lit(1).cast("long"))).otherwise(F.col("packet_size_histogram")))
+    h = lambda k: F.coalesce(F.try_element_at("pkt_size_histogram", F.lit(k)), F.lit(0))
+    return ops.sessions(e).select("src_port", "session_no", h("jumbo").alias("jumbo"), h("512-1023").alias("512-1023"), F.size("pkt_size_histogram").alias("n_labels"))
+
+
 def _ladder(prefix: str, bounds: list[tuple[int, int]], p: float) -> str:
     n = len(bounds)
     total = "(" + "+".join(f"{prefix}{k}" for k in range(n)) + ")"

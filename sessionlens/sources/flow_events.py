@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions.net import dotted_little_endian, protocol_or_tcp
 from ..functions.stats import counts_to_map
@@ -113,35 +109,30 @@ def kernel_rows(rows: DataFrame) -> DataFrame:
 _RECORD = [("timestamp_ns", 8), ("cgroup_id", 8), ("netns_ino", 8), ("code", 4), ("src_addr", 4), ("dst_addr", 4), ("src_port", 2), ("dst_port", 2), ("length", 4)]
 
 
-CAPTURE = T.StructType([*[T.StructField(c, T.LongType()) for c in ("timestamp_ns", "cgroup_id", "netns_ino", "direction", "src_addr", "dst_addr", "src_port", "dst_port")], T.StructField("payload", T.BinaryType())])
+MOST_PAYLOAD = 1024
 
 
-@pandas_udf(CAPTURE)
-def decode_capture(records: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Little-endian capture records: fixed fields, then up to 1024 payload bytes of which length counts. Short records give nulls."""
-    head = sum(n for _, n in _RECORD)
-    for batch in records:
-        rows = []
-        for raw in batch:
-            raw = bytes(raw) if raw is not None else b""
-            if len(raw) < head:
-                rows.append([None] * 9)
-                continue
-            at, row = 0, []
-            for _, n in _RECORD:
-                row.append(int.from_bytes(raw[at : at + n], "little"))
-                at += n
-            rows.append([*row[:8], raw[head : head + min(row[8], 1024)]])
-        yield pd.DataFrame(rows, columns=["timestamp_ns", "cgroup_id", "netns_ino", "direction", "src_addr", "dst_addr", "src_port", "dst_port", "payload"])
+def little_endian(record: Column, at: int, size: int) -> Column:
+    """The integer of so many bytes from place at (0 the first); eight bytes over 2 ** 63 come as a negative one."""
+    digits = F.regexp_replace(F.reverse(F.hex(F.substring(record, at + 1, size))), "(.)(.)", "$2$1")
+    return F.conv(digits, 16, -10 if size == 8 else 10).cast("long")
 
 
 def captures(rows: DataFrame, record: str = "record") -> DataFrame:
-    """Binary TLS captures as TLS_HANDSHAKE events; normalise() parses them. Direction 2 is the server's."""
-    d = rows.withColumn("__d", decode_capture(record)).where(F.col("__d.payload").isNotNull())
+    """Binary TLS captures as TLS_HANDSHAKE events; normalise() parses them. Direction 2 is the server's.
+
+    Little-endian records: fixed fields, then up to 1024 payload bytes of which length counts. Null and short records go.
+    """
+    head, places, at = sum(n for _, n in _RECORD), {}, 0
+    for name, n in _RECORD:
+        places[name], at = (at, n), at + n
+    field = {name: little_endian(F.col(record), *place) for name, place in places.items()}
+    payload = F.expr(f"substring(`{record}`, {head + 1}, cast(least(__length, {MOST_PAYLOAD}) as int))")
+    d = rows.where(F.octet_length(record) >= head).withColumn("__length", field["length"])
     return d.select(
-        "__d.timestamp_ns", "__d.cgroup_id", "__d.netns_ino", *[F.col(f"__d.{c}").cast("int").alias(c) for c in ("direction", "src_port", "dst_port")],
-        dotted_little_endian(F.col("__d.src_addr")).alias("src_ip"), dotted_little_endian(F.col("__d.dst_addr")).alias("dst_ip"),
-        F.lit("TLS_HANDSHAKE").alias("event_type"), F.hex("__d.payload").alias("tls_payload_hex"),
+        *[field[c].alias(c) for c in ("timestamp_ns", "cgroup_id", "netns_ino")], field["code"].cast("int").alias("direction"), *[field[c].cast("int").alias(c) for c in ("src_port", "dst_port")],
+        dotted_little_endian(field["src_addr"]).alias("src_ip"), dotted_little_endian(field["dst_addr"]).alias("dst_ip"),
+        F.lit("TLS_HANDSHAKE").alias("event_type"), F.hex(payload).alias("tls_payload_hex"),
     )
 
 

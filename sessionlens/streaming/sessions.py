@@ -45,7 +45,7 @@ OUTPUT = _struct(
     {f.name: f.dataType for f in FLOW_EVENT.fields if f.name in KEY}
     | {"record_type": _S, "window_id": _L, "flush_ns": _L, "start_ns": _L, "last_ns": _L, "event_count": _L, "closed": T.IntegerType(), "raw_reason": _S, "tcp_state": _S, "rtt_estimate_us": _L}
     | FIRST | dict.fromkeys((*MAXED, *SUMMED), _L) | dict.fromkeys((*FLAGS, "handshake_seen", "server_hello_seen"), _B) | dict.fromkeys((*TLS_CLIENT, *TLS_SERVER), _S)
-    | {"pkt_size_min": _L, "pkt_size_max": _L, "__reported_sizes": _LIST, "__reported_iats": _LIST, "__raw_sizes": _LIST, "__raw_iats": _LIST}
+    | {"pkt_size_min": _L, "pkt_size_max": _L, "__reported_sizes": _LIST, "__reported_iats": _LIST, "__raw_sizes": _LIST, "__raw_iats": _LIST, "__other_sizes": T.MapType(_S, _L)}
     | dict.fromkeys(("__mean", "__p50", "__p95", "__i50", "__i95", "__istd"), _D) | {"__idle": _L, "__burst": _L}
 )
 #: An open session: the record's values so far and what only the fold needs. Samples: number, sum, sum of squares.
@@ -54,7 +54,7 @@ HEAD = _struct(
     | {"gate_ns": _L, "windows": _L, "touched_ns": _L, "timer_ms": _L, "size_n": _L, "size_sum": _L, "gap_n": _L, "gap_sum": _L, "gap_squares": T.DecimalType(38, 0)}
 )
 RANGE = _struct({"kind": _S, "range": T.IntegerType()})
-EVENT = [*KEY, "timestamp_ns", "seq", "event_type", *MAXED.values(), "packet_sizes", "iat_us", "sizes", "iats", "pkt_size_min", "pkt_size_max", *SUMMED, "rtt_estimate_us", "tcp_state", "close_reason", *FIRST, *FLAGS, "handshake_seen", "server_hello_seen", *TLS_CLIENT, *TLS_SERVER]
+EVENT = [*KEY, "timestamp_ns", "seq", "event_type", *MAXED.values(), "packet_sizes", "iat_us", "sizes", "iats", "packet_size_histogram", "pkt_size_min", "pkt_size_max", *SUMMED, "rtt_estimate_us", "tcp_state", "close_reason", *FIRST, *FLAGS, "handshake_seen", "server_hello_seen", *TLS_CLIENT, *TLS_SERVER]
 
 
 def value_range(v: int) -> int:
@@ -131,7 +131,7 @@ class Samples:
 def opened(ns: int, row: Row) -> dict:
     s = dict.fromkeys(HEAD.names)
     s |= dict.fromkeys((*MAXED, *SUMMED, "event_count", "windows", "size_n", "size_sum", "gap_n", "gap_sum", "__idle", "__burst", "closed"), 0) | dict.fromkeys((*FLAGS, "handshake_seen", "server_hello_seen"), False)
-    s |= {"start_ns": ns, "last_ns": ns, "gate_ns": ns, "touched_ns": ns, "gap_squares": 0, "__reported_sizes": [0] * 7, "__raw_sizes": [0] * 7, "__reported_iats": [0] * 6, "__raw_iats": [0] * 6}
+    s |= {"start_ns": ns, "last_ns": ns, "gate_ns": ns, "touched_ns": ns, "gap_squares": 0, "__reported_sizes": [0] * 7, "__raw_sizes": [0] * 7, "__reported_iats": [0] * 6, "__raw_iats": [0] * 6, "__other_sizes": {}}
     return s | {c: row[c] for c in FIRST}
 
 
@@ -153,6 +153,9 @@ def add_event(s: dict, row: Row, samples: Samples) -> None:
         s[c] = s[c] or row[c]
     for c, reported in (("__reported_sizes", row["sizes"]), ("__reported_iats", row["iats"])):
         s[c] = [a + b for a, b in zip(s[c], reported, strict=True)]
+    for k, n in dict(row["packet_size_histogram"] or {}).items():  # pairs, as Arrow has maps
+        if k not in PACKET_BUCKETS:
+            s["__other_sizes"][k] = s["__other_sizes"].get(k, 0) + n
     low = [v for v in (s["pkt_size_min"], row["pkt_size_min"], *row["packet_sizes"]) if v is not None]
     high = [v for v in (s["pkt_size_max"], row["pkt_size_max"], *row["packet_sizes"]) if v is not None]
     s["pkt_size_min"], s["pkt_size_max"] = min(low, default=None), max(high, default=None)
@@ -197,11 +200,14 @@ class SessionProcessor(StatefulProcessor):
         made |= {"__istd": math.sqrt(n * int(s["gap_squares"]) - total * total) / n if n else None}
         made |= {name: samples.percentile(of, s[f"{of}_n"], p) for name, of, p in (("__p50", "size", 0.5), ("__p95", "size", 0.95), ("__i50", "gap", 0.5), ("__i95", "gap", 0.95))}
         held = {c: list(v) if isinstance(v, list) else v for c, v in s.items()}  # the fold goes on with its lists
+        held["__other_sizes"] = dict(s["__other_sizes"] or {}) if kind == "session_summary" else {}
         return Row(**{c: made[c] if c in made else held[c] for c in OUTPUT.names})
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.head.get() if self.head.exists() else None
         s = dict(zip(HEAD.names, held, strict=True)) if held is not None else None
+        if s is not None:
+            s["__other_sizes"] = dict(s["__other_sizes"] or {})
         timer, samples, out = s["timer_ms"] if s else None, Samples(self.counts, self.values), []
         for row in sorted(rows, key=lambda r: (r["timestamp_ns"], r["seq"])):
             kind = row["event_type"]

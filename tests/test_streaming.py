@@ -74,6 +74,20 @@ def test_state_across_batches_ties_and_timeouts(spark, tmp_path):
     assert [(r.end_ns, r.duration_ms, r.event_count, r.close_reason) for r in last] == [(550 * G, 50_000, 2, "timeout")]
 
 
+def test_reported_histograms_and_their_other_labels(spark, tmp_path):
+    """Estimates come from reported buckets; a label that is none is kept, over micro-batches as in batch."""
+    folder = str(tmp_path)
+    base = events(spark, [(1, 10, 1, "CONNECT", [], []), (2, 11, 1, "STATS", [], []), (3, 12, 1, "CLOSE", [], [])])
+    labelled = base.withColumn("packet_size_histogram", F.create_map(F.lit("64-127"), F.col("seq"), F.lit("jumbo"), F.lit(2).cast("long")))
+    for k in (1, 2, 3):
+        labelled.where(F.col("seq") == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = run(spark, folder, labelled.schema, watermark="1 hour", session_timeout_ns=3600 * G)
+    batch = sessions.sessions(labelled).drop("session_no")
+    assert spark_rows(comparable(out.select(*batch.columns))) == spark_rows(comparable(batch))
+    h = batch.first().pkt_size_histogram
+    assert (h["64-127"], h["jumbo"], len(h)) == (6, 6, 8)
+
+
 def test_late_rows_go_to_a_side_table(spark, tmp_path):
     folder = str(tmp_path)
     for rows in ([(1, 100, 1, "CONNECT", [], []), (2, 20, 2, "CONNECT", [], [])], [(3, 95, 1, "STATS", [], []), (4, 80, 2, "STATS", [], []), (5, 300, 1, "CLOSE", [], [])], [(6, 289, 2, "CLOSE", [], []), (7, 291, 2, "CLOSE", [], [])]):
