@@ -214,6 +214,7 @@ def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "token_ids", i
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's whole text encoded and decoded again; null counts as empty."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -299,6 +299,7 @@ def remove_spans(text, spans):
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that occur in it and how many words they hit."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = find_occurrences(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
     names = F.array_join(F.sort_array(F.transform("item_ids", lambda x: x.cast("string"))), ",")

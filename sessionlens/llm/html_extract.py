@@ -390,4 +390,5 @@ def extract_pages(pages: DataFrame, model: Crf, page_id: str = "page_id", url: s
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page, from its whole html; null counts as empty."""
     return extract_pages(table(spark, sf_dir, "pages"), trained())

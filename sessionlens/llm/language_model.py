@@ -376,6 +376,7 @@ def spelling_of(blocks: DataFrame, counts: list[DataFrame]) -> Spelling:
 
 
 def op7_language_model(spark, sf_dir: str) -> DataFrame:
+    """Every document's whole text scored by the model and by the base; held-out rows are not learnt from."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held"), text_or_empty().alias("body"))
     return score_documents(docs)

@@ -314,4 +314,5 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Dat
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Every document with its class and links at five words and 0.8."""
     return similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text"))

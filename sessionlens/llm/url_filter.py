@@ -117,6 +117,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = 0.85, thres
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by what the link graph says of its host."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
