@@ -106,6 +106,20 @@ def cgroup_pods(cgroups: DataFrame) -> DataFrame:
     return cgroups.select("cgroup_id", pod_uid_from_cgroup(path).alias("pod_uid"), container_id_from_cgroup(path).alias("container_id")).where("pod_uid <> ''").dropDuplicates(["cgroup_id"])
 
 
+def scan_changes(before: DataFrame, after: DataFrame, key: str = "cgroup_id") -> DataFrame:
+    """What two scans of a dimension differ in: key, change (added, removed, changed) and the later scan's row (of removed ones the earlier).
+
+    Rows of one key count once; without an earlier scan all are added. A scan that failed is no scan: don't pass it.
+    """
+    names = [c for c in after.columns if c != key]
+    row = F.struct(*names)
+    one = before.dropDuplicates([key]).select(key, row.alias("b"))
+    two = after.dropDuplicates([key]).select(key, row.alias("a"))
+    j = one.join(two, key, "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("changed")
+    return j.select(key, change.alias("change"), F.coalesce("a", "b").alias("r")).select(key, "change", "r.*")
+
+
 def container_name(containers: Column, primary: Column, container_id: Column) -> Column:
     """The name of a container of a pod by its id, schemes aside; an empty id means the primary one."""
     wanted = strip_scheme(container_id)

@@ -852,3 +852,14 @@ def tls_counts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(k == 0, F.lit(bytearray(hellos[0]))).when(k == 1, F.lit(bytearray(hellos[1]))).otherwise(F.lit(bytearray(hellos[2])))
     d = demo.read(spark, sf_dir, "part").select("p_partkey", tls_functions.client_hello(payload).alias("h"))
     return d.select("p_partkey", "h.status", F.substring("h.fingerprint", 1, 10).alias("counts"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS cgroup_id, CASE WHEN k % 3 = 0 THEN 'added' WHEN k % 4 = 0 THEN 'removed' ELSE 'changed' END AS change, CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN '/moved/' || k ELSE '/old/' || k END AS path
+FROM c WHERE (k % 3 = 0 AND k % 4 <> 0) OR (k % 3 <> 0 AND (k % 4 = 0 OR k % 5 = 0))""")
+def cgroup_scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of the cgroup tree: some appear, some go, some move."""
+    k = F.col("c_custkey")
+    c = demo.read(spark, sf_dir, "customer").select(k.alias("cgroup_id"), F.concat(F.lit("/old/"), k).alias("path"))
+    moved = F.when(F.col("cgroup_id") % 5 == 0, F.concat(F.lit("/moved/"), "cgroup_id")).otherwise(F.col("path"))
+    return dims.scan_changes(c.where("cgroup_id % 3 <> 0"), c.where("cgroup_id % 4 <> 0").withColumn("path", moved))

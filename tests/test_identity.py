@@ -80,6 +80,15 @@ def test_empty_tables_and_large_ones_join_alike(spark, tables, monkeypatch):
     assert resolved(spark, tables, flow)[1] == small
 
 
+def test_scans_differ(spark):
+    schema = "cgroup_id long, path string, note string"
+    before = spark.createDataFrame([(1, "/a", None), (2, "/b", "x"), (3, "/c", None), (3, "/c", None)], schema)
+    after = spark.createDataFrame([(1, "/a", None), (2, "/b", None), (4, "/d", "y")], schema)
+    got = sorted((r.cgroup_id, r.change, r.path, r.note) for r in dims.scan_changes(before, after).collect())
+    assert got == [(2, "changed", "/b", None), (3, "removed", "/c", None), (4, "added", "/d", "y")]
+    assert dims.scan_changes(before.limit(0), after).where("change = 'added'").count() == 3 and dims.scan_changes(after, after).count() == 0
+
+
 def test_constants():
     assert agent_id("", "n", "h") == "n/h" and agent_id("a", "n", "h") == "a" and agent_id("", "n", "n") == "n" and agent_id("", "", "h") == "h" and agent_id("", "n") == "n"
     assert hook_source("x") == "unknown" and hook_source("mock") == "mock" and hook_source("ebpf") == "tracepoint:sock:inet_sock_set_state"
