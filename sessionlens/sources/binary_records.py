@@ -13,6 +13,7 @@ Defined results: a file shorter than a record has none; integers too large for a
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
@@ -225,5 +227,6 @@ class FlowRecords(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session."""
+    """Makes the format known to the session. Its classes travel by value, so workers need nothing of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FlowRecords)
