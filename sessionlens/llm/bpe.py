@@ -18,6 +18,7 @@ import base64
 import gc
 import hashlib
 import heapq
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, giving_back, table, text_or_empty
 
 BLOCK_CHARS = 4_000_000
 CACHE_WORDS = 120_000
@@ -69,7 +70,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
     first, rank_of = first[order], rank_of[order]
     cuts = np.flatnonzero(np.diff(rank_of)) + 1
     index: dict[int, list[int]] = {int(rank_of[a]): first[a:b].tolist() for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(first)]]), strict=True)} if len(first) else {}
-    left, right = left.tolist(), right.tolist()
+    left, right = array("i", left.astype(np.int32).tobytes()), array("i", right.astype(np.int32).tobytes())
     queue = list(index)
     heapq.heapify(queue)
     push, pop = heapq.heappush, heapq.heappop
@@ -114,6 +115,14 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
 _BYTES = [bytes([b]) for b in range(256)]
 
 
+class Numbers(dict):
+    """Numbers words in the order they are first asked for, so that a text needs a small number for each of its words, not a string."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes blocks of texts; holds the ranks and a bounded cache of words."""
 
@@ -124,10 +133,9 @@ class Encoder:
         self.old: dict[str, tuple[int, ...]] = {}
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.find(t) for t in texts]
-        words = set()
-        for ws in cut:
-            words.update(ws)
+        words = Numbers()
+        number = words.__getitem__
+        cut = [array("i", map(number, self.find(t))) for t in texts]
         young = self.cache
         if len(young) > CACHE_WORDS:  # what the last blocks didn't use is forgotten
             self.old, self.cache = young, {}
@@ -143,7 +151,7 @@ class Encoder:
         for k in range(0, len(fresh), REPLAY_WORDS):
             part = fresh[k : k + REPLAY_WORDS]
             young.update(zip(part, replay([w.encode() for w in part], self.ranks, self.vocabulary), strict=True))
-        get = young.__getitem__
+        get = list(map(young.__getitem__, words)).__getitem__
         return [list(chain.from_iterable(map(get, ws))) for ws in cut]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -192,7 +200,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             yield from finish()
         gc.enable()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "token_ids", into: str = "text") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,19 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def giving_back(run: Callable) -> Callable:
+    """run for mapInArrow; after it, what it has freed goes back to the system. Workers live on and would hold it through later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, columns: list[str], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts have about so many bytes; a longer text is a part of its own."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)

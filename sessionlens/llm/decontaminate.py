@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, table, text_or_empty
+from .common import bounded_batches, giving_back, slices, table, text_or_empty
 from .shingles import word_hashes
 
 #: Lower-cases A-Z and turns every byte that isn't part of a word into a space.
@@ -38,22 +38,31 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WaveletMatrix:
-    """Ranks of any symbol in a sequence, a bit vector with running counts for each bit of the symbols."""
+    """Ranks of any symbol in a sequence: for each bit of the symbols a bit vector in words of 64, with the ones before each word."""
 
     def __init__(self, sequence: np.ndarray, bits: int):
-        self.bits, self.ranks, self.zeros = bits, [], []
+        self.bits, self.words, self.before, self.zeros = bits, [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = (sequence >> level) & 1
-            self.ranks.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32))
-            self.zeros.append(len(bit) - int(self.ranks[-1][-1]))
-            sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
+            bit = (sequence >> level) & 1 == 1
+            words, packed = np.zeros(len(bit) // 64 + 1, dtype="<u8"), np.packbits(bit, bitorder="little")
+            words.view(np.uint8)[: len(packed)] = packed
+            self.words.append(words)
+            self.before.append(np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words))
+            self.zeros.append(len(bit) - int(np.count_nonzero(bit)))
+            sequence = np.concatenate([sequence[~bit], sequence[bit]])
+
+    def ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """How many ones level k has before each position."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[k][word] + np.bitwise_count(self.words[k][word] & below)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
         low = np.zeros_like(at)
         for k in range(self.bits):
-            ones, bit = self.ranks[k], (symbol >> (self.bits - 1 - k)) & 1
-            low_ones, at_ones = ones[low], ones[at]
+            bit = (symbol >> (self.bits - 1 - k)) & 1
+            low_ones, at_ones = self.ones(k, low), self.ones(k, at)
             low = np.where(bit == 1, self.zeros[k] + low_ones, low - low_ones)
             at = np.where(bit == 1, self.zeros[k] + at_ones, at - at_ones)
         return at - low
@@ -62,9 +71,8 @@ class WaveletMatrix:
         """The symbol at each position, and its rank there."""
         symbol, low = np.zeros_like(at), np.zeros_like(at)
         for k in range(self.bits):
-            ones = self.ranks[k]
-            bit = ones[at + 1] - ones[at]
-            low_ones, at_ones = ones[low], ones[at]
+            bit = (self.words[k][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            low_ones, at_ones = self.ones(k, low), self.ones(k, at)
             symbol = symbol * 2 + bit
             low = np.where(bit == 1, self.zeros[k] + low_ones, low - low_ones)
             at = np.where(bit == 1, self.zeros[k] + at_ones, at - at_ones)
@@ -77,20 +85,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     A suffix's rank is the first place of its group of equal prefixes; only groups of more than one are sorted on.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    place = np.int32 if n < 2**31 else np.int64
+    order = np.argsort(text, kind="stable").astype(place)
     begins = np.concatenate([[True], text[order[1:]] != text[order[:-1]]])
-    first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    first = np.maximum.accumulate(np.where(begins, np.arange(n, dtype=place), place(0)))
+    rank = np.empty(n, dtype=place)
     rank[order] = first
-    open_ = np.flatnonzero(~begins | np.append(~begins[1:], False))
+    open_ = np.flatnonzero(~begins | np.append(~begins[1:], False)).astype(place)
     step = 1
     while len(open_):
         at = order[open_]
-        key = first[open_] * (n + 1) + np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        key = first[open_].astype(np.int64)
+        key *= n + 1
+        inside = at < n - step
+        key[inside] += rank[at[inside] + place(step)]
+        key[inside] += 1
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         begins = np.concatenate([[True], key[1:] != key[:-1]])
-        own = np.maximum.accumulate(np.where(begins, open_, 0))
+        del by, key, inside
+        own = np.maximum.accumulate(np.where(begins, open_, place(0)))
         order[open_], first[open_] = at, own
         rank[at] = own
         open_ = open_[~begins | np.append(~begins[1:], False)]
@@ -108,15 +122,15 @@ class FMIndex:
         unlike = text + len(gaps)
         unlike[gaps] = np.arange(len(gaps))
         order = suffix_array(unlike)
-        bwt = text[order - 1]  # of the first suffix: the last symbol, a separator
-        self.tree = WaveletMatrix(bwt, max(1, int(symbols).bit_length()))
+        del unlike
+        self.tree = WaveletMatrix(text[order - 1], max(1, int(symbols).bit_length()))  # of the first suffix: the last symbol, a separator
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
         starts = np.zeros(n, dtype=bool)
         starts[:: self.SAMPLE] = True
         starts[0] = True
         starts[gaps[:-1] + 1] = True  # no walk leaves its run
         self.sampled = starts[order]
-        self.sample_rank = np.concatenate([[0], np.cumsum(self.sampled)])
+        self.sample_rank = np.cumsum(self.sampled, dtype=order.dtype) - self.sampled
         self.samples = order[self.sampled]
         self.n = n
 
@@ -175,8 +189,8 @@ def search_shard(hashes: np.ndarray, starts: np.ndarray, blocks: list[Phrases])
     marks = np.zeros(len(hashes) + 1, dtype=np.int32)
     if len(hashes) and any(b.windows for b in blocks):
         known, ids = np.unique(hashes, return_inverse=True)
-        text = np.insert(ids + 1, starts[1:], 0)
-        index = FMIndex(text, len(known))
+        ids = ids.astype(np.int32 if len(ids) + len(starts) < 2**31 else np.int64)
+        index = FMIndex(np.insert(ids + 1, starts[1:], 0), len(known))
         for block in blocks:
             for size, (windows, owners) in block.windows.items():
                 ids = np.minimum(np.searchsorted(known, windows), len(known) - 1)
@@ -282,7 +296,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, sh
         if held:
             yield from finish()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def remove_spans(text, spans):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, dropped, slices, stored, table, text_or_empty
+from .common import bounded_batches, dropped, giving_back, slices, stored, table, text_or_empty
 from .shingles import distinct_by_row, mix, shingle_hashes
 
 #: Ids of at most so many texts are broadcast (16 MB); more are joined by a shuffle.
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_: str = "doc_i
             buckets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashed.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body_key"), pa.array(keys.view(np.int64), mask=sizes == 0), pa.array(sizes, pa.int32()), buckets], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -108,7 +108,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 found[i] = shared / (len(a) + len(b) - shared)
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), pa.array(found)], names=["leader", "member", "jaccard"])
 
-    return both.select("leader", "member", "a", "b").mapInArrow(run, "leader long, member long, jaccard double")
+    return both.select("leader", "member", "a", "b").mapInArrow(giving_back(run), "leader long, member long, jaccard double")
 
 
 def connected(links: DataFrame, a: str = "leader", b: str = "member") -> DataFrame:
@@ -225,7 +225,7 @@ def links_apart(still: DataFrame, texts: DataFrame, n: int, threshold: float, to
                         found.append((keys[i], keys[j]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["leader", "member"])
 
-    return in_parts(rows, "bucket", total).select("bucket", "low", "high", "part", "text_key", "root", "body").mapInArrow(run, "leader long, member long").distinct()
+    return in_parts(rows, "bucket", total).select("bucket", "low", "high", "part", "text_key", "root", "body").mapInArrow(giving_back(run), "leader long, member long").distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], parts: np.ndarray, threshold: float):
@@ -260,7 +260,7 @@ def degrees(texts: DataFrame, labels: DataFrame, n: int, threshold: float) -> Da
                     found[near] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in met], pa.int64()), pa.array(found)], names=["text_key", "k"])
 
-    counted = in_parts(own, "root", own.count()).select("root", "low", "high", "part", "text_key", "body").mapInArrow(run, "text_key long, k long")
+    counted = in_parts(own, "root", own.count()).select("root", "low", "high", "part", "text_key", "body").mapInArrow(giving_back(run), "text_key long, k long")
     return counted.groupBy("text_key").agg(F.sum("k").alias("degree"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, giving_back, table, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"\w+")
@@ -218,7 +218,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text:
             columns += [pa.array(scores, pa.float64()), predicted, pa.array(sizes, pa.int32()), pa.array(spans, SPAN_ARROW)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted", "n_sentences", "offending"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -55,3 +56,13 @@ def test_query(spark, small, reference):
         ids = reference.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_words_of_a_block_are_held_as_numbers(ranks):
+    """Texts of a block share their words; a string for each took 12 bytes a character here."""
+    encoder, texts = Encoder(ranks, public_tokenizers.PATTERN), ["some words come again and again " * 100] * 200
+    tracemalloc.start()
+    encoder.encode_block(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(map(len, texts))
