@@ -41,10 +41,12 @@ def app_protocol(explicit: Column, port_name: Column) -> Column:
 
 
 def rfc3339(ns: Column) -> Column:
-    """UTC time of nanoseconds since 1970 with as many digits of the second as it needs; null: empty."""
-    seconds = F.floor(ns / F.lit(1_000_000_000).cast("decimal(20,0)")).cast("long")
-    rest = ns - seconds * 1_000_000_000
+    """UTC time of nanoseconds since 1970 (a long, or a decimal beyond it) with as many digits of the second as it needs; null: empty."""
+    whole, second = ns.cast("decimal(29,0)"), F.lit(1_000_000_000)
+    rest = F.pmod(whole, second)
+    seconds = ((whole - rest) / second).cast("long")
     head = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    head = F.ltrim(head, F.lit("+"))  # years of five digits
     digits = F.rtrim(F.lpad(rest.cast("string"), 9, "0"), F.lit("0"))
     return F.coalesce(F.concat(head, F.when(rest > 0, F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z")), F.lit(""))
 

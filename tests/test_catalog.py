@@ -1,8 +1,11 @@
+import os
+
+import duckdb
 import pytest
 
 from sessionlens.plans import catalog
 
-from .helpers import duck_rows, spark_rows
+from .helpers import TABLES, duck_rows, spark_rows
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -29,3 +32,21 @@ def test_entry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def grown(small, tmp_path_factory):
+    """The events and customers of 21 small tables with shifted keys: event ids in the millions, users beyond two bytes, several pods of an address."""
+    folder = tmp_path_factory.mktemp("grown")
+    shifted = {"events": "event_id + i * 300000 AS event_id, user_id + CASE WHEN i = 20 THEN 90000 ELSE i * 15 END AS user_id", "customer": "c_custkey + i * 150 AS c_custkey, 'Customer#' || (c_custkey + i * 150) AS c_name"}
+    for t in TABLES:
+        if t in shifted:
+            duckdb.sql(f"COPY (SELECT * REPLACE ({shifted[t]}) FROM '{small}/{t}.parquet', (SELECT range AS i FROM range(21))) TO '{folder}/{t}.parquet'")
+        else:
+            os.symlink(f"{small}/{t}.parquet", folder / f"{t}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["record_time_format"])
+def test_query_equals_sql_on_larger_keys(spark, grown, name):
+    assert spark_rows(catalog.QUERIES[name](spark, grown)) == duck_rows(catalog.ORACLE_SQL[name], grown)

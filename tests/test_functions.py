@@ -79,3 +79,11 @@ def test_server_hello():
 
 def test_alpn_letters():
     assert [tls._alpn_letters(x) for x in (b"", b"h2", b"http/1.1", b"x", b"\xff\x01")] == ["00", "h2", "h1", "xx", "f1"]
+
+
+def test_times_beyond_a_long(spark):
+    at = lambda ns: one(spark, text.rfc3339(F.lit(ns).cast("decimal(29,0)")))
+    assert at("47514000000500000000") == "3475-08-29T13:20:00.5Z"
+    assert at("300000000000000000001") == "11476-08-15T05:20:00.000000001Z"
+    ends = [one(spark, text.rfc3339(F.lit(ns).cast("long"))) for ns in (2**63 - 1, -1, -(2**63))]
+    assert ends == ["2262-04-11T23:47:16.854775807Z", "1969-12-31T23:59:59.999999999Z", "1677-09-21T00:12:43.145224192Z"]
