@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dims import TOMBSTONE_NS
+from .dims import TOMBSTONE_NS, latest, one_by_ip
 
 ALWAYS, NEVER = -(2**63), 2**63 - 1
 SEGMENT = "ip string, since_ns long, until_ns long, uid string, early boolean"
@@ -84,6 +84,12 @@ def address_history(pods: DataFrame, kept_ns: int = TOMBSTONE_NS) -> DataFrame:
     return claims(pods).repartition("ip").sortWithinPartitions("ip").mapInArrow(run, SEGMENT)
 
 
+def address_state(pods: DataFrame, kept_ns: int = TOMBSTONE_NS) -> DataFrame:
+    """The columns of address_history where pods is a state, no log: one interval for each address, its last pod's (dims.one_by_ip), up to the end of its tombstone."""
+    end = F.coalesce(F.col("deleted_at") + kept_ns, F.lit(NEVER))
+    return one_by_ip(latest(pods, "uid")).select("ip", F.lit(ALWAYS).alias("since_ns"), end.alias("until_ns"), "uid", F.lit(False).alias("early"))
+
+
 def as_of(rows: DataFrame, intervals: DataFrame, key: str, at: str, bucket_ns: int, answer: str = "answer") -> DataFrame:
     """rows with the interval (a struct, or null) of the same key that holds at their time, by one sorted pass over both.
 

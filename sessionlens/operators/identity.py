@@ -2,7 +2,7 @@
 
 Dimensions are broadcast after a size check and joined by shuffle beyond it; the plan is the same otherwise. Addresses are looked up as
 of a flow's start, in the intervals in which pods have them: few intervals are broadcast, many are merged with the flows in order
-of time.
+of time. A table of states instead of a log has one interval for each address.
 """
 
 from __future__ import annotations
@@ -66,13 +66,13 @@ class Pods:
     few: bool
 
 
-def prepared(pods: DataFrame, workloads: DataFrame, keep: bool = False) -> Pods:
-    """keep: identities and intervals are stored, as several lookups read them."""
-    known, held = pod_identities(dims.latest(pods, "uid"), workloads), history.address_history(pods)
+def prepared(pods: DataFrame, workloads: DataFrame, keep: bool = False, as_of: bool = True) -> Pods:
+    """keep: identities and intervals are stored, as several lookups read them. as_of: see resolve()."""
+    known, held = pod_identities(dims.latest(pods, "uid"), workloads), history.address_history(pods) if as_of else history.address_state(pods)
     if keep:
         known, held = stored(known, "pods"), stored(held, "addresses")
     yes = fits(pods)
-    return Pods(known, held, yes, yes and few_generations(pods))
+    return Pods(known, held, yes, yes and few_generations(pods) if as_of else fits(held))
 
 
 def by_address(sessions: DataFrame, ip: str, pods: Pods, prefix: str, few: bool) -> DataFrame:
@@ -81,7 +81,7 @@ def by_address(sessions: DataFrame, ip: str, pods: Pods, prefix: str, few: bool)
     A pod that came later answers too, as early, if it was there when the flow ended (where the sessions have an end_ns).
     """
     names = ("ident", "created_at", "deleted_at", "host_network", "early")
-    held = pods.held.join(small(pods.known.drop("ip", "version"), few), "uid")
+    held = small(pods.held, few).join(small(pods.known.drop("ip", "version"), few and pods.fits), "uid")
     held = held.select(F.col("ip").alias(ip), "since_ns", "until_ns", *[F.col(c).alias(f"{prefix}{c}") for c in names])
     if few:
         h = F.broadcast(held.withColumnRenamed(ip, "__ip"))
@@ -108,7 +108,7 @@ def resolve_sources(sessions: DataFrame, pods: DataFrame | Pods, workloads: Data
     by_cgroup = dims.cgroup_pods(cgroups).withColumnRenamed("container_id", "cg_container")
     one = by_cgroup.join(live.withColumnRenamed("uid", "pod_uid"), "pod_uid").select("cgroup_id", "cg_container", *[F.col(c).alias(f"c_{c}") for c in ("ident", "created_at", "deleted_at", "host_network", "containers", "container_name")])
     yes = own.fits and fits(cgroups)
-    j = by_address(sessions.join(small(one, yes), "cgroup_id", "left"), "src_ip", own, "i_", yes and own.few)
+    j = by_address(sessions.join(small(one, yes), "cgroup_id", "left"), "src_ip", own, "i_", own.few)
     by_c, by_i = F.col("c_ident").isNotNull() & (F.col("cgroup_id") != 0), F.col("i_ident").isNotNull()
     name = first_non_empty(dims.container_name(F.col("c_containers"), F.col("c_container_name"), F.col("cg_container")), F.col("c_container_name"))
     cident = F.col("c_ident").withField("container_name", name).withField("container_id", first_non_empty(F.col("cg_container"), F.col("c_ident.container_id")))
@@ -141,7 +141,7 @@ def resolve_destinations(sessions: DataFrame, pods: DataFrame | Pods, workloads:
     backed = backed.select(F.col("backend_ip").alias("dst_ip"), F.col("backend_port").alias("dst_port"), "target_pod_uid", F.col("e").alias("e_service"), "alias_seq", "slice_uid").join(live, "target_pod_uid", "left")
     backed = backed.groupBy("dst_ip", "dst_port").agg(F.min_by(F.struct("e_service", "e_ident", "e_created", "e_deleted"), F.struct("alias_seq", "slice_uid")).alias("b")).select("dst_ip", "dst_port", "b.*")
     yes = own.fits and fits(ports, slices.select(F.explode("endpoints")))
-    j = by_address(sessions, "dst_ip", own, "p_", yes and own.few).join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
+    j = by_address(sessions, "dst_ip", own, "p_", own.few).join(small(direct, yes), ["dst_ip", "dst_port"], "left").join(small(backed, yes), ["dst_ip", "dst_port"], "left")
     p, s, e = F.col("p_ident").isNotNull(), F.col("s_service").isNotNull(), F.col("e_service").isNotNull()
     external = ~p & ~s & ~e & net.is_external(F.col("dst_ip"))
     none = F.struct(*[F.lit("").alias(c) for c in ("name", "uid", "namespace", "port_name", "app_protocol")])
@@ -159,9 +159,13 @@ def mapping_method(src: Column, dst: Column) -> Column:
     return F.when(src == "cgroup_id", "cgroup_id").when(dst != "unknown", dst).otherwise(src)
 
 
-def resolve(sessions: DataFrame, tables: dict[str, DataFrame], host_netns: int = 0) -> DataFrame:
-    """Both sides, mapping_method and pod_restart_window. tables: pods, workloads, cgroups, services, endpoint_slices."""
-    pods = prepared(tables["pods"], tables["workloads"], keep=True)
+def resolve(sessions: DataFrame, tables: dict[str, DataFrame], host_netns: int = 0, as_of: bool = True) -> DataFrame:
+    """Both sides, mapping_method and pod_restart_window. tables: pods, workloads, cgroups, services, endpoint_slices.
+
+    as_of: pods is a log, and an address is of the pod that had it when the flow started. Else it is a state: an address is of the one
+    pod that took it over last, and after that one's tombstone of nobody.
+    """
+    pods = prepared(tables["pods"], tables["workloads"], keep=True, as_of=as_of)
     one = resolve_sources(sessions, pods, tables["workloads"], tables["cgroups"], host_netns)
     two = resolve_destinations(one, pods, tables["workloads"], tables["services"], tables["endpoint_slices"])
     restart = (F.col("src_confidence") == "low") | (F.col("dst_confidence") == "low")

@@ -110,3 +110,18 @@ def test_a_hot_address_is_spread_over_buckets(spark):
     assert out.groupBy("answer.uid").count().orderBy("uid").collect() == [("a", 1300), ("b", 2700)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_a_state_gives_an_address_to_its_last_pod_only(spark, monkeypatch, few):
+    """By a broadcast and by the sorted merge alike; a log has the address go back to the pod that outlives its successor."""
+    if not few:
+        monkeypatch.setattr(identity, "fits", lambda *t, **k: False)
+    pods = table(spark, [pod("x", "10.0.0.2", 0, version=1, deleted=9000), pod("y", "10.0.0.2", 0, 900, version=2), pod("l", "10.0.0.3", 0, version=1), pod("d", "10.0.0.3", 0, 900, version=2)])
+    rows = [(k, ip, at * G, at * G) for k, (ip, at) in enumerate([("10.0.0.2", 100), ("10.0.0.2", 1199), ("10.0.0.2", 1200), ("10.0.0.2", 5000), ("10.0.0.3", 100), ("10.0.0.3", 5000), ("10.0.0.4", 1)])]
+    flows = spark.createDataFrame([(*r, 0, 0) for r in rows], "k int, src_ip string, start_ns long, end_ns long, cgroup_id long, netns_ino long")
+    loads, groups = spark.createDataFrame([], S.WORKLOADS), spark.createDataFrame([], S.CGROUPS)
+    got = lambda as_of: [(r.src.pod_name, r.src_confidence) for r in identity.resolve_sources(flows, identity.prepared(pods, loads, as_of=as_of), loads, groups).orderBy("k").collect()]
+    last = [("n-l", "high"), ("n-l", "high"), ("", "unknown")]
+    assert got(False) == [("n-y", "high"), ("n-y", "low"), ("", "unknown"), ("", "unknown"), *last]
+    assert got(True) == [("n-y", "high"), ("n-x", "high"), ("n-x", "high"), ("n-x", "high"), ("n-d", "high"), *last[1:]]
