@@ -36,9 +36,9 @@ def test_entry(spark, small):
 
 @pytest.fixture(scope="module")
 def grown(small, tmp_path_factory):
-    """The events and customers of 21 small tables with shifted keys: event ids in the millions, users beyond two bytes, several pods of an address."""
+    """The events, customers and suppliers of 21 small tables with shifted keys: event ids in the millions, users beyond two bytes, several pods of an address."""
     folder = tmp_path_factory.mktemp("grown")
-    shifted = {"events": "event_id + i * 300000 AS event_id, user_id + CASE WHEN i = 20 THEN 90000 ELSE i * 15 END AS user_id", "customer": "c_custkey + i * 150 AS c_custkey, 'Customer#' || (c_custkey + i * 150) AS c_name"}
+    shifted = {"events": "event_id + i * 300000 AS event_id, user_id + CASE WHEN i = 20 THEN 90000 ELSE i * 15 END AS user_id", "customer": "c_custkey + i * 150 AS c_custkey, 'Customer#' || (c_custkey + i * 150) AS c_name", "supplier": "s_suppkey + i * 10 AS s_suppkey, 'Supplier#' || (s_suppkey + i * 10) AS s_name"}
     for t in TABLES:
         if t in shifted:
             duckdb.sql(f"COPY (SELECT * REPLACE ({shifted[t]}) FROM '{small}/{t}.parquet', (SELECT range AS i FROM range(21))) TO '{folder}/{t}.parquet'")
@@ -47,6 +47,6 @@ def grown(small, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["record_time_format", "binary_flow_records", "identity_source", "kernel_row_decode", "metrics_rollup"])
+@pytest.mark.parametrize("name", ["record_time_format", "binary_flow_records", "identity_source", "kernel_row_decode", "metrics_rollup", "reason_codes"])
 def test_query_equals_sql_on_larger_keys(spark, grown, name):
     assert spark_rows(catalog.QUERIES[name](spark, grown)) == duck_rows(catalog.ORACLE_SQL[name], grown)
